@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .token_counts import op4_token_counts
+from .token_files import op2_token_output
 from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity,)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_output, op4_token_counts)}
 ORACLES: dict[str, str] = {}
