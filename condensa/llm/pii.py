@@ -87,10 +87,11 @@ def luhn_digit(digits: str) -> str:
 
 
 def card(s: str, key: bytes) -> str | None:
+    """The first digit, which names the kind of issuer, stays."""
     d = re.sub(r"\D", "", s)
     if not 13 <= len(d) <= 19 or luhn_digit(d[:-1]) != d[-1] or len(set(d)) == 1:
         return None
-    new = f"{permute(int(d[:-1]), 10 ** (len(d) - 1), key, 'card'):0{len(d) - 1}d}"
+    new = d[0] + f"{permute(int(d[1:-1]), 10 ** (len(d) - 2), key, 'card' + d[0]):0{len(d) - 2}d}"
     return _refill(s, new + luhn_digit(new))
 
 
