@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from .decontaminate import op7_decontaminate
 from .pii import op3_pii
+from .simhash import op6_simhash
 from .token_counts import op4_token_counts
 from .token_files import op2_token_output
 from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_output, op3_pii, op4_token_counts, op7_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_output, op3_pii, op4_token_counts, op6_simhash, op7_decontaminate)}
 ORACLES: dict[str, str] = {}
