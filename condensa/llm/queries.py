@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op8_bpe
 from .decontaminate import op7_decontaminate
 from .pii import op3_pii
 from .simhash import op6_simhash
@@ -9,5 +10,5 @@ from .token_counts import op4_token_counts
 from .token_files import op2_token_output
 from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_output, op3_pii, op4_token_counts, op6_simhash, op7_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_output, op3_pii, op4_token_counts, op6_simhash, op7_decontaminate, op8_bpe)}
 ORACLES: dict[str, str] = {}
