@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op8_bpe
 from .decontaminate import op7_decontaminate
 from .language import op10_language
+from .media import op9_media
 from .pii import op3_pii
 from .simhash import op6_simhash
 from .suffix_dedup import op5_suffix_dedup
@@ -12,5 +13,5 @@ from .token_counts import op4_token_counts
 from .token_files import op2_token_output
 from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_output, op3_pii, op4_token_counts, op5_suffix_dedup, op6_simhash, op7_decontaminate, op8_bpe, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_output, op3_pii, op4_token_counts, op5_suffix_dedup, op6_simhash, op7_decontaminate, op8_bpe, op9_media, op10_language)}
 ORACLES: dict[str, str] = {}
