@@ -1,0 +1,192 @@
+"""Queries of the document model, index, retrieval, summaries and baselines."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions.text import index_tokens, sentences
+from ..operators import baselines as B
+from ..operators import documents as D
+from ..operators import retrieval as R
+from .registry import SQL_PAIRS, SQL_SENTENCES, SQL_WORDS, document_pairs, documents, query, table
+
+_ROWS = f"rows AS (SELECT doc_id, unnest(range(len(l))) AS sent_id, unnest(l) AS s FROM (SELECT doc_id, {SQL_SENTENCES('text')} AS l FROM documents) q)"
+_POST = f"WITH {_ROWS}, post AS (SELECT doc_id, term, sent_id, count(*) AS tf FROM (SELECT doc_id, sent_id, unnest({SQL_WORDS('s')}) AS term FROM rows) q GROUP BY ALL)"
+
+
+@query(f"{_POST} SELECT doc_id, term, sent_id::INT AS sent_id, tf FROM post")
+def index_term_freq(spark, sf):
+    return R.postings(R.sentence_rows(documents(spark, sf)))
+
+
+@query(f"{_POST} SELECT doc_id, count(*) AS n_postings, count(DISTINCT term) AS n_terms, sum(tf)::BIGINT AS n_tokens FROM post GROUP BY doc_id")
+def build_index(spark, sf):
+    return R.postings(R.sentence_rows(documents(spark, sf))).groupBy("doc_id").agg(F.count("*").alias("n_postings"), F.count_distinct("term").alias("n_terms"), F.sum("tf").alias("n_tokens"))
+
+
+@query(f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({SQL_WORDS('lower(text)')}) AS term FROM documents) q GROUP BY term")
+def document_frequency(spark, sf):
+    return R.document_frequency(documents(spark, sf))
+
+
+_QUERY = "the of the thing la"
+
+
+@query(f"""{_POST}, q(term, w, p) AS (VALUES ('the', 2, 0), ('of', 1, 1), ('thing', 1, 3), ('la', 1, 4)), h AS (SELECT doc_id, sent_id, sum(tf * w)::BIGINT AS score, min(p) AS p FROM post JOIN q USING (term) GROUP BY ALL)
+ SELECT doc_id, rank::INT AS rank, sent_id::INT AS sent_id, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, p, sent_id) AS rank FROM h) z WHERE rank <= 3""")
+def frequency_retrieve(spark, sf):
+    return R.frequency_retrieve(R.sentence_rows(documents(spark, sf)), _QUERY)
+
+
+@query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), d AS (SELECT vec_id, round(list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(e, lambda x: x::DOUBLE)), 6) AS score FROM embeddings, q)
+ SELECT vec_id, score FROM d ORDER BY score DESC, vec_id LIMIT 3""")
+def dpr_retrieve(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    return R.dense_retrieve(vectors, vectors.where("vec_id = 0").first()["embedding"])
+
+
+_TOPICS = f"SELECT doc_id, list_distinct_first AS t FROM (SELECT doc_id, {SQL_WORDS('text')}[1:3] AS list_distinct_first FROM documents) q WHERE len(list_distinct_first) = 3"
+
+
+@query(f"SELECT doc_id, t[1:2] AS topics FROM ({_TOPICS}) q")
+def oracle_extract(spark, sf):
+    own = documents(spark, sf).select("doc_id", F.slice(index_tokens("text"), 1, 3).alias("t")).where(F.size("t") == 3)
+    return own.select("doc_id", R.given_topics(F.col("t"), 2).alias("topics"))
+
+
+@query(f"""{_POST}, t AS (SELECT doc_id, unnest(range(3)) AS topic, unnest(t) AS term FROM ({_TOPICS}) z), h AS (SELECT doc_id, topic, sent_id, tf AS score FROM post JOIN t USING (doc_id, term)),
+ c AS (SELECT DISTINCT doc_id, sent_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, topic ORDER BY score DESC, sent_id) AS k FROM h) y WHERE k <= 3)
+ SELECT doc_id, md5(string_agg(s, E'\\n' ORDER BY sent_id)) AS summary FROM c JOIN rows USING (doc_id, sent_id) GROUP BY doc_id""")
+def summarize(spark, sf):
+    own = documents(spark, sf).select("doc_id", "text", F.slice(index_tokens("text"), 1, 3).alias("t")).where(F.size("t") == 3)
+    return R.topic_summary(own, "t").select("doc_id", F.md5("summary").alias("summary"))
+
+
+@query(f"""{_POST}, t AS (SELECT doc_id, unnest(range(3)) AS topic, unnest(t) AS term FROM ({_TOPICS}) z), h AS (SELECT doc_id, topic, sent_id, tf AS score FROM post JOIN t USING (doc_id, term)),
+ c AS (SELECT DISTINCT doc_id, sent_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, topic ORDER BY score DESC, sent_id) AS k FROM h) y WHERE k <= 15 // 3 + 1)
+ SELECT doc_id, left(string_agg(s, E'\\n' ORDER BY sent_id), 15) AS summary FROM c JOIN rows USING (doc_id, sent_id) GROUP BY doc_id""")
+def summarize_max_length(spark, sf):
+    own = documents(spark, sf).select("doc_id", "text", F.slice(index_tokens("text"), 1, 3).alias("t")).where(F.size("t") == 3)
+    return R.topic_summary(own, "t", max_chars=15)
+
+
+@query()
+def yake_extract(spark, sf):
+    return documents(spark, sf).select("doc_id", R.keyphrases("text", top=5).alias("phrases"))
+
+
+@query()
+def kpminer(spark, sf):
+    return R.position_weighted_keyphrases(documents(spark, sf))
+
+
+_SENTS = f"SELECT doc_id, {SQL_SENTENCES('text')} AS l FROM documents"
+
+
+@query(f"SELECT doc_id, md5(array_to_string(l[1:3], ' ')) AS lead FROM ({_SENTS}) q WHERE len(l) > 0", name="lead_3")
+def lead_3(spark, sf):
+    return documents(spark, sf).select("doc_id", sentences("text").alias("l")).where(F.size("l") > 0).select("doc_id", F.md5(B.lead(F.col("l"), 3)).alias("lead"))
+
+
+@query(f"SELECT doc_id, md5(array_to_string(l[1:5], ' ')) AS lead FROM ({_SENTS}) q WHERE len(l) > 0", name="lead_k")
+def lead_k(spark, sf):
+    return documents(spark, sf).select("doc_id", sentences("text").alias("l")).where(F.size("l") > 0).select("doc_id", F.md5(B.lead(F.col("l"), 5)).alias("lead"))
+
+
+_TURNS = f"""t AS (SELECT conv_id, turn, {SQL_SENTENCES('text')} AS l, {SQL_SENTENCES('nxt')} AS m FROM (SELECT *, lead(text) OVER w AS nxt, lead(role) OVER w AS nrole FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) q WHERE role = 'user' AND nrole = 'assistant'),
+ r AS (SELECT avg(len(l) / len(m)) AS ratio FROM t WHERE len(l) > 0 AND len(m) > 0)"""
+
+
+@query(f"WITH {_TURNS} SELECT conv_id, turn, round_even(len(l) / ratio, 0)::INT AS k, md5(array_to_string(l[1:round_even(len(l) / ratio, 0)::INT], ' ')) AS lead FROM t, r WHERE len(l) > 0")
+def lead_k_dynamic(spark, sf):
+    from .registry import turn_pairs
+
+    pairs = turn_pairs(spark, sf)
+    own = pairs.select("conv_id", "turn", sentences("reference").alias("l")).where(F.size("l") > 0).crossJoin(F.broadcast(B.mean_ratio(pairs)))
+    k = B.dynamic_length(F.size("l"), F.col("ratio"))
+    return own.select("conv_id", "turn", k.alias("k"), F.md5(B.lead(F.col("l"), k)).alias("lead"))
+
+
+@query(f"WITH {_TURNS} SELECT round(ratio, 6) AS ratio FROM r")
+def avg_compression_ratio(spark, sf):
+    from .registry import turn_pairs
+
+    return B.mean_ratio(turn_pairs(spark, sf)).select(F.round("ratio", 6).alias("ratio"))
+
+
+@query()
+def lexrank_st(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", B.lexrank(sentences("text"), k=3).alias("summary"))
+
+
+@query()
+def lexrank_max_length(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", B.lexrank(sentences("text"), max_length=200).alias("summary"))
+
+
+@query()
+def lexrank_dynamic(spark, sf):
+    from .registry import turn_pairs
+
+    pairs = turn_pairs(spark, sf)
+    own = pairs.select("conv_id", "turn", sentences("reference").alias("l")).crossJoin(F.broadcast(B.mean_ratio(pairs)))
+    return own.select("conv_id", "turn", B.lexrank(F.col("l"), k=B.dynamic_length(F.size("l"), F.col("ratio"), 1)).alias("summary"))
+
+
+@query(f"SELECT doc_id, len(l)::INT AS n_sentences FROM ({_SENTS}) q ORDER BY len(l), doc_id LIMIT 10")
+def shortest_articles(spark, sf):
+    return B.shortest(documents(spark, sf), sentences("text"), "doc_id")
+
+
+_LINES = "lines AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS s FROM (SELECT doc_id, string_split(replace(text, 'The ', '= '), E'\\n') AS l FROM documents) q)"
+
+
+def _lines(spark, sf):
+    """Lines of the documents, those that begin with 'The ' as headings."""
+    return documents(spark, sf).select("doc_id", F.split(F.replace("text", F.lit("The "), F.lit("= ")), "\n", -1).alias("l"))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, md5(coalesce(string_agg(s, '|' ORDER BY pos) FILTER (NOT starts_with(s, '=') AND trim(s, E'\\n ') <> ''), '')) AS sentences FROM lines GROUP BY doc_id")
+def document_sentences(spark, sf):
+    return _lines(spark, sf).select("doc_id", F.md5(F.array_join(D.document_sentences(F.col("l")), "|")).alias("sentences"))
+
+
+@query(f"""WITH {_LINES}, g AS (SELECT *, starts_with(s, '=') OR trim(s, E'\\n ') = '' AS b FROM lines), k AS (SELECT *, sum(b::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM g)
+ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS paragraph, md5(string_agg(s, '|' ORDER BY pos)) AS sentences FROM k WHERE NOT b GROUP BY doc_id, k""")
+def paragraph_segmentation(spark, sf):
+    rows = _lines(spark, sf).select("doc_id", F.posexplode("l").alias("pos", "s"))
+    return D.paragraphs(rows, doc="doc_id", pos="pos", sentence="s").select("doc_id", "paragraph", F.md5(F.array_join("sentences", "|")).alias("sentences"))
+
+
+@query(f"SELECT doc_id, len(l)::BIGINT AS n_sentences, md5(lower(array_to_string(list_transform(l, lambda x: array_to_string(regexp_extract_all(x, '[\\p{{L}}\\p{{N}}]+|[^\\s\\p{{L}}\\p{{N}}]'), ' ')), '|'))) AS lemmas FROM ({_SENTS}) q")
+def sentence_object(spark, sf):
+    own = documents(spark, sf).select("doc_id", D.sentence_objects(sentences("text")).alias("o"))
+    return own.select("doc_id", F.size("o").cast("long").alias("n_sentences"), F.md5(F.array_join(F.transform("o", lambda x: F.array_join(x["lemmas"], " ")), "|")).alias("lemmas"))
+
+
+@query("SELECT doc_id, len(list_filter(string_split(text, E'\\n'), lambda x: NOT starts_with(x, '=') AND trim(x, E'\\n ') <> ''))::BIGINT AS n FROM documents")
+def custom_splitting_fn(spark, sf):
+    by_line = lambda c: F.split(F.col(c) if isinstance(c, str) else c, "\n", -1)
+    return documents(spark, sf).select("doc_id", F.size(D.document("text", by_line)["sentences"]).cast("long").alias("n"))
+
+
+@query(f"""WITH t AS (SELECT conv_id AS doc, turn AS sent, {SQL_WORDS('text')}[1:8] AS w FROM conversations), k AS (SELECT doc, sent, len(w) AS n, coalesce(sum(len(w)) OVER (PARTITION BY doc ORDER BY sent ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM t),
+ tok AS (SELECT doc, sent, a + i AS tok FROM (SELECT doc, sent, a, unnest(range(n)) AS i FROM k) q),
+ s AS (SELECT x.doc, x.sent AS out_sent, y.sent AS in_sent, sum((x.tok * 7 + y.tok * 3) % 11)::BIGINT AS weight FROM tok x JOIN tok y ON x.doc = y.doc GROUP BY ALL)
+ SELECT doc, out_sent, in_sent, weight, round(weight / nullif(sum(weight) OVER (PARTITION BY doc, in_sent), 0), 6) AS share, row_number() OVER (PARTITION BY doc, in_sent ORDER BY weight DESC, out_sent) = 1 AS is_max FROM s""")
+def attention_block_sum(spark, sf):
+    """The first eight words of each turn attend to each other by made-up weights."""
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("sent"), F.size(F.slice(index_tokens("text"), 1, 8)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("doc").orderBy("sent").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = turns.withColumn("first", before).where("n > 0")
+    words = spans.select("doc", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("tok"))
+    pairs = words.select("doc", F.col("tok").alias("out_tok")).join(words.select("doc", F.col("tok").alias("in_tok")), "doc")
+    attention = pairs.withColumn("weight", (F.col("out_tok") * 7 + F.col("in_tok") * 3) % 11)
+    sides = spans.select("doc", F.explode(F.array(F.lit("out"), F.lit("in"))).alias("side"), "sent", "first", (F.col("first") + F.col("n") - 1).alias("last"))
+    return B.block_sums(attention, sides)
+
+
+@query(f"WITH {SQL_PAIRS} SELECT split, count(*) AS n, min(row_id) AS first, max(row_id) AS last FROM pairs GROUP BY split")
+def split_registry(spark, sf):
+    return document_pairs(spark, sf).groupBy("split").agg(F.count("*").alias("n"), F.min("row_id").alias("first"), F.max("row_id").alias("last"))
