@@ -16,7 +16,8 @@ _FIELDS = [f"rouge{k}_{x}" for k in ("1", "2", "L") for x in ("precision", "reca
 
 @lru_cache(100_000)
 def cistem(word: str) -> str:
-    """German stems (Weissweiler and Fraser, 2017)."""
+    """German stems (Weissweiler and Fraser, 2017). A word with a capital, as nouns have, keeps a last t."""
+    noun = word[:1].isupper()
     word = word.lower().replace("ü", "u").replace("ö", "o").replace("ä", "a").replace("ß", "ss")
     word = re.sub(r"^ge(.{4,})", r"\1", word)
     word = word.replace("sch", "$").replace("ei", "%").replace("ie", "&")
@@ -29,7 +30,7 @@ def cistem(word: str) -> str:
             word, n = re.subn(r"nd$", "", word)
             if n:
                 continue
-        word, n = re.subn(r"t$", "", word)
+        word, n = re.subn(r"t$", "", word) if not noun else (word, 0)
         if n:
             continue
         word, n = re.subn(r"[esn]$", "", word)
