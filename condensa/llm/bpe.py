@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._shared import small_batches
 from ._arrow import row_slices
 from ._tokenizer import PATTERN, default_path, ranks
 
 #: Words a worker remembers; beyond that it starts anew.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 250_000
 #: Rows that one recursive query begins with, and bytes of text handled at a time.
 QUERY_ROWS = 400_000
 SLICE_BYTES = 2_000_000
@@ -233,7 +234,7 @@ def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", token
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32(), mask=np.append(np.array(part.is_null()), False))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(offsets, pa.array(tokens))], ["doc_id", "tokens"])
 
-    return own.mapInArrow(run, schema)
+    return small_batches(own).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, *, tokenizer: str | None = None) -> DataFrame:
@@ -255,7 +256,7 @@ def decode(tokens: DataFrame, *, tokenizer: str | None = None) -> DataFrame:
                 out = c.decode(ids, sizes[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), part, pa.array(out, pa.string(), mask=np.array(part.is_null()))], ["doc_id", "tokens", "decoded"])
 
-    return own.mapInArrow(run, schema)
+    return small_batches(own).mapInArrow(run, schema)
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import small_batches
+
 #: Words in a row that make a leak. Shorter items count when they are there as a whole.
 MIN_RUN = 13
 #: Items of fewer words are no evidence: they turn up by chance.
@@ -125,7 +127,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text
                 if rows:
                     yield pa.RecordBatch.from_arrays([batch.column("__id").take(pa.array(ids)), item, *(pa.array(c, pa.int64()) for c in columns[1:])], ["doc_id", "item_id", "start", "end", "n_words", "item_words"])
 
-        part = own.mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, start long, end long, n_words long, item_words long")
+        part = small_batches(own).mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, start long, end long, n_words long, item_words long")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -141,7 +143,7 @@ def reject_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
             for batch in batches:
                 yield batch.filter(pa.array([not m.runs(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = small_batches(docs).mapInArrow(run, docs.schema)
     return docs
 
 

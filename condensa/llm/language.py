@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._arrow import PIECE, _is_word, buffers, row_slices
+from ._shared import small_batches
 
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic", "fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "ro": "romance", "ca": "romance"}
 #: At most so many labelled rows are used to fit; they are those with the least hash of the id.
@@ -151,7 +152,7 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
             w = _learn([seen[i] for i, _ in own], np.array([s for _, s in own]), bits) if a != b else np.zeros(1 << bits)
             yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([a]), pa.array([b]), pa.array([w.astype(np.float32).tobytes()], pa.binary())], ["kind", "a", "b", "w"])
 
-    one = rows.mapInArrow(featurise, "id string, lang string, at binary, value binary").repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "lang", "at", "value")
+    one = small_batches(rows).mapInArrow(featurise, "id string, lang string, at binary, value binary").repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "lang", "at", "value")
     found = one.mapInArrow(learn, "kind string, a string, b string, w binary").collect()  # 64 kB for each pair of languages
     languages: dict[str, list[str]] = {}
     for r in found:
@@ -190,7 +191,7 @@ def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
                 family[known], language[known], margin[known] = f, g, np.where(np.isinf(x), 0, x)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(family, pa.string()), pa.array(language, pa.string()), pa.array(np.round(margin, 6))], ["doc_id", "family", "language", "margin"])
 
-    return own.mapInArrow(run, schema)
+    return small_batches(own).mapInArrow(run, schema)
 
 
 def op10_language(spark, sf_dir: str) -> DataFrame:

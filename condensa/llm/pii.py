@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import buffers
+from ._shared import small_batches
 
 #: For tests and examples. A production job sets spark.conf "condensa.pii.key".
 DEFAULT_KEY = "condensa example key"
@@ -278,7 +279,7 @@ def pseudonymise(docs: DataFrame, *, text: str = "text", key: str | None = None)
         for batch in batches:
             yield batch.set_column(at, batch.schema.field(at), _column(batch.column(at), secret_key)[0])
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def pseudonyms(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", key: str | None = None) -> DataFrame:
@@ -291,7 +292,7 @@ def pseudonyms(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts, pa.array(counts)], ["doc_id", "text", "n_values"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, text string, n_values long")
+    return small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, text string, n_values long")
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from ._arrow import gram_hashes, mix, word_slices
 from ._graph import components
-from ._shared import new_dir, written
+from ._shared import new_dir, small_batches, written
 
 BITS = 256
 #: Bits that may differ. Texts with one word in twenty replaced differ by about 40, texts of one language by 100.
@@ -202,7 +202,7 @@ def _signed(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
             sigs = pa.array(signatures(batch.column(at)), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], sigs], [*batch.schema.names[:at], "sig"])
 
-    return own.mapInArrow(run, T.StructType([*own.schema.fields[:at], T.StructField("sig", T.BinaryType())]))
+    return small_batches(own).mapInArrow(run, T.StructType([*own.schema.fields[:at], T.StructField("sig", T.BinaryType())]))
 
 
 def _groups(signed: DataFrame, radius: int, tile: int) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._arrow import gram_hashes, mix, word_slices
-from ._shared import written
+from ._shared import small_batches, written
 
 MIN_WORDS = 50
 LEAD = 8
@@ -92,7 +92,7 @@ def _suffixes(docs: DataFrame, id_field: T.StructField, min_words: int, lead: in
                     ["key", "row", "doc_id", "pos", "context"],
                 )
 
-    return docs.mapInArrow(run, T.StructType().add("key", "long").add("row", "long").add(id_field).add("pos", "integer").add("context", "binary"))
+    return small_batches(docs).mapInArrow(run, T.StructType().add("key", "long").add("row", "long").add(id_field).add("pos", "integer").add("context", "binary"))
 
 
 def multikey_order(words: np.ndarray) -> np.ndarray:

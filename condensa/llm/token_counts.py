@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import new_dir
+from ._shared import new_dir, small_batches
 from ._tokenizer import default_path, encoding, version
 
 CACHE_SCHEMA = "digest binary, n_tokens long"
@@ -66,7 +66,7 @@ def update_cache(docs: DataFrame, folder: str, *, text: str = "text", tokenizer:
 
     cache = read_cache(docs.sparkSession, folder)
     own = docs.where(F.col(text).isNotNull()).select(content_digest(text, tokenizer).alias("digest"), normalised(text).alias("content"))
-    own = own.mapInArrow(_first_of_each, own.schema)
+    own = small_batches(own).mapInArrow(_first_of_each, own.schema)
     # Partitioned by digest alone, so that all copies of a content are in one task; the cache's side is the one hashed.
     misses = own.repartition("digest").join(cache.select("digest").hint("shuffle_hash"), "digest", "left_anti")
     misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(folder)

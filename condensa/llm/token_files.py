@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import new_dir
+from ._shared import new_dir, small_batches
 from ._tokenizer import default_path, encoding, ranks
 
 #: Ends every document; a free id of the default vocabulary.
@@ -82,7 +82,7 @@ def write_tokens(docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text:
 
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
-    index = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).mapInArrow(run, f"doc_id {kind}, __part long, shard string, position long, n_tokens long")
+    index = small_batches(docs).select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).mapInArrow(run, f"doc_id {kind}, __part long, shard string, position long, n_tokens long")
     index.write.parquet(f"{folder}/index")  # the pass over the texts happens here, once
     index = spark.read.schema(index.schema).parquet(f"{folder}/index")
     # One row for each partition: prefix sums over those are small whatever the corpus holds.

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import mix, row_of, word_slices
+from ._shared import small_batches
 
 #: At most so many labelled rows are used to fit; they are those with the least hash of the id.
 MAX_TRAIN_ROWS = 12_000
@@ -111,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
         m = fit(seen, bits=bits)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(m.buckets, -1), pa.int64()), pa.array(np.append(m.weights, np.float32(m.bias)), pa.float32())], ["bucket", "weight"])
 
-    one = rows.mapInArrow(featurise, "id string, y int, f binary").repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "f")
+    one = small_batches(rows).mapInArrow(featurise, "id string, y int, f binary").repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "f")
     found = one.mapInArrow(learn, "bucket long, weight float").toArrow()  # at most 2**bits + 1 pairs
     b, w = found.column("bucket").to_numpy(), found.column("weight").to_numpy()
     if not len(b):
@@ -152,7 +153,7 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(np.round(p, 6)), pa.array(p >= threshold)], ["doc_id", "toxicity", "toxic"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).mapInArrow(run, f"doc_id {kind}, toxicity double, toxic boolean")
+    return small_batches(docs).select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).mapInArrow(run, f"doc_id {kind}, toxicity double, toxic boolean")
 
 
 def reject(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -166,7 +167,7 @@ def reject(docs: DataFrame, model: Model, *, text: str = "text", threshold: floa
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch.column(at), m, dense) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
