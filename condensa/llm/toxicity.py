@@ -120,8 +120,9 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     return Model(b[:-1], w[:-1], float(w[-1]), bits)
 
 
-def _scores(texts: pa.Array, model: Model, dense: np.ndarray) -> np.ndarray:
-    out = np.full(len(texts), model.bias)
+def _scores(texts: pa.Array, model: Model, dense: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """(probability, whether it counts as toxic). The bias alone, however common toxic rows were, is no evidence."""
+    out = np.zeros(len(texts))
     for lo, hi, h, _, _, bounds, _, _ in word_slices(texts, prefixes=STEMS):
         if not len(h):
             continue
@@ -134,13 +135,14 @@ def _scores(texts: pa.Array, model: Model, dense: np.ndarray) -> np.ndarray:
         if len(found):  # each feature counts once for a text
             key = np.unique((found[:, 0] << model.bits) | found[:, 1])
             out[lo:hi] += np.bincount(key >> model.bits, dense[key & ((1 << model.bits) - 1)], hi - lo)
-    return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
+    p = 1 / (1 + np.exp(-np.clip(out + model.bias, -35, 35)))
+    return p, (p >= threshold) & (out > 0)
 
 
 def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, toxicity, toxic) for every row, in one narrow pass.
 
-    A null or empty text has the score of the bias alone; rows repeat as they do in docs; an
+    A null or empty text has the score of the bias alone and isn't toxic; rows repeat as they do in docs; an
     id that is null stays null. Other columns don't matter, whatever their names.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -149,8 +151,8 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
         m = sent.value
         dense = m.dense()
         for batch in batches:
-            p = _scores(batch.column("__text"), m, dense)
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(np.round(p, 6)), pa.array(p >= threshold)], ["doc_id", "toxicity", "toxic"])
+            p, toxic = _scores(batch.column("__text"), m, dense, threshold)
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(np.round(p, 6)), pa.array(toxic)], ["doc_id", "toxicity", "toxic"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return small_batches(docs).select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).mapInArrow(run, f"doc_id {kind}, toxicity double, toxic boolean")
@@ -165,7 +167,7 @@ def reject(docs: DataFrame, model: Model, *, text: str = "text", threshold: floa
         m = sent.value
         dense = m.dense()
         for batch in batches:
-            yield batch.filter(pa.array(_scores(batch.column(at), m, dense) < threshold))
+            yield batch.filter(pa.array(~_scores(batch.column(at), m, dense, threshold)[1]))
 
     return small_batches(docs).mapInArrow(run, docs.schema)
 
