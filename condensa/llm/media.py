@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._shared import small_batches
 from .mjpeg import decode_planes, encode_grey
 
 BINS = 32
@@ -120,8 +121,8 @@ def parse_avi(data: bytes | None) -> tuple[list[bytes], float, int, int] | None:
     return frames, seconds or 1 / 25, width, height
 
 
-def histograms(frames: list[bytes]) -> np.ndarray:
-    """Shares of BINS grey levels for each frame; a frame that can't be decoded has its predecessor's."""
+def _decoded(frames: list[bytes]) -> np.ndarray:
+    """Shares of BINS grey levels for each frame; -1 for one that can't be decoded."""
     out = np.full((len(frames), BINS), -1.0)
     for places, planes, good, head in decode_planes(frames):
         pixels = planes[0][:, : head.height, : head.width]
@@ -130,10 +131,19 @@ def histograms(frames: list[bytes]) -> np.ndarray:
         hist = np.bincount(key.ravel(), minlength=n * BINS).reshape(n, BINS) / (head.height * head.width)
         at = np.array(places)
         out[at[good]] = hist[good]
+    return out
+
+
+def _filled(out: np.ndarray) -> np.ndarray:
     last = np.maximum.accumulate(np.where(out[:, 0] >= 0, np.arange(len(out)), -1))
     return np.where(last[:, None] >= 0, out[last], 0.0)
 
 
+def histograms(frames: list[bytes]) -> np.ndarray:
+    """Shares of BINS grey levels for each frame; a frame that can't be decoded has its predecessor's, zeros if there is none."""
+    return _filled(_decoded(frames))
+
+
 def cuts(hist: np.ndarray, *, floor: float = FLOOR, times: float = TIMES, reach: int = REACH) -> np.ndarray:
     """Frames that begin a shot, the first among them."""
     if not len(hist):
@@ -141,15 +151,14 @@ def cuts(hist: np.ndarray, *, floor: float = FLOOR, times: float = TIMES, reach:
     d = np.minimum(np.abs(np.diff(hist.cumsum(1), axis=0)).sum(1) / FULL_MOVE, 1)
     if not len(d):
         return np.zeros(1, np.int64)
-    around = np.full((len(d), 2 * reach), np.nan)
+    around = np.full((len(d), 2 * reach), np.inf)  # what lies beyond the ends sorts last
     for k, shift in enumerate([*range(-reach, 0), *range(1, reach + 1)]):
         lo, hi = max(0, -shift), len(d) - max(0, shift)
         if lo < hi:
             around[lo:hi, k] = d[lo + shift : hi + shift]
-    some = ~np.isnan(around).all(1)
-    middle = np.zeros(len(d))
-    if some.any():
-        middle[some] = np.nanmedian(around[some], axis=1)
+    around.sort(1)
+    count, row = np.isfinite(around).sum(1), np.arange(len(d))
+    middle = np.where(count > 0, (around[row, np.maximum(count - 1, 0) // 2] + around[row, count // 2]) / 2, 0) if len(d) > 1 else np.zeros(1)
     return np.concatenate([[0], np.flatnonzero(d >= np.maximum(floor, times * middle)) + 1])
 
 
@@ -175,9 +184,9 @@ def clips(media: DataFrame, *, key: str = "page_id", column: str = "media") -> D
                         frames += found[0]
                         size += len(data)
                     lo += 1
-                hist, rows, at = histograms(frames), [], []
+                hist, rows, at = _decoded(frames), [], []
                 for row, first, count, seconds, width, height in files:
-                    own_hist = hist[first : first + count]
+                    own_hist = _filled(hist[first : first + count])
                     if not own_hist.any():
                         continue
                     starts = cuts(own_hist)
@@ -188,7 +197,7 @@ def clips(media: DataFrame, *, key: str = "page_id", column: str = "media") -> D
                     columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), _clip_types())]
                     yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at)), *columns], schema.names)
 
-    return own.mapInArrow(run, schema)
+    return small_batches(own).mapInArrow(run, schema)
 
 
 def _clip_types() -> list[pa.Field]:
@@ -245,7 +254,7 @@ def render_pages(pages: DataFrame, *, page_id: str = "page_id", html: str = "htm
                     at += n if n is not None else SHOT_FRAMES
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), pa.array(films, pa.binary())], ["page_id", "media"])
 
-    return own.mapInArrow(run, T.StructType([own.schema["page_id"], T.StructField("media", T.BinaryType())]))
+    return small_batches(own).mapInArrow(run, T.StructType([own.schema["page_id"], T.StructField("media", T.BinaryType())]))
 
 
 def op9_media(spark, sf_dir: str) -> DataFrame:
