@@ -10,7 +10,7 @@ from ..functions.stem import rouge_scores
 from ..functions.text import length_of
 from ..operators import significance as S
 from ..operators import statistics as T
-from .registry import SQL_PAIRS, SQL_TOKENS, SQL_TURNS, document_pairs, documents, query, sql_overlap, table, turn_pairs
+from .registry import SQL_LCS, SQL_PAIRS, SQL_TOKENS, SQL_TURNS, document_pairs, documents, query, sql_overlap, table, turn_pairs
 
 _KEYED = "keyed AS (SELECT conv_id * 1000 + turn AS id, * FROM turns)"
 
@@ -78,12 +78,12 @@ def rouge_n_score(spark, sf):
     return _rouge(spark, sf, 2)
 
 
-@query()
+@query(f"WITH RECURSIVE {SQL_TURNS}, {_KEYED}, {SQL_LCS} SELECT id, round(v / greatest(na, 1), 6) AS share FROM lcs")
 def lcs_overlap_fraction(spark, sf):
     return _keyed(spark, sf).select("id", F.round(P.lcs_fraction(P.lcs("summary", "reference")), 6).alias("share"))
 
 
-@query()
+@query(f"WITH RECURSIVE {SQL_TURNS}, {_KEYED}, {SQL_LCS} SELECT id, v AS lcs, (na + 1) * (nb + 1) AS cells FROM lcs")
 def lcs_table(spark, sf):
     """The length that stands in the table's corner, and the table's size."""
     found = _keyed(spark, sf).select("id", P.lcs("summary", "reference").alias("f"))

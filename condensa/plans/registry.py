@@ -71,3 +71,13 @@ def sql_overlap(source: str, key: str, n: int) -> str:
  h AS (SELECT {key}, sum(least(s.c, r.c)) AS hits FROM s JOIN r USING ({key}, gram) GROUP BY {key}),
  ns AS (SELECT {key}, sum(c) AS ns FROM s GROUP BY {key}), nr AS (SELECT {key}, sum(c) AS nr FROM r GROUP BY {key}),
  o AS (SELECT {key}, coalesce(hits, 0)::DOUBLE AS hits, greatest(coalesce(ns, 0), 1)::DOUBLE AS ns, greatest(coalesce(nr, 0), 1)::DOUBLE AS nr FROM (SELECT {key} FROM {source}) k LEFT JOIN h USING ({key}) LEFT JOIN ns USING ({key}) LEFT JOIN nr USING ({key}))"""
+
+
+#: CTEs of a recursive query up to lcs(id, v, na, nb): the table of lengths row by row, of a table keyed(id, summary, reference).
+SQL_LCS = f"""kt AS (SELECT id, {SQL_TOKENS('summary')} AS a, {SQL_TOKENS('reference')} AS b FROM keyed),
+ ta AS (SELECT id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS t FROM kt), tb AS (SELECT id, unnest(range(1, len(b) + 1)) AS j, unnest(b) AS t FROM kt),
+ dp(id, i, j, v) AS (SELECT id, 0::BIGINT, j, 0::BIGINT FROM tb UNION ALL
+  SELECT id, i, j, max(c) OVER (PARTITION BY id ORDER BY j) FROM (
+   SELECT d.id, d.i + 1 AS i, d.j, greatest(d.v, CASE WHEN tb.t = ta.t THEN coalesce(lag(d.v) OVER (PARTITION BY d.id ORDER BY d.j), 0) + 1 ELSE 0 END) AS c
+   FROM dp d JOIN ta ON ta.id = d.id AND ta.i = d.i + 1 JOIN tb ON tb.id = d.id AND tb.j = d.j) q),
+ lcs AS (SELECT kt.id, coalesce(max(v), 0)::BIGINT AS v, len(any_value(a))::BIGINT AS na, len(any_value(b))::BIGINT AS nb FROM kt LEFT JOIN dp ON dp.id = kt.id GROUP BY kt.id)"""
