@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sentences
 from ..sources.readers import splits
+from ..storage import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,7 +28,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
