@@ -80,18 +80,24 @@ def topic_summary(docs: DataFrame, topics: str, *, doc: str = "doc_id", text: st
     if max_chars is not None and max_chars <= 0:
         raise ValueError("max_chars is positive")
     rows = sentence_rows(docs, doc=doc, text=text)
+    # A row's own topics tell which of its words matter: all others are left out before anything is shuffled.
+    wanted = F.array_distinct(F.flatten(F.transform(topics, index_tokens))).alias("__wanted")
+    kind = docs.schema[text].dataType.typeName()
+    parts = docs.select(doc, wanted, F.posexplode(sentences(text) if kind == "string" else F.col(text)).alias("sent_id", "sentence"))
+    terms = parts.select(doc, "sent_id", F.explode(F.filter(index_tokens("sentence"), lambda t: F.array_contains("__wanted", t))).alias("term"))
+    tf = terms.groupBy(doc, "term", "sent_id").agg(F.count("*").alias("tf"))
     asked = docs.select(doc, F.size(topics).alias("__n"), F.posexplode(topics).alias("__topic", "__query"))
     words = asked.select(doc, "__n", "__topic", F.posexplode(index_tokens("__query")).alias("__p", "term"))
     words = words.groupBy(doc, "__n", "__topic", "term").agg(F.count("*").alias("__w"), F.min("__p").alias("__p"))
-    hits = postings(rows, doc=doc).join(words, [doc, "term"]).groupBy(doc, "__n", "__topic", "sent_id").agg(F.sum(F.col("tf") * F.col("__w")).alias("score"), F.min("__p").alias("__p"))
+    hits = tf.join(words, [doc, "term"]).groupBy(doc, "__n", "__topic", "sent_id").agg(F.sum(F.col("tf") * F.col("__w")).alias("score"), F.min("__p").alias("__p"))
     most = F.floor(F.lit(max_chars) / F.col("__n")) + 1 if max_chars is not None else F.lit(limit)
     rank = F.row_number().over(Window.partitionBy(doc, "__topic").orderBy(F.desc("score"), "__p", "sent_id"))
     chosen = hits.withColumn("__rank", rank).where(F.col("__rank") <= most).select(doc, "sent_id").distinct()
     lines = chosen.join(rows, [doc, "sent_id"]).groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("sent_id", "sentence"))).alias("__all"))
-    parts = F.transform("__all", lambda x: x["sentence"])
+    kept = F.transform("__all", lambda x: x["sentence"])
     if max_sentences is not None:
-        parts = F.slice(parts, 1, max_sentences)
-    return lines.select(doc, cut(F.array_join(parts, "\n"), max_chars).alias("summary"))
+        kept = F.slice(kept, 1, max_sentences)
+    return lines.select(doc, cut(F.array_join(kept, "\n"), max_chars).alias("summary"))
 
 
 def _candidates(words: list[str], most: int) -> dict[tuple[str, ...], int]:
