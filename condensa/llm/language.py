@@ -19,14 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import spread
 from ._arrow import PIECE, _is_word, buffers, row_slices
 from ._shared import small_batches
 
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic", "fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "ro": "romance", "ca": "romance"}
 #: At most so many labelled rows are used to fit; they are those with the least hash of the id.
-MAX_TRAIN_ROWS = 6_000
+MAX_TRAIN_ROWS = 3_000
 BITS = 14
-EPOCHS = 8
+EPOCHS = 5
 COST = 10.0
 SIZES = (2, 3, 4)
 UNKNOWN = "und"
@@ -195,5 +196,5 @@ def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
 
 
 def op10_language(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return identify(docs, train(docs))
