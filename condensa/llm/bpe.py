@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import spread
 from ._shared import small_batches
 from ._arrow import row_slices
 from ._tokenizer import PATTERN, default_path, ranks
@@ -260,4 +261,4 @@ def decode(tokens: DataFrame, *, tokenizer: str | None = None) -> DataFrame:
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:
-    return decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return decode(encode(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))))

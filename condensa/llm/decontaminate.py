@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import spread
 from ._shared import small_batches
 
 #: Words in a row that make a leak. Shorter items count when they are there as a whole.
@@ -148,4 +149,4 @@ def reject_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
-    return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return leaks(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

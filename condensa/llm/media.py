@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import spread
 from ._shared import small_batches
 from .mjpeg import decode_planes, encode_grey
 
@@ -258,4 +259,4 @@ def render_pages(pages: DataFrame, *, page_id: str = "page_id", html: str = "htm
 
 
 def op9_media(spark, sf_dir: str) -> DataFrame:
-    return clips(render_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return clips(render_pages(spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))))

@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import spread
 from ._arrow import buffers
 from ._shared import small_batches
 
@@ -296,4 +297,4 @@ def pseudonyms(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
-    return pseudonyms(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pseudonyms(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

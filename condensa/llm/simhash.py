@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import spread
 from ._arrow import gram_hashes, mix, word_slices
 from ._graph import components
 from ._shared import new_dir, small_batches, written
@@ -243,4 +244,4 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

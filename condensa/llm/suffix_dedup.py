@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import spread
 from ._arrow import gram_hashes, mix, word_slices
 from ._shared import small_batches, written
 
@@ -256,4 +257,4 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return repeated_spans(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

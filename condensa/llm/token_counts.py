@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import spread
 from ._shared import new_dir, small_batches
 from ._tokenizer import default_path, encoding, version
 
@@ -87,4 +88,4 @@ def token_counts(docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text:
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:
     """Every call starts its own cache, so all distinct texts are encoded; a production job names a lasting folder."""
-    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), new_dir(spark, "token-counts"))
+    return token_counts(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), new_dir(spark, "token-counts"))

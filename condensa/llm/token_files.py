@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import spread
 from ._shared import new_dir, small_batches
 from ._tokenizer import default_path, encoding, ranks
 
@@ -144,4 +145,4 @@ class TokenFiles:
 
 
 def op2_token_output(spark, sf_dir: str) -> DataFrame:
-    return write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), new_dir(spark, "token-files"))
+    return write_tokens(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), new_dir(spark, "token-files"))

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import spread
 from ._arrow import mix, row_of, word_slices
 from ._shared import small_batches
 
@@ -173,5 +174,5 @@ def reject(docs: DataFrame, model: Model, *, text: str = "text", threshold: floa
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
-    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs, labels = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score(docs, train(docs, labels))
