@@ -15,6 +15,7 @@ from condensa.llm.decontaminate import reject_leaks
 from condensa.llm.pii import pseudonymise
 from condensa.llm.simhash import deduplicate
 from condensa.llm.toxicity import reject, train
+from condensa.storage import spread
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
