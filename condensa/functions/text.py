@@ -58,6 +58,11 @@ def sentences(text: Column | str) -> Column:
     return non_blank(F.regexp_extract_all(_col(text), F.lit(SENTENCE), F.lit(0)))
 
 
+def first_sentence(text: Column | str) -> Column:
+    """The first of sentences(text), '' if there is none, without looking at the rest."""
+    return strip(F.regexp_extract(_col(text), r"[^.!?]+[.!?]+|[^.!?]*[^.!?\n\t ][^.!?]*", 0))
+
+
 def lacks_ending(sentence: Column | str) -> Column:
     sentence = _col(sentence)
     return ~reduce(lambda a, b: a | b, (F.endswith(sentence, F.lit(e)) for e in ENDINGS))

@@ -16,9 +16,15 @@ def draw(seed: int, resample: Column, pos: Column, below: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % below
 
 
+def _parted(rows: DataFrame) -> DataFrame:
+    """Rows in as many parts as a shuffle has: numbered rows come in one, and each meets every resample."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def _numbered(rows: DataFrame) -> DataFrame:
     """rows (pos, gold, a, b) with n, their number. Positions run from 0."""
-    return rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))
+    return _parted(rows).crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))
 
 
 def accuracy(system: Column, gold: Column) -> Column:
@@ -52,7 +58,7 @@ def paired_bootstrap(rows: DataFrame, score: Scorer = accuracy, *, n_resamples:
 def permutation(rows: DataFrame, score: Scorer = accuracy, *, n_resamples: int = 10_000, seed: int = 256) -> DataFrame:
     """One row (n_resamples, at_least, p): resamples where a and b, swapped by the toss of a coin at each place, differ as much as they do."""
     true = rows.agg(F.abs(score(F.col("a"), F.col("gold")) - score(F.col("b"), F.col("gold"))).alias("__true"))
-    every = rows.crossJoin(rows.sparkSession.range(n_resamples).select(F.col("id").alias("resample")))
+    every = _parted(rows).crossJoin(rows.sparkSession.range(n_resamples).select(F.col("id").alias("resample")))
     swap = draw(seed, F.col("resample"), F.col("pos"), F.lit(2)) == 1
     tossed = every.select("resample", "gold", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
     gap = F.abs(score(F.col("a"), F.col("gold")) - score(F.col("b"), F.col("gold")))
@@ -89,7 +95,7 @@ def confidence(values: DataFrame, column: str, *, n_resamples: int = 2_000, seed
     A resample's mean is of counts: how often each place is drawn, times its value.
     """
     n = values.groupBy(by).agg(F.count("*").alias("n"))
-    places = values.select(by, "pos").join(F.broadcast(n), by).crossJoin(values.sparkSession.range(n_resamples).select(F.col("id").alias("resample")))
+    places = _parted(values.select(by, "pos")).join(F.broadcast(n), by).crossJoin(values.sparkSession.range(n_resamples).select(F.col("id").alias("resample")))
     drawn = places.select(by, "resample", draw(seed, F.col("resample"), F.col("pos"), F.col("n")).alias("pos"))
     means = drawn.join(values, [by, "pos"]).groupBy(by, "resample").agg(F.avg(column).alias("m"))
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import sentences
-from ..sources.readers import splits
+from ..functions.text import first_sentence
+from ..sources.readers import split_by
 from ..storage import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,9 +37,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with its first sentence as its summary, in three splits by its id."""
-    own = documents(spark, sf_dir).select("doc_id", F.col("text").alias("reference"), F.coalesce(F.get(sentences("text"), 0), F.lit("")).alias("summary"))
+    own = documents(spark, sf_dir).select("doc_id", F.col("text").alias("reference"), first_sentence("text").alias("summary"))
     part = F.col("doc_id") % 10
-    return splits(own.where(part > 1), own.where(part == 1), own.where(part == 0), row_id="doc_id")
+    return split_by(own, F.when(part == 0, "test").when(part == 1, "validation").otherwise("train"), row_id="doc_id")
 
 
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

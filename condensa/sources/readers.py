@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,12 @@ def splits(train: DataFrame | None = None, validation: DataFrame | None = None,
     return reduce(lambda a, b: a.unionByName(b), (df.withColumns({"split": F.lit(name), "split_order": F.lit(k), "row_id": F.col(row_id)}) for k, name, df in passed))
 
 
+def split_by(df: DataFrame, split: Column, *, row_id: str) -> DataFrame:
+    """As splits, for rows of one table whose split is an expression: one scan instead of three."""
+    order = F.array_position(F.array(*[F.lit(s) for s in SPLITS]), F.col("split")) - 1
+    return df.withColumn("split", split).withColumns({"split_order": order.cast("int"), "row_id": F.col(row_id)})
+
+
 def jsonl_of_language(spark: SparkSession, path: str, schema: str | T.StructType, language: str = "deu", column: str = "language") -> DataFrame:
     """JSON lines of one language."""
     return spark.read.schema(schema).json(path).where(F.col(column) == language)

@@ -71,3 +71,8 @@ def test_strings_of_loaders(spark):
     for bad in ([[], []], [["a"]]):
         with pytest.raises(Exception, match="."):
             one(spark, bad, X.principle_part, "array<array<string>>")
+
+
+@pytest.mark.parametrize("text", ["", " ", "a", " . b", "...", "\n\nOne! Two", "  x", "No end", "A?! B.", ".\n", "\t\nlast"])
+def test_first_sentence_is_the_first_of_all(spark, text):
+    assert one(spark, text, X.first_sentence) == (one(spark, text, X.sentences) or [""])[0]
