@@ -55,7 +55,7 @@ def test_vectors(spark):
     assert (r.doc, r.source_pos, r.metric) == (1, 1, 1.0) and r.relative_position == pytest.approx(1 / 3)
 
 
-S5 = ["This is a reference text.", "It consists of multiple sentences.", "This is the third sentence.", "This is a fourth sentence.", "This sentence should no longer be in the summary."]
+S5 = ["Rain fell on the old harbour.", "Boats lay tied to the harbour wall.", "The wall is older than the boats.", "Gulls slept on the boats all night.", "Nobody saw the rain stop."]
 
 
 @pytest.mark.parametrize("k", [2, 3, 4, 9])
@@ -69,7 +69,7 @@ def test_lead(spark, k):
 def test_lexrank(spark):
     df = spark.createDataFrame([(S5,), ([],), (None,), (["One."],)], "s array<string>")
     out = [r[0] for r in df.select(B.lexrank(F.col("s"), k=2)).collect()]
-    assert len(out[0].split(". ")) == 2 and out[1] == "" and out[2] is None and out[3] == "One."
+    assert len(out[0].split(". ")) == 2 and set(out[0].split(". ")) <= {x for t in S5 for x in (t, t[:-1])} and out[1] == "" and out[2] is None and out[3] == "One."
     assert all(len(r[0]) <= 60 for r in df.where("s IS NOT NULL").select(B.lexrank(F.col("s"), max_length=60)).collect())
     with pytest.raises(ValueError):
         B.lexrank(F.col("s"))
@@ -128,7 +128,7 @@ def test_paragraphs(spark):
 
 
 def test_document(spark):
-    df = spark.createDataFrame([("Dies ist ein Test für Dokumente. Er beinhaltet zwei Sätze über das Dokument.",)], "t string")
+    df = spark.createDataFrame([("Dies sind zwei kurze Sätze. Mehr steht in diesem Text nicht drin.",)], "t string")
     d = df.select(D.document("t").alias("d")).first().d
     assert len(d.sentences) == 2 and d.text_lang == "de" and d.sentences[0].lemmas[0] == "dies"
 
