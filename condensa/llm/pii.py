@@ -110,6 +110,19 @@ def iban(s: str, key: bytes) -> str | None:
     return "".join(c if c == " " else next(t) for c in s)
 
 
+#: Signs of a country's IBANs, as registered.
+_IBAN_SIGNS = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for c in cs.split()}
+
+
+def _iban_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Where IBANs may stand in spans: from a start to where a word ends, first of the country's length, then from long to short. What is beside one may look like more of it."""
+    found = [(a, e) for a, b in spans for e in range(b, a + 14, -1) if text[e - 1] != " " and (e == b or text[e] == " ")]
+    return sorted(found, key=lambda x: x[1] - x[0] - text.count(" ", *x) != _IBAN_SIGNS.get(text[x[0] : x[0] + 2]))
+
+
 def ip(s: str, key: bytes) -> str | None:
     """Octets keep their number of digits."""
     parts = s.split(".")
@@ -193,7 +206,7 @@ def secret(s: str, key: bytes) -> str | None:
 #: In this order; of values that overlap the earlier kind's is taken.
 KINDS: list[tuple[str, re.Pattern, Callable[[str, bytes], str | None]]] = [
     ("secret", re.compile(r"""(?i:token|secret|api[_-]?key|passw(?:or)?d)["']?\s*[=:]\s*["']?([A-Za-z0-9_/+-]{16,})"""), secret),
-    ("iban", re.compile(r"(?<![^\W_])([A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30})(?![^\W_])"), iban),
+    ("iban", re.compile(r"(?<![^\W_])(?=([A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30})(?![^\W_]))"), iban),  # the longest at each start, see _iban_spans
     ("ip", re.compile(r"(?<![\d.])(\d{1,3}(?:\.\d{1,3}){3})(?!\d|\.\d)"), ip),
     ("date", re.compile(r"(?<![\d/.-])(\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\d/-]|\.\d)"), date),
     ("ssn", re.compile(r"(?<![\d-])(\d{3}-\d{2}-\d{4})(?![\d-])"), ssn),
@@ -225,8 +238,9 @@ def replacements(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     for a, b in _emails(text):
         add(a, b, "email", email)
     for kind, pattern, fn in KINDS:
-        for m in pattern.finditer(text):
-            add(*m.span(1), kind, fn)
+        spans = [m.span(1) for m in pattern.finditer(text)]
+        for a, b in _iban_spans(text, spans) if kind == "iban" else spans:
+            add(a, b, kind, fn)
     return sorted(found)
 
 

@@ -40,6 +40,16 @@ def test_formats_and_links(kind, value, shape):
     assert kind(value, KEY) == new != kind(value, b"another key")
 
 
+@pytest.mark.parametrize("value", ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"])
+@pytest.mark.parametrize("after", ["", " BIC: COBADEFF", " BIC COBADEFFXXX", " 2 mal", " 12345678", " 2020 AND MORE WORDS IN CAPITALS", " Please", ", 7", "\nBIC", " DE89370400440532013000"])
+@pytest.mark.parametrize("before", ["IBAN ", "REF AB12 "])
+def test_ibans_end_before_what_follows(before, value, after):
+    out, n = P.pseudonymise_text(before + value + after, KEY)
+    new = P.iban(value, KEY)
+    assert new != value and out.startswith(before + new) and n == 1 + ("DE89" in after)
+    assert "DE89" in after or out == before + new + after
+
+
 def test_pseudonyms_of_different_values_differ():
     days = [f"19{y:02d}-{m:02d}-11" for y in range(100) for m in range(1, 13)]
     assert len({P.date(d, KEY) for d in days}) == len(days)
