@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +68,41 @@ def dense_retrieve(vectors: DataFrame, query: list[float], *, key: str = "vec_id
     return vectors.select(key, F.round(dot, 6).alias("score")).orderBy(F.desc("score"), key).limit(limit).orderBy("score", F.desc(key))
 
 
+def dense_retrieve_all(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", limit: int = 3, tile: int = 4096) -> DataFrame:
+    """(query_id, rank, key, score): every row's vector as a query, with the limit largest dot products over all rows, its own too, the best at rank 1; equal ones by key.
+
+    Rows are cut into tiles by a hash of the key, and each pair of tiles is one matrix product
+    in slices: work grows with the square of the rows, memory doesn't. Rows without a vector don't count.
+    """
+    if limit <= 0:
+        raise ValueError("a positive limit")
+    own = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    tiles = max(1, math.ceil(own.count() / tile))
+    rows = own.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(tiles)).cast("int").alias("t"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+    queries = rows.select(F.lit(True).alias("asks"), "id", "v", F.col("t").alias("i"), every.alias("j"))
+    sides = queries.unionByName(rows.select(F.lit(False).alias("asks"), "id", "v", every.alias("i"), F.col("t").alias("j")))
+
+    def best(pair: pa.Table) -> pa.Table:
+        asks = pair.column("asks").to_numpy()
+        ids, v = pair.column("id"), pair.column("v").combine_chunks()
+        m = v.flatten().to_numpy().reshape(len(v), -1)
+        asked, found = np.flatnonzero(asks), np.flatnonzero(~asks)
+        q, d, out = m[asked], m[found].T, [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for a in range(0, len(q) if len(found) else 0, 256):
+            s = q[a : a + 256] @ d
+            least = np.partition(s, -limit, 1)[:, -limit] if limit < s.shape[1] else s.min(1)
+            x, y = np.nonzero(s >= least[:, None] - 2e-6)  # whatever may round to as much as the last that counts
+            out.append((asked[a + x], found[y], s[x, y]))
+        x, y, score = (np.concatenate(c) for c in zip(*out))
+        return pa.table({"query_id": ids.take(pa.array(x)), "id": ids.take(pa.array(y)), "score": score})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    scored = sides.groupBy("i", "j").applyInArrow(best, f"query_id {kind}, id {kind}, score double").withColumn("score", F.round("score", 6))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "rank", F.col("id").alias(key), "score")
+
+
 def given_topics(topics: Column, n: int) -> Column:
     """The first n of topics that are given; fewer are an error."""
     return F.when(F.size(topics) >= n, F.slice(topics, 1, n)).otherwise(F.raise_error(F.lit("fewer topics than asked for")))

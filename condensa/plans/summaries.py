@@ -42,8 +42,17 @@ def frequency_retrieve(spark, sf):
 @query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), d AS (SELECT vec_id, round(list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(e, lambda x: x::DOUBLE)), 6) AS score FROM embeddings, q)
  SELECT vec_id, score FROM d ORDER BY score DESC, vec_id LIMIT 3""")
 def dpr_retrieve(spark, sf):
+    """One search, by the vector of id 0; without that row nothing is found."""
     vectors = table(spark, sf, "embeddings")
-    return R.dense_retrieve(vectors, vectors.where("vec_id = 0").first()["embedding"])
+    q = vectors.where("vec_id = 0").first()
+    return R.dense_retrieve(vectors if q else vectors.limit(0), q["embedding"] if q else [])
+
+
+@query("""WITH d AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(list_transform(v.embedding, lambda x: x::DOUBLE), list_transform(q.embedding, lambda x: x::DOUBLE)), 6) AS score FROM embeddings q, embeddings v),
+ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM d) SELECT query_id, rank::INT AS rank, vec_id, score FROM k WHERE rank <= 3""")
+def dpr_retrieve_whole(spark, sf):
+    """Every embedding is a query."""
+    return R.dense_retrieve_all(table(spark, sf, "embeddings"))
 
 
 _TOPICS = f"SELECT doc_id, list_distinct_first AS t FROM (SELECT doc_id, {SQL_WORDS('text')}[1:3] AS list_distinct_first FROM documents) q WHERE len(list_distinct_first) = 3"

@@ -119,6 +119,24 @@ def test_dense_retrieval_has_the_best_last(spark):
     assert [r.vec_id for r in R.dense_retrieve(df, [1.0, 0.0], limit=2).collect()] == [3, 4]
 
 
+@pytest.mark.parametrize("tile", [7, 4096])
+def test_dense_retrieval_of_every_row(spark, tile):
+    rng = np.random.default_rng(3)
+    v = rng.integers(-2, 3, (40, 4)).astype(float)  # with ties
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(40, None)], "vec_id long, embedding array<float>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in R.dense_retrieve_all(df, tile=tile).collect()}
+    s = v @ v.T
+    assert got == {(i, k + 1): (int(j), s[i, j]) for i in range(40) for k, j in enumerate(np.lexsort((np.arange(40), -s[i]))[:3])}
+    assert R.dense_retrieve_all(df.limit(0)).count() == 0 and R.dense_retrieve_all(df.where("vec_id < 2"), tile=1).count() == 4
+
+
+def test_search_without_its_query(spark, tmp_path):
+    from condensa.queries import QUERIES
+
+    spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert QUERIES["dpr_retrieve"](spark, str(tmp_path)).count() == 0 and QUERIES["dpr_retrieve_whole"](spark, str(tmp_path)).count() == 1
+
+
 def test_paragraphs(spark):
     lines = ["= Title", "a", "b", "", "c", "= Next", "= Third", "d"]
     df = spark.createDataFrame([(1, i, s) for i, s in enumerate(lines)], "doc long, pos int, s string")
