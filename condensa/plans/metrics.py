@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import pairs as P
 from ..functions.stem import rouge_scores
-from ..functions.text import length_of
+from ..functions.text import index_tokens, length_of
 from ..operators import significance as S
 from ..operators import statistics as T
+from ..operators.retrieval import keyphrases
 from .registry import SQL_LCS, SQL_PAIRS, SQL_TOKENS, SQL_TURNS, document_pairs, documents, query, sql_overlap, table, turn_pairs
 
 _KEYED = "keyed AS (SELECT conv_id * 1000 + turn AS id, * FROM turns)"
@@ -130,6 +131,13 @@ def keyword_prf_at_k(spark, sf):
     return S.keyword_scores(t.select("doc_id", F.slice("t", 1, 40).alias("g"), F.slice("t", 21, 40).alias("p")), gold="g", predicted="p", k=10)
 
 
+@query()
+def keyword_prf_at_k_whole(spark, sf):
+    """Ten keyphrases of each whole text against all words of it."""
+    own = documents(spark, sf).select("doc_id", F.array_distinct(index_tokens(F.lower("text"))).alias("g"), F.transform(keyphrases("text", top=10), lambda x: x["phrase"]).alias("p"))
+    return S.keyword_scores(own, gold="g", predicted="p", k=10)
+
+
 _STATS = "round(avg(len), 6) AS mean, round(quantile_cont(len, 0.5), 6)::DOUBLE AS median, round(stddev_pop(len), 6) AS std, count(*) AS n"
 _LENGTHS = f"WITH {SQL_PAIRS}, l AS (SELECT split, 'reference' AS side, length(reference) AS len FROM pairs UNION ALL SELECT split, 'summary', length(summary) FROM pairs)"
 

@@ -76,3 +76,21 @@ def test_strings_of_loaders(spark):
 @pytest.mark.parametrize("text", ["", " ", "a", " . b", "...", "\n\nOne! Two", "  x", "No end", "A?! B.", ".\n", "\t\nlast"])
 def test_first_sentence_is_the_first_of_all(spark, text):
     assert one(spark, text, X.first_sentence) == (one(spark, text, X.sentences) or [""])[0]
+
+
+def test_keywords_of_all_of_a_text_count(spark, tmp_path):
+    import regex
+
+    from condensa.operators.retrieval import keyphrase_scores
+    from condensa.queries import QUERIES
+
+    find, split = regex.compile(r"[\p{L}\p{N}]+").findall, regex.compile(r"[^.!?]+[.!?]*").findall
+    head = "Rain fell on the old harbour wall. " * 10
+    texts, scores = [head + tail for tail in ("", "Zebra crossings confuse zebras, a zebra said. Lions sleep. " * 5, "Other words stand here. " * 9)], []
+    for name, some in (("all", texts), ("head", [head] * 3)):
+        spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        scores.append(QUERIES["keyword_prf_at_k_whole"](spark, f"{tmp_path}/{name}").first())
+        p, g = [{x for x, _ in keyphrase_scores(t, 10, 3, find, split)} for t in some], [set(find(t.lower())) for t in some]
+        each = [(len(a & b) / len(a), len(a & b) / len(b)) for a, b in zip(p, g)]
+        assert scores[-1].precision == pytest.approx(100 * sum(x for x, _ in each) / 3, abs=1e-5) and scores[-1].recall == pytest.approx(100 * sum(y for _, y in each) / 3, abs=1e-5)
+    assert scores[0] != scores[1]  # what stands after token 60 counts
