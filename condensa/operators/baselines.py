@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,3 +158,36 @@ def block_sums(attention: DataFrame, spans: DataFrame) -> DataFrame:
     own = Window.partitionBy("doc", "in_sent")
     first = F.row_number().over(own.orderBy(F.desc("weight"), "out_sent"))
     return sums.withColumn("share", F.round(F.col("weight") / F.sum("weight").over(own), 6)).withColumn("is_max", first == 1)
+
+
+def block_sums_by(spans: DataFrame, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """As block_sums, of whole-numbered weights that weigh(out_tok, in_tok) gives for a column and a row of positions.
+
+    spans: (doc, sent, first, last), the same for both sides. A document is added up in one
+    task, slice by slice, so that token pairs are neither held nor shuffled. Where an input's
+    weights are all 0 its shares are null.
+    """
+    from pyspark.sql import Window
+
+    kinds = {c: spans.schema[c].dataType.simpleString() for c in ("doc", "sent")}
+
+    def run(own: pa.Table) -> pa.Table:
+        own = own.sort_by("first")
+        first, last = own.column("first").to_numpy(), own.column("last").to_numpy()
+        tok = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last)])
+        starts, step = np.concatenate([[0], np.cumsum(last - first + 1)[:-1]]), max(1, 2_000_000 // len(tok))
+        sums = np.zeros((len(first), len(first)), np.int64)
+        for k, (a, b) in enumerate(zip(first, last)):
+            for lo in range(a, b + 1, step):
+                sums[k] += np.add.reduceat(weigh(np.arange(lo, min(lo + step, b + 1))[:, None], tok[None]).sum(0), starts)
+        out, in_ = np.divmod(np.arange(sums.size), len(first))
+        sent = own.column("sent")
+        return pa.table({"doc": own.column("doc").take(pa.array(out)), "out_sent": sent.take(pa.array(out)), "in_sent": sent.take(pa.array(in_)), "weight": sums.ravel()})
+
+    spark = spans.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # spans are few bytes for their work, and would be joined in one task
+    own = spans.select("doc", "sent", F.col("first").cast("long"), F.col("last").cast("long")).repartition(parts, "doc")
+    sums = own.groupBy("doc").applyInArrow(run, f"doc {kinds['doc']}, out_sent {kinds['sent']}, in_sent {kinds['sent']}, weight long")
+    own = Window.partitionBy("doc", "in_sent")
+    first = F.row_number().over(own.orderBy(F.desc("weight"), "out_sent"))
+    return sums.withColumn("share", F.round(F.col("weight") / F.nullif(F.sum("weight").over(own), F.lit(0)), 6)).withColumn("is_max", first == 1)

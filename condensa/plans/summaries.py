@@ -196,6 +196,18 @@ def attention_block_sum(spark, sf):
     return B.block_sums(attention, sides)
 
 
+@query(f"""WITH t AS (SELECT conv_id AS doc, turn AS sent, {SQL_WORDS('text')} AS w FROM conversations), k AS (SELECT doc, sent, len(w) AS n, coalesce(sum(len(w)) OVER (PARTITION BY doc ORDER BY sent ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM t),
+ tok AS (SELECT doc, sent, a + i AS tok FROM (SELECT doc, sent, a, unnest(range(n)) AS i FROM k) q),
+ s AS (SELECT x.doc, x.sent AS out_sent, y.sent AS in_sent, sum((x.tok * 7 + y.tok * 3) % 11)::BIGINT AS weight FROM tok x JOIN tok y ON x.doc = y.doc GROUP BY ALL)
+ SELECT doc, out_sent, in_sent, weight, round(weight / nullif(sum(weight) OVER (PARTITION BY doc, in_sent), 0), 6) AS share, row_number() OVER (PARTITION BY doc, in_sent ORDER BY weight DESC, out_sent) = 1 AS is_max FROM s""")
+def attention_block_sum_whole(spark, sf):
+    """All words of each turn attend to each other by the same weights."""
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("sent"), F.size(index_tokens("text")).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("doc").orderBy("sent").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = turns.withColumn("first", before).where("n > 0")
+    return B.block_sums_by(spans.select("doc", "sent", "first", (F.col("first") + F.col("n") - 1).alias("last")), lambda x, y: (x * 7 + y * 3) % 11)
+
+
 @query(f"WITH {SQL_PAIRS} SELECT split, count(*) AS n, min(row_id) AS first, max(row_id) AS last FROM pairs GROUP BY split")
 def split_registry(spark, sf):
     return document_pairs(spark, sf).groupBy("split").agg(F.count("*").alias("n"), F.min("row_id").alias("first"), F.max("row_id").alias("last"))

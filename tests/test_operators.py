@@ -172,6 +172,21 @@ def test_any_scorer_and_lengths(spark):
         S.checked_rows([1], [1, 2], [1])
 
 
+def test_all_words_of_long_turns_attend(spark, tmp_path):
+    from condensa.queries import QUERIES
+
+    turns = [(1, 0, "a " * 300), (1, 1, "!"), (1, 2, "b " * 9), (1, 3, "c " * 40), (2, 0, "one")]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.doc, r.out_sent, r.in_sent): r for r in QUERIES["attention_block_sum_whole"](spark, str(tmp_path)).collect()}
+    spans = {0: range(300), 2: range(300, 309), 3: range(309, 349)}
+    want = {(1, x, y): sum((i * 7 + j * 3) % 11 for i in spans[x] for j in spans[y]) for x in spans for y in spans}
+    assert {k: r.weight for k, r in got.items()} == want | {(2, 0, 0): 0} and got[2, 0, 0].share is None
+    for y in spans:
+        of = {x: want[1, x, y] for x in spans}
+        assert [x for x in spans if got[1, x, y].is_max] == [max(of, key=of.get)]
+        assert all(got[1, x, y].share == pytest.approx(w / sum(of.values()), abs=1e-6) for x, w in of.items())
+
+
 def test_histogram_has_its_right_edge(spark):
     df = spark.createDataFrame([(0.0,), (0.5,), (1.0,), (1.0,)], "relative_position double")
     assert {(r.bin, r.n) for r in T.position_histogram(df, F.lit(4)).collect()} == {(0, 1), (2, 1), (3, 2)}
