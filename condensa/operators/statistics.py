@@ -39,10 +39,12 @@ def position_histogram(positions: DataFrame, bins: Column, column: str = "relati
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 
-def fixed_histogram(values: DataFrame, column: str, low: float, high: float, bins: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """(*by, bin, n) over [low, high], edges inclusive, others left out."""
+def fixed_histogram(values: DataFrame, column: str, low: float, high: float, bins: int, by: tuple[str, ...] = (), clamp: bool = False) -> DataFrame:
+    """(*by, bin, n) over [low, high], edges inclusive. Others are left out, or with clamp are in the first and last bin."""
     v = F.col(column)
     at = F.least(F.floor((v - low) * bins / (high - low)), F.lit(bins - 1)).cast("long")
+    if clamp:
+        return values.where(v.isNotNull()).groupBy(*by, F.greatest(at, F.lit(0).cast("long")).alias("bin")).agg(F.count("*").alias("n"))
     return values.where(v.between(low, high)).groupBy(*by, at.alias("bin")).agg(F.count("*").alias("n"))
 
 

@@ -111,6 +111,15 @@ def sink_plot(spark, sf):
     return fixed_histogram(documents(spark, sf).select("lang", length_of("text").alias("len")), "len", 0, 20_000, 50, ("lang",))
 
 
+@query("WITH l AS (SELECT lang, length(text) AS len FROM documents) SELECT lang, least(floor(len * 50 / 20000), 49)::BIGINT AS bin, count(*) AS n FROM l WHERE len IS NOT NULL GROUP BY ALL")
+def sink_plot_whole(spark, sf):
+    """All documents: those of more than 20,000 signs are in the last bin."""
+    from ..functions.text import length_of
+    from ..operators.statistics import fixed_histogram
+
+    return fixed_histogram(documents(spark, sf).select("lang", length_of("text").alias("len")), "len", 0, 20_000, 50, ("lang",), clamp=True)
+
+
 DATASETS = {"documents": document_pairs}
 
 

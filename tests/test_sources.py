@@ -64,3 +64,10 @@ def test_sections(spark):
     assert [(r.url, r.section_name, r.document, r.summary) for r in rows] == [("u", "n", "d", "s")]
     with pytest.raises(Exception, match="differ in length"):
         R.sections(spark.createDataFrame([((["n"], ["d"], []), "u")], kind)).collect()
+
+
+def test_long_documents_are_in_the_last_bin(spark, tmp_path):
+    from condensa.queries import QUERIES
+
+    spark.createDataFrame([("en", "x" * n) for n in (0, 399, 400, 20_000, 20_001, 150_000)] + [("de", None)], "lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r.lang, r.bin): r.n for r in QUERIES["sink_plot_whole"](spark, str(tmp_path)).collect()} == {("en", 0): 2, ("en", 1): 1, ("en", 49): 3}
