@@ -102,6 +102,16 @@ def confidence(values: DataFrame, column: str, *, n_resamples: int = 2_000, seed
     return means.groupBy(by).agg(q).select(by, *[F.round(F.col("q")[i], 6).alias(name) for i, name in enumerate(("low", "mid", "high"))])
 
 
+def confidence_of(rows: DataFrame, columns: list[str], *, n_resamples: int = 2_000, seed: int = 256) -> DataFrame:
+    """(metric, low, mid, high) as of confidence, for columns of the same rows (pos, *columns): each draw serves all of them."""
+    places = _numbered(rows.select("pos")).crossJoin(rows.sparkSession.range(n_resamples).select(F.col("id").alias("resample")))
+    drawn = places.select("resample", draw(seed, F.col("resample"), F.col("pos"), F.col("n")).alias("pos"))
+    means = drawn.join(rows, "pos").groupBy("resample").agg(*[F.avg(c).alias(c) for c in columns])
+    each = means.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("m")) for c in columns])))
+    q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q")
+    return each.groupBy("metric").agg(q).select("metric", *[F.round(F.col("q")[i], 6).alias(name) for i, name in enumerate(("low", "mid", "high"))])
+
+
 def keyword_scores(rows: DataFrame, *, gold: str, predicted: str, k: int) -> DataFrame:
     """One row (precision, recall, f1) in percent: means over rows of what the first k predictions share with the gold keywords, as sets."""
     p, g = F.array_distinct(F.slice(predicted, 1, k)), F.array_distinct(gold)

@@ -11,7 +11,8 @@ from ..functions.text import index_tokens, length_of
 from ..operators import significance as S
 from ..operators import statistics as T
 from ..operators.retrieval import keyphrases
-from .registry import SQL_LCS, SQL_PAIRS, SQL_TOKENS, SQL_TURNS, document_pairs, documents, query, sql_overlap, table, turn_pairs
+from ..storage import written
+from .registry import ORACLES, SQL_LCS, SQL_PAIRS, SQL_TOKENS, SQL_TURNS, document_pairs, documents, query, sql_overlap, table, turn_pairs
 
 _KEYED = "keyed AS (SELECT conv_id * 1000 + turn AS id, * FROM turns)"
 
@@ -119,6 +120,16 @@ def bootstrap_aggregate(spark, sf):
     return S.confidence(values, "x", n_resamples=200)
 
 
+@query()
+def bootstrap_aggregate_whole(spark, sf):
+    """The nine ROUGE scores of all pairs, 2,000 resamples."""
+    from ..functions.stem import _FIELDS
+
+    scored = turn_pairs(spark, sf).select("conv_id", "turn", rouge_scores("summary", "reference").alias("r"))
+    numbered = scored.select((F.row_number().over(Window.orderBy("conv_id", "turn")) - 1).cast("long").alias("pos"), "r.*")
+    return S.confidence_of(written(numbered, "rouge"), list(_FIELDS))
+
+
 _KEYS = f"SELECT doc_id, list_distinct(list_transform({SQL_TOKENS('text')}[1:40], lambda x: lower(x))) AS g, list_distinct(list_transform({SQL_TOKENS('text')}[21:60], lambda x: lower(x))[1:10]) AS p FROM documents"
 
 
@@ -207,3 +218,13 @@ def paired_bootstrap_test(spark, sf):
  SELECT 1000::BIGINT AS n_resamples, count(*) FILTER (round(s.gap, 9) >= round(t.gap, 9)) AS at_least, round((count(*) FILTER (round(s.gap, 9) >= round(t.gap, 9)) + 1) / 1001, 6) AS p FROM s, t""")
 def permutation_test(spark, sf):
     return S.permutation(_votes(spark, sf), n_resamples=1000)
+
+
+@query(ORACLES["paired_bootstrap_test"].replace("1000", "10000"))
+def paired_bootstrap_test_whole(spark, sf):
+    return S.paired_bootstrap(_votes(spark, sf))
+
+
+@query(ORACLES["permutation_test"].replace("1000", "10000").replace("1001", "10001"))
+def permutation_test_whole(spark, sf):
+    return S.permutation(_votes(spark, sf))

@@ -84,3 +84,29 @@ def test_stems():
 def test_rouge_l_and_identity(spark):
     o = pair(spark, "Der Hund schläft tief", "Der Hund schläft tief", rouge_scores)
     assert o["rouge1_fmeasure"] == o["rouge2_fmeasure"] == o["rougeL_fmeasure"] == 1.0
+
+
+def test_rouge_is_resampled_as_often_as_in_the_reference(spark, tmp_path):
+    from hashlib import md5
+
+    import numpy as np
+
+    from condensa.functions.stem import _FIELDS, rouge_scores
+    from condensa.queries import QUERIES
+
+    said = ["der alte Hafen im Regen", "Regen im Hafen", "Boote liegen am Kai", "am Kai liegen viele Boote", "nichts davon", "ganz anderes"]
+    spark.createDataFrame([(i // 2, i % 2, ("user", "assistant")[i % 2], t) for i, t in enumerate(said)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.metric: (r.low, r.mid, r.high) for r in QUERIES["bootstrap_aggregate_whole"](spark, str(tmp_path)).collect()}
+    rows = [r.r for r in spark.createDataFrame(list(zip([0, 1, 2], said[1::2], said[::2])), "i int, s string, r string").orderBy("i").select(rouge_scores("s", "r").alias("r")).collect()]
+    drawn = np.array([[int(md5(f"256:{k}:{p}".encode()).hexdigest()[:8], 16) % 3 for p in range(3)] for k in range(2000)])
+    for f in _FIELDS:
+        assert got.pop(f) == pytest.approx(np.quantile(np.array([r[f] for r in rows])[drawn].mean(1), [0.025, 0.5, 0.975]), abs=2e-6)
+    assert not got
+
+
+@pytest.mark.parametrize("name", ["paired_bootstrap_test_whole", "permutation_test_whole"])
+def test_tests_have_ten_thousand_resamples(spark, tmp_path, name):
+    from condensa.queries import QUERIES
+
+    spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert QUERIES[name](spark, str(tmp_path)).first().n_resamples == 10_000
