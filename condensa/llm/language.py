@@ -15,7 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,10 +24,10 @@ from ._arrow import PIECE, _is_word, buffers, row_slices
 from ._shared import small_batches
 
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic", "fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "ro": "romance", "ca": "romance"}
-#: At most so many labelled rows are used to fit; they are those with the least hash of the id.
-MAX_TRAIN_ROWS = 3_000
+#: At most so many labelled rows are used to fit; they are those with the least hash of the id in each language, as many of each as there are or fit.
+MAX_TRAIN_ROWS = 6_000
 BITS = 14
-EPOCHS = 5
+EPOCHS = 8
 COST = 10.0
 SIZES = (2, 3, 4)
 UNKNOWN = "und"
@@ -118,7 +118,9 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     """
     families = families or FAMILIES
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isin(list(families)))
-    picked = own.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_rows)  # broadcast: max_rows numbers
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    least = own.select("id", "lang").distinct().withColumn("place", place).where(F.col("place") <= max_rows)
+    picked = least.orderBy("place", F.xxhash64("id"), "id", "lang").limit(max_rows).select("id").distinct()  # broadcast: max_rows numbers
     rows = own.join(F.broadcast(picked), "id")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -50,3 +50,10 @@ def test_the_bound_holds(spark):
     assert MAX_TRAIN_ROWS < 10_000
     a, b = train(small(spark), max_rows=4), train(small(spark).repartition(3), max_rows=4)
     assert a.pairs == b.pairs and (a.weights == b.weights).all()
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "the cat and the dog", "en") for i in range(200)] + [(i, "el gato y el perro", "es") for i in (200, 201)] + [(202, "der Hund und die Katze", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    told = {r.doc_id: r.language for r in identify(docs, train(docs, max_rows=6)).collect()}
+    assert told == {r[0]: r[2] for r in rows}
