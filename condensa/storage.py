@@ -2,39 +2,86 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Setting with the number of partitions that tables of few row groups are spread over; see spread.
+PARTITIONS = "condensa.scan.partitions"
+
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of spark.checkpoint.dir; only a local session without the setting gets a temporary folder."""
+    """URI of the folder in spark.checkpoint.dir.
+
+    Only a local session that has none set gets a temporary one; a cluster without the
+    setting is an error, since a folder of one machine would not be seen by the others.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         folder = "file://" + tempfile.mkdtemp(prefix="condensa-")
         spark.sparkContext.setCheckpointDir(folder)
+    elif not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for held in _open[-1:]:
+        held.append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write within the block are deleted at its end: what is to stay must be written by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            delete(spark, path)
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """The frame as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    path = new_dir(df.sparkSession, name)
+    path = path or new_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its scan has fewer partitions than there are.
+    """df over as many partitions as the setting PARTITIONS says; df itself where it isn't set.
+
+    A small file often is one row group, which one task reads whatever the split size. Only
+    who runs such files sets this: it is a shuffle of all rows, whatever the table's size.
+    """
+    n = df.sparkSession.conf.get(PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
+
+
+def placed(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(df, the same with columns __file and __at that tell its rows apart whenever it is read).
 
-    A small file often is one row group, which one task reads whatever the split size; all
-    that follows would stay with that task. Inputs of more partitions than cores aren't touched.
+    Where df scans files, those are a row's file and its number there, and nothing is
+    written. Any other frame is written once, since its rows may come otherwise next time.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    with contextlib.suppress(Exception):
+        numbered = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+        if not numbered.isStreaming and numbered.schema["__at"].dataType.typeName() == "long":
+            return df, numbered
+    df = written(df, name)
+    return df, df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
