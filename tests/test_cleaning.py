@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from condensa.operators.cleaning import REASONS, Cleaner, breakdown, duplicates
+from condensa.operators.cleaning import REASONS, Cleaner, breakdown, duplicates, each_removed, matching, removed_as_text
 from condensa.operators.leakage import duplicate_report, leaked_texts, repeated_texts
 
 SPLITS = ("train", "validation", "test")
@@ -81,6 +81,49 @@ def test_long_chains_end_in_a_scan(spark):
     assert got == scan(edges)
 
 
+@pytest.mark.parametrize("rounds", [1, 2])
+@pytest.mark.parametrize("seed,n,keys", [(1, 300, 60), (2, 300, 400), (4, 200, 90)])
+def test_what_rounds_leave_is_scanned_by_groups(spark, seed, n, keys, rounds):
+    rng = random.Random(seed)
+    edges = [(i, rng.randrange(keys), rng.randrange(keys)) for i in range(n)]
+    df = spark.createDataFrame(edges, "place long, r long, s long").dropDuplicates(["r", "s"])
+    rows = sorted(map(tuple, df.collect()))
+    want = {p for p, why in scan(rows).items() if why is None}
+    assert {r.place for r in matching(df, max_rounds=rounds).collect()} == want
+
+
+def test_no_window_and_no_single_task(spark):
+    """The corpus meets the few rows with a reason; it is neither windowed nor sorted as a whole in one task."""
+    df = frame(spark, train=[(f"reference text number {i % 7}", f"summary {i % 5}") for i in range(40)])
+    plan = Cleaner(dedup="first").reasons(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan
+
+
+def test_columns_named_as_the_result_s(spark):
+    df = frame(spark, train=[("a reference text", "summary"), ("a reference text", "other")]).withColumn("reason", F.lit("mine"))
+    out = Cleaner(dedup="first").clean(df)
+    assert out.columns == df.columns and [r.reason for r in out.collect()] == ["mine"]
+    with pytest.raises(ValueError, match="reason"):
+        Cleaner().reasons(df)
+    assert Cleaner(dedup="first").reasons(df, into="why").where("why IS NOT NULL").count() == 1
+
+
+def test_a_function_is_called_with_every_removed_row(spark, tmp_path):
+    df = frame(spark, train=[("a reference text", "summary"), ("a reference text", "other"), ("x", "longer than x")])
+
+    def note(row, reason, folder=str(tmp_path)):
+        with open(f"{folder}/{row.row_id}", "w") as f:
+            f.write(removed_as_text(row, reason))
+
+    each_removed(Cleaner(dedup="first").reasons(df), note)
+    assert {p.name: p.read_text() for p in tmp_path.iterdir()} == {"1": "reference_duplicate (train 1): other <- a reference text", "2": "compression_ratio (train 2): longer than x <- x"}
+
+
+def test_a_low_ratio_is_warned_of():
+    with pytest.warns(UserWarning, match="ratio"):
+        Cleaner(min_compression_ratio=0.5)
+
+
 def test_rows_alike_in_everything_keep_one(spark):
     df = frame(spark, train=[("a reference text", "summary")])
     told = Cleaner(dedup="first").reasons(df.unionByName(df).unionByName(df)).collect()
@@ -100,7 +143,7 @@ def test_empty_corpus(spark):
     assert Cleaner().reasons(frame(spark, train=[("a", "b")]).where("false")).collect() == []
 
 
-@pytest.mark.parametrize("bad", [dict(dedup="last"), dict(length_metric="page"), dict(min_compression_ratio=-1), dict(min_length_summary=-1), dict(extractiveness=(0, 2)), dict(extractiveness="half")])
+@pytest.mark.parametrize("bad", [dict(dedup="last"), dict(length_metric="page"), dict(min_compression_ratio=-1), dict(min_length_summary=-1), dict(extractiveness=(0, 2)), dict(extractiveness="half"), dict(extractiveness=(0.9, 0.1))])
 def test_bad_options(bad):
     with pytest.raises(ValueError):
         Cleaner(**bad)
