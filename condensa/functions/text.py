@@ -1,10 +1,13 @@
-"""Text as columns: lengths, tokens, sentences and what loaders do to strings. All of it runs in the JVM."""
+"""Text as columns: lengths, tokens, sentences and what loaders do to strings. It runs in the JVM, but for given lemmatizers and counts of signs."""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Runs of letters and digits, or one sign of its own; white space separates.
@@ -29,9 +32,35 @@ def index_tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(_col(text), F.lit(WORD), F.lit(0))
 
 
-def lemmas(text: Column | str) -> Column:
-    """Lower-cased tokens stand in for lemmas where no dictionary is given."""
-    return F.transform(tokens(text), F.lower)
+def lemmas(text: Column | str, lemmatizer: Callable[[list[str]], list[str]] | None = None) -> Column:
+    """Lemmas of the tokens by a function of a list of tokens to as many lemmas; lower-cased tokens stand in where none is given."""
+    if lemmatizer is None:
+        return F.transform(tokens(text), F.lower)
+
+    @F.arrow_udf("array<string>")
+    def run(parts: pa.Array) -> pa.Array:
+        return pa.array([None if p is None else list(lemmatizer(p)) for p in parts.to_pylist()], pa.list_(pa.string()))
+
+    return run(tokens(text))
+
+
+def dictionary_lemmas(entries: dict[str, str]) -> Callable[[list[str]], list[str]]:
+    """A lemmatizer by a dictionary of forms, which goes to every worker; other words are lower-cased."""
+    return lambda parts: [entries.get(p, p.lower()) for p in parts]
+
+
+def sign_counts(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(ch, n) for every sign of all texts. A batch is counted where it is: a few distinct signs of each are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total: Counter = Counter()
+            for t in batch.column(0):
+                total.update(t.as_py() or "")
+            if total:
+                yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()), pa.int64())], ["ch", "n"])
+
+    return texts.select(text).mapInArrow(run, "ch string, n long").groupBy("ch").agg(F.sum("n").alias("n"))
 
 
 def length_of(text: Column | str, metric: str = "char") -> Column:

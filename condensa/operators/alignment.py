@@ -94,7 +94,8 @@ def greedy_matches(summary: Column, source: Column, *, n: int = 2, attribute: st
                 continue
             target = gram_counts(find(" ".join(x)), n)
             tokens, chosen, words, score = [find(s) for s in y], [], [], 0.0
-            left = [k for k, t in enumerate(tokens) if not target.keys().isdisjoint(gram_counts(t, n))]
+            known = {w for g in target for w in g}  # over the seam with what was chosen, a first word may complete a gram
+            left = [k for k, t in enumerate(tokens) if not target.keys().isdisjoint(gram_counts(t, n)) or (n > 1 and t and t[0] in known)]
             have = gram_counts(words, n)
             while left:
                 best, gain = None, score

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,36 +94,88 @@ def word_vectors(parts: list[str], find) -> np.ndarray:
     for i, r in enumerate(rows):
         for w in r:
             out[i, number[w]] += 1
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    return unit(out)
 
 
-def central_order(parts: list[str], find, threshold: float | None = None) -> list[int]:
-    if not parts:
-        return []
-    v = word_vectors(parts, find)
-    scores = np.round(centrality(v @ v.T, threshold), 9)
-    return np.lexsort((np.arange(len(parts)), -scores)).tolist()
+def unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
 
 
-def lexrank(parts: Column, *, k: Column | int | None = None, max_length: int | None = None, threshold: float | None = None) -> Column:
+#: Cells of the matrix of likeness that are held at a time.
+CELLS = 4_000_000
+
+
+def walk_centrality(vectors: np.ndarray, threshold: float | None = None, *, cells: int = CELLS, most: int = 1_000) -> np.ndarray:
+    """As centrality(vectors @ vectors.T, threshold), of vectors of unit length, without that matrix: rows of it are made anew
+    for each step of the walk, as many as fit. A long document takes the square of its sentences in time, not in memory."""
+    if threshold is not None and not 0 <= threshold < 1:
+        raise ValueError("the threshold is at least 0 and less than 1")
+    n = len(vectors)
+    step = max(1, cells // max(n, 1))
+
+    def likeness(a: int) -> np.ndarray:
+        s = (vectors[a : a + step] @ vectors.T).astype(np.float64)
+        return s if threshold is None else (np.round(s, 9) >= threshold).astype(np.float64)
+
+    soft = any(likeness(a).min() <= 0 for a in range(0, n, step))
+
+    def shares(a: int) -> np.ndarray:
+        s = likeness(a)
+        if soft:
+            s = np.exp(s - s.max(1, keepdims=True))
+        return s / s.sum(1, keepdims=True)
+
+    held = shares(0) if step >= n else None
+    v = np.full(n, 1 / max(n, 1))
+    for _ in range(most if n > 1 else 0):
+        new = np.zeros(n)
+        for a in range(0, n, step):
+            new += v[a : a + step] @ (shares(a) if held is None else held)
+        if np.allclose(new, v, rtol=1e-9, atol=1e-12):
+            return new
+        v = new
+    if n > 1:
+        raise ArithmeticError("no convergence")
+    return v
+
+
+def central_order(vectors: np.ndarray, threshold: float | None = None) -> list[int]:
+    scores = np.round(walk_centrality(vectors, threshold), 9) if len(vectors) else np.zeros(0)
+    return np.lexsort((np.arange(len(scores)), -scores)).tolist()
+
+
+def vector_centrality(sentences_: DataFrame, *, doc: str, pos: str, vector: str, threshold: float | None = None) -> DataFrame:
+    """(doc, pos, score): a row for each sentence of (doc, pos, vector), by a walk within its document. A document's vectors meet in one task."""
+    kinds = [sentences_.schema[c].dataType.simpleString() for c in (doc, pos)]
+
+    def run(own: pa.Table) -> pa.Table:
+        v = np.stack(own.column("v").to_pylist()).astype(np.float64)
+        return pa.table({"doc": own.column("doc"), "pos": own.column("pos"), "score": walk_centrality(unit(v), threshold)})
+
+    own = sentences_.select(F.col(doc).alias("doc"), F.col(pos).alias("pos"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    found = own.groupBy("doc").applyInArrow(run, f"doc {kinds[0]}, pos {kinds[1]}, score double")
+    return found.select(F.col("doc").alias(doc), F.col("pos").alias(pos), "score")
+
+
+def lexrank(parts: Column, *, k: Column | int | None = None, max_length: int | None = None, threshold: float | None = None, vectors: Column | None = None) -> Column:
     """The most central sentences, the most central first: k of them, or as long as max_length signs aren't exceeded.
 
-    One of the two must be given. A document's matrix is of its sentences by themselves.
+    One of the two must be given. A document's walk is over its sentences by themselves. vectors:
+    one for each sentence, as given by an encoder; counts of words stand in for them.
     """
     if (k is None) == (max_length is None):
         raise ValueError("either k or max_length")
 
-    @F.pandas_udf("string")
-    def run(sents: pd.Series, count: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def run(sents: pa.Array, count: pa.Array, given: pa.Array) -> pa.Array:
         import regex
 
         find, out = regex.compile(r"[\p{L}\p{N}]+").findall, []
-        for s, n in zip(sents, count):
+        for s, n, own in zip(sents.to_pylist(), count.to_pylist(), given.to_pylist()):
             if s is None:
                 out.append(None)
                 continue
-            s = list(s)
-            order = central_order(s, find, threshold)
+            order = central_order(word_vectors(s, find) if own is None else unit(np.array(own, np.float64).reshape(len(s), -1)), threshold)
             if max_length is None:
                 out.append(" ".join(s[i] for i in order[: int(n)]))
                 continue
@@ -134,9 +185,10 @@ def lexrank(parts: Column, *, k: Column | int | None = None, max_length: int | N
                     break
                 text += s[i] + " "
             out.append(text.strip(" "))
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.string())
 
-    return run(parts, F.lit(k if isinstance(k, int) else 0) if k is None or isinstance(k, int) else k)
+    count = F.lit(k if isinstance(k, int) else 0) if k is None or isinstance(k, int) else k
+    return run(parts, count, F.lit(None).cast("array<array<double>>") if vectors is None else vectors)
 
 
 def shortest(docs: DataFrame, parts: Column, key: str, n: int = 10) -> DataFrame:

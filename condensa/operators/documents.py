@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import lemmas, sentences, strip
@@ -19,21 +19,19 @@ def document_sentences(parts: Column) -> Column:
     return F.filter(parts, lambda s: ~is_boundary(s))
 
 
-def paragraphs(rows: DataFrame, *, doc: str, pos: str, sentence: str, closed_only: bool = False) -> DataFrame:
-    """(doc, paragraph, sentences): what stands between headings and blank lines, numbered from 0.
+def paragraphs(lines: Column | str, *, closed_only: bool = False) -> Column:
+    """array<array<string>>: what stands between headings and blank lines of an array of lines, within its row.
 
     closed_only leaves out a last paragraph that no boundary ends.
     """
-    w = Window.partitionBy(doc).orderBy(pos)
-    s = F.col(sentence)
-    marked = rows.withColumn("__gap", F.sum(is_boundary(s).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    marked = marked.withColumn("__gaps", F.max("__gap").over(Window.partitionBy(doc)))
-    marked = marked.where(~is_boundary(s))
-    if closed_only:
-        marked = marked.where("__gap < __gaps")
-    grouped = marked.groupBy(doc, "__gap").agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), s.alias("s")))).alias("__all"))
-    number = F.row_number().over(Window.partitionBy(doc).orderBy("__gap")) - 1
-    return grouped.select(doc, number.alias("paragraph"), F.transform("__all", lambda x: x["s"]).alias("sentences"))
+    lines = F.col(lines) if isinstance(lines, str) else lines
+
+    def cut_at(own: Column) -> Column:
+        at = F.filter(F.transform(own, lambda s, i: F.when(is_boundary(s), i)), lambda i: i.isNotNull())
+        ends = at if closed_only else F.array_append(at, F.size(own))
+        return F.zip_with(F.slice(F.concat(F.array(F.lit(-1)), at), F.lit(1), F.size(ends)), ends, lambda a, b: F.slice(own, a + 2, b - a - 1))
+
+    return F.filter(F.element_at(F.transform(F.array(lines), cut_at), 1), lambda p: F.size(p) > 0)
 
 
 def sentence_objects(parts: Column) -> Column:

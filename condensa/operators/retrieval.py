@@ -1,9 +1,11 @@
-"""Index, keyphrases, retrieval and summaries by topics, for all documents of a table at once."""
+"""Index, keyphrases, retrieval and topic digests, for all documents of a table at once. What one document holds stays in its row."""
 
 from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pairs import _finder
 from ..functions.text import cut, index_tokens, sentences
+from ..storage import written
 
 
 def sentence_rows(docs: DataFrame, *, doc: str = "doc_id", text: str | Column = "text") -> DataFrame:
@@ -24,12 +27,57 @@ def sentence_rows(docs: DataFrame, *, doc: str = "doc_id", text: str | Column =
     return docs.select(doc, F.posexplode(sentences(col) if kind == "string" else col).alias("sent_id", "sentence"))
 
 
-def postings(rows: DataFrame, *, doc: str = "doc_id", terms: list[str] | None = None) -> DataFrame:
-    """(doc, term, sent_id, tf). With terms, only those: others are left out before anything is shuffled."""
-    exploded = rows.select(doc, "sent_id", F.explode(index_tokens("sentence")).alias("term"))
-    if terms is not None:
-        exploded = exploded.where(F.col("term").isin(terms))
-    return exploded.groupBy(doc, "term", "sent_id").agg(F.count("*").alias("tf"))
+def term_counts(sentence: Column | str) -> Column:
+    """array<struct(term, tf)> of a sentence, by first occurrence."""
+
+    @F.arrow_udf("array<struct<term:string,tf:long>>")
+    def run(texts: pa.Array) -> pa.Array:
+        import regex
+
+        find = regex.compile(r"[\p{L}\p{N}]+").findall
+        counts = [None if t is None else Counter(find(t)) for t in texts.to_pylist()]
+        return pa.array([None if c is None else [{"term": t, "tf": n} for t, n in c.items()] for c in counts], pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())])))
+
+    return run(F.col(sentence) if isinstance(sentence, str) else sentence)
+
+
+def postings(rows: DataFrame, *, doc: str = "doc_id") -> DataFrame:
+    """(doc, term, sent_id, tf) of sentences (doc, sent_id, sentence): counted where they are, nothing is shuffled."""
+    return rows.select(doc, "sent_id", F.inline(term_counts("sentence"))).select(doc, "term", "sent_id", "tf")
+
+
+def index_size(text: Column | str) -> Column:
+    """struct(n_postings, n_terms, n_tokens) of a text's index."""
+    parts = F.transform(_sentences(text), index_tokens)
+    n = F.aggregate(F.transform(parts, lambda t: F.size(F.array_distinct(t))), F.lit(0), lambda x, y: x + y)
+    every = F.flatten(parts)
+    return F.struct(n.cast("long").alias("n_postings"), F.size(F.array_distinct(every)).cast("long").alias("n_terms"), F.size(every).cast("long").alias("n_tokens"))
+
+
+def _sentences(text: Column | str, kind: str = "string") -> Column:
+    text = F.col(text) if isinstance(text, str) else text
+    return sentences(text) if kind == "string" else text
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where value is reckoned once, however often then and its lambdas name it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _best_sentences(parts: Column, words: Column, most: Column) -> Column:
+    """Of lists of words, one a sentence: array<struct(less, first, sent_id)> of the most that have words, in order of rank.
+
+    less is the score with its sign changed: how often a sentence has the words, one named
+    twice counts twice. Equal scores: whoever has an earlier word, then the earlier sentence.
+    """
+
+    def scored(tokens: Column, at: Column) -> Column:
+        counts = F.transform(words, lambda w, k: F.struct(F.size(F.filter(tokens, lambda t: t == w)).alias("n"), k.alias("k")))
+        less = -F.aggregate(counts, F.lit(0).cast("long"), lambda x, c: x + c["n"])
+        return F.struct(less.alias("less"), F.array_min(F.transform(F.filter(counts, lambda c: c["n"] > 0), lambda c: c["k"])).alias("first"), at.alias("sent_id"))
+
+    hits = F.filter(F.transform(parts, scored), lambda x: x["less"] < 0)
+    return F.slice(F.array_sort(hits), F.lit(1), most.cast("int"))
 
 
 def document_frequency(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -37,26 +85,27 @@ def document_frequency(docs: DataFrame, *, doc: str = "doc_id", text: str = "tex
     return docs.select(F.explode(F.array_distinct(index_tokens(F.lower(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def frequency_retrieve(rows: DataFrame, query: str, *, doc: str = "doc_id", limit: int = 3, strict: bool = False) -> DataFrame:
+def frequency_retrieve(docs: DataFrame, query: str, *, doc: str = "doc_id", text: str = "text", limit: int = 3, strict: bool = False) -> DataFrame:
     """(doc, rank, sent_id, score): sentences with the most of the query's terms, a term counted as often as the query has it.
 
     Equal scores: whoever has the query's earlier term, then the earlier sentence. A term
-    that a document lacks adds nothing; strict leaves out documents that lack one.
+    that a document lacks adds nothing; strict leaves out documents that lack one. text: a
+    string, split here, or an array of sentences. A narrow pass.
     """
     import regex
 
     terms = regex.findall(r"[\p{L}\p{N}]+", query)
     if limit <= 0 or not terms:
         raise ValueError("a query with words and a positive limit")
-    weight, first = Counter(terms), {t: i for i, t in reversed(list(enumerate(terms)))}
-    look = F.create_map(*[x for t in weight for x in (F.lit(t), F.struct(F.lit(weight[t]).alias("w"), F.lit(first[t]).alias("p")))])
-    hits = postings(rows, doc=doc, terms=list(weight)).withColumn("__q", look[F.col("term")])
-    if strict:
-        complete = hits.groupBy(doc).agg(F.count_distinct("term").alias("__n")).where(F.col("__n") == len(weight)).select(doc)
-        hits = hits.join(complete, doc, "left_semi")
-    scored = hits.groupBy(doc, "sent_id").agg(F.sum(F.col("tf") * F.col("__q.w")).alias("score"), F.min("__q.p").alias("__p"))
-    rank = F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("score"), "__p", "sent_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select(doc, "rank", "sent_id", "score")
+    words = F.array(*[F.lit(t) for t in terms])
+
+    def found(parts: Column) -> Column:
+        best = _best_sentences(parts, words, F.lit(limit))
+        return F.when(F.size(F.array_except(words, F.flatten(parts))) == 0, best).otherwise(F.slice(best, 1, 0)) if strict else best
+
+    parts = F.transform(_sentences(text, docs.schema[text].dataType.typeName()), index_tokens)
+    rows = docs.select(doc, F.posexplode(_let(parts, found)).alias("k", "x"))
+    return rows.select(doc, (F.col("k") + 1).alias("rank"), F.col("x.sent_id").alias("sent_id"), (-F.col("x.less")).alias("score"))
 
 
 def dense_retrieve(vectors: DataFrame, query: list[float], *, key: str = "vec_id", vector: str = "embedding", limit: int = 3) -> DataFrame:
@@ -108,33 +157,119 @@ def given_topics(topics: Column, n: int) -> Column:
     return F.when(F.size(topics) >= n, F.slice(topics, 1, n)).otherwise(F.raise_error(F.lit("fewer topics than asked for")))
 
 
+def _digest(parts: Column, chosen: Column, max_chars: int | None, max_sentences: int | None) -> Column:
+    """Sentences of the chosen numbers as lines in the text's order."""
+    kept = F.transform(F.array_sort(F.array_distinct(chosen)), lambda k: F.get(parts, k))
+    if max_sentences is not None:
+        kept = F.slice(kept, 1, max_sentences)
+    return cut(F.array_join(kept, "\n"), max_chars)
+
+
 def topic_summary(docs: DataFrame, topics: str, *, doc: str = "doc_id", text: str = "text", limit: int = 3, max_chars: int | None = None, max_sentences: int | None = None) -> DataFrame:
     """(doc, summary): for each topic of a row's array the sentences that have most of its words, together in the text's order, as lines.
 
     With max_chars, the limit for a topic is max_chars over the number of topics, plus 1, and
-    the summary is cut after max_chars signs. Rows without a topic or a hit have no row.
+    the summary is cut after max_chars signs. Rows without a topic or a hit have no row. A
+    document is summarised in its row: nothing is shuffled.
     """
     if max_chars is not None and max_chars <= 0:
         raise ValueError("max_chars is positive")
-    rows = sentence_rows(docs, doc=doc, text=text)
-    # A row's own topics tell which of its words matter: all others are left out before anything is shuffled.
-    wanted = F.array_distinct(F.flatten(F.transform(topics, index_tokens))).alias("__wanted")
-    kind = docs.schema[text].dataType.typeName()
-    parts = docs.select(doc, wanted, F.posexplode(sentences(text) if kind == "string" else F.col(text)).alias("sent_id", "sentence"))
-    terms = parts.select(doc, "sent_id", F.explode(F.filter(index_tokens("sentence"), lambda t: F.array_contains("__wanted", t))).alias("term"))
-    tf = terms.groupBy(doc, "term", "sent_id").agg(F.count("*").alias("tf"))
-    asked = docs.select(doc, F.size(topics).alias("__n"), F.posexplode(topics).alias("__topic", "__query"))
-    words = asked.select(doc, "__n", "__topic", F.posexplode(index_tokens("__query")).alias("__p", "term"))
-    words = words.groupBy(doc, "__n", "__topic", "term").agg(F.count("*").alias("__w"), F.min("__p").alias("__p"))
-    hits = tf.join(words, [doc, "term"]).groupBy(doc, "__n", "__topic", "sent_id").agg(F.sum(F.col("tf") * F.col("__w")).alias("score"), F.min("__p").alias("__p"))
-    most = F.floor(F.lit(max_chars) / F.col("__n")) + 1 if max_chars is not None else F.lit(limit)
-    rank = F.row_number().over(Window.partitionBy(doc, "__topic").orderBy(F.desc("score"), "__p", "sent_id"))
-    chosen = hits.withColumn("__rank", rank).where(F.col("__rank") <= most).select(doc, "sent_id").distinct()
-    lines = chosen.join(rows, [doc, "sent_id"]).groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("sent_id", "sentence"))).alias("__all"))
-    kept = F.transform("__all", lambda x: x["sentence"])
-    if max_sentences is not None:
-        kept = F.slice(kept, 1, max_sentences)
-    return lines.select(doc, cut(F.array_join(kept, "\n"), max_chars).alias("summary"))
+    n = F.size(topics)
+    most = F.floor(F.lit(max_chars) / F.when(n > 0, n)) + 1 if max_chars is not None else F.lit(limit)
+
+    def chosen(parts: Column) -> Column:
+        own = F.transform(parts, index_tokens)
+        each = lambda tokens: F.flatten(F.transform(F.transform(F.col(topics), index_tokens), lambda w: F.transform(_best_sentences(tokens, w, most), lambda x: x["sent_id"])))
+        return F.struct(parts.alias("parts"), _let(own, each).alias("at"))
+
+    rows = docs.where(n > 0).select(doc, _let(_sentences(text, docs.schema[text].dataType.typeName()), chosen).alias("__x"))
+    return rows.where(F.size("__x.at") > 0).select(doc, _digest(F.col("__x.parts"), F.col("__x.at"), max_chars, max_sentences).alias("summary"))
+
+
+Encoder = Callable[[list[str]], np.ndarray]
+
+
+def encoded(text: Column | str, encoder: Encoder, *, batch: int = 32) -> Column:
+    """array<float> of texts by any function of a list of at most `batch` texts to their vectors; null for null. None is shipped."""
+
+    @F.arrow_udf("array<float>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(_vectors(texts.to_pylist(), encoder, batch), pa.list_(pa.float32()))
+
+    return run(F.col(text) if isinstance(text, str) else text)
+
+
+def _vectors(texts: list[str | None], encoder: Encoder, batch: int) -> list[np.ndarray | None]:
+    out: list[np.ndarray | None] = [None] * len(texts)
+    there = [i for i, t in enumerate(texts) if t is not None]
+    for a in range(0, len(there), batch):
+        for i, v in zip(there[a : a + batch], encoder([texts[i] for i in there[a : a + batch]])):
+            out[i] = np.asarray(v, np.float32)
+    return out
+
+
+def dense_topic_sentences(parts: Column, topics: Column, encoder: Encoder, *, limit: Column | int = 3, batch: int = 32) -> Column:
+    """array<int>: for each topic the numbers of the sentences whose vectors have the largest dot products with the topic's, the earlier of equals."""
+
+    @F.arrow_udf("array<int>")
+    def run(sents: pa.Array, asked: pa.Array, most: pa.Array) -> pa.Array:
+        out = []
+        for s, t, k in zip(sents.to_pylist(), asked.to_pylist(), most.to_pylist()):
+            if not s or not t:
+                out.append([])
+                continue
+            v = _vectors([*s, *t], encoder, batch)
+            scores = np.round(np.stack(v[len(s) :]).astype(float) @ np.stack(v[: len(s)]).astype(float).T, 6)
+            out.append([int(i) for row in scores for i in np.lexsort((np.arange(len(s)), -row))[:k]])
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return run(parts, topics, F.lit(limit).cast("int") if isinstance(limit, int) else limit.cast("int"))
+
+
+#: Topics of a text by name: functions of (text, how many) to an array of strings.
+EXTRACTORS: dict[str, Callable[[Column, int], Column]] = {"keyphrases": lambda text, n: F.transform(keyphrases(text, top=n), lambda x: x["phrase"])}
+RETRIEVERS = ("frequency", "dense")
+
+
+@dataclass(frozen=True)
+class Summarizer:
+    """Topics of a text, then the sentences that a retriever finds for each, in the text's order.
+
+    extractor: a name of EXTRACTORS, a function of (text, n) as those, or an array column of
+    given topics, of which n are taken. retriever: 'frequency' counts words, 'dense' compares
+    vectors of the encoder.
+    """
+
+    extractor: str | Column | Callable[[Column, int], Column] = "keyphrases"
+    retriever: str = "frequency"
+    n_topics: int = 5
+    encoder: Encoder | None = None
+
+    def __post_init__(self) -> None:
+        if isinstance(self.extractor, str) and self.extractor not in EXTRACTORS:
+            raise ValueError(f"extractor must be one of {sorted(EXTRACTORS)}, a function or a column")
+        if self.retriever not in RETRIEVERS:
+            raise ValueError(f"retriever must be one of {RETRIEVERS}")
+        if (self.retriever == "dense") != (self.encoder is not None):
+            raise ValueError("an encoder belongs to the dense retriever, and only to it")
+
+    def topics(self, text: Column) -> Column:
+        if isinstance(self.extractor, Column):
+            return given_topics(self.extractor, self.n_topics)
+        return (EXTRACTORS[self.extractor] if isinstance(self.extractor, str) else self.extractor)(text, self.n_topics)
+
+    def summarize(self, docs: DataFrame, *, doc: str = "doc_id", text: str = "text", limit: int = 3, max_chars: int | None = None, max_sentences: int | None = None) -> DataFrame:
+        """(doc, summary), see topic_summary. Texts without a topic have no row."""
+        own = docs.select(F.col(doc).alias(doc), F.col(text).alias("__text"), self.topics(F.col(text)).alias("__topics"))
+        if self.retriever == "frequency":
+            return topic_summary(own, "__topics", doc=doc, text="__text", limit=limit, max_chars=max_chars, max_sentences=max_sentences)
+        if max_chars is not None and max_chars <= 0:
+            raise ValueError("max_chars is positive")
+        n = F.size("__topics")
+        most = F.floor(F.lit(max_chars) / F.when(n > 0, n)) + 1 if max_chars is not None else F.lit(limit)
+        rows = own.where(n > 0).select(doc, _sentences("__text").alias("__parts"), "__topics", most.alias("__most"))
+        rows = rows.withColumn("__at", dense_topic_sentences(F.col("__parts"), F.col("__topics"), self.encoder, limit=F.col("__most")))
+        return rows.where(F.size("__at") > 0).select(doc, _digest(F.col("__parts"), F.col("__at"), max_chars, max_sentences).alias("summary"))
 
 
 def _candidates(words: list[str], most: int) -> dict[tuple[str, ...], int]:
@@ -204,7 +339,11 @@ def keyphrases(text: Column | str, *, top: int = 5, max_ngram: int = 3) -> Colum
 
 
 def position_weighted_keyphrases(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", top: int = 10, least: int = 2, cutoff: int = 400, max_ngram: int = 3, alpha: float = 2.3, sigma: float = 3.0) -> DataFrame:
-    """(doc, rank, phrase, score): phrases seen at least `least` times and first within `cutoff` words, by tf idf, with a boost for longer ones (El-Beltagy and Rafea, 2009)."""
+    """(doc, rank, phrase, score): phrases seen at least `least` times and first within `cutoff` words, by tf idf, with a boost for longer ones.
+
+    That a phrase which first comes after 400 words is none is part of the published method
+    (El-Beltagy and Rafea, 2009); whole texts are counted.
+    """
     kind = docs.schema[doc].dataType.simpleString()
 
     def spread(batches):
@@ -223,6 +362,7 @@ def position_weighted_keyphrases(docs: DataFrame, *, doc: str = "doc_id", text:
             yield pd.DataFrame(rows, columns=["doc", "phrase", "words", "first", "tf"])
 
     found = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).mapInPandas(spread, f"doc {kind}, phrase string, words int, first int, tf long")
+    found = written(found, "phrases")  # a pass over the texts in Python, whose rows are used three times
     total = docs.agg(F.count("*").alias("__total"))
     df = found.groupBy("phrase").agg(F.count("*").alias("df"))
     boost = found.groupBy("doc").agg(F.least(F.lit(sigma), F.count("*") / (F.greatest(F.count_if(F.col("words") > 1), F.lit(1)) * alpha)).alias("boost"))

@@ -27,6 +27,17 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return _parted(rows).crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))
 
 
+#: Rows that are sent to all tasks for drawn positions to be looked up, a few numbers each. More are met by a shuffle of the draws.
+LOOKUP_ROWS = 200_000
+#: Rows that a function of whole arrays takes, in each task that resamples them.
+ARRAY_ROWS = 5_000_000
+
+
+def _looked_up(rows: DataFrame) -> DataFrame:
+    """rows, marked to be sent to all tasks if their number is within the bound."""
+    return F.broadcast(rows) if rows.count() <= LOOKUP_ROWS else rows
+
+
 def accuracy(system: Column, gold: Column) -> Column:
     return F.avg(F.when(system == gold, 1.0).otherwise(0.0))
 
@@ -39,12 +50,12 @@ Scorer = Callable[[Column, Column], Column]
 
 
 def bootstrap_scores(rows: DataFrame, score: Scorer, n_resamples: int, seed: int) -> DataFrame:
-    """(resample, score_a, score_b). Drawn positions join the rows by position: the rows must not be few for it to scale, the resamples may be many."""
+    """(resample, score_a, score_b). Draws look up their rows where they are made, and only sums of each resample are shuffled."""
     spark = rows.sparkSession
     numbered = _numbered(rows)
     places = numbered.select("pos", "n").crossJoin(spark.range(n_resamples).select(F.col("id").alias("resample")))
     drawn = places.select("resample", draw(seed, F.col("resample"), F.col("pos"), F.col("n")).alias("pos"))
-    return drawn.join(rows, "pos").groupBy("resample").agg(score(F.col("a"), F.col("gold")).alias("score_a"), score(F.col("b"), F.col("gold")).alias("score_b"))
+    return drawn.join(_looked_up(rows), "pos").groupBy("resample").agg(score(F.col("a"), F.col("gold")).alias("score_a"), score(F.col("b"), F.col("gold")).alias("score_b"))
 
 
 def paired_bootstrap(rows: DataFrame, score: Scorer = accuracy, *, n_resamples: int = 10_000, seed: int = 256) -> DataFrame:
@@ -69,7 +80,12 @@ def permutation(rows: DataFrame, score: Scorer = accuracy, *, n_resamples: int =
 
 
 def resample_with(rows: DataFrame, score: Callable[[np.ndarray, np.ndarray], float], *, n_resamples: int = 10_000, seed: int = 256) -> DataFrame:
-    """As paired_bootstrap for any Python function of (system, gold): (resample, score_a, score_b), each task a share of the resamples."""
+    """As paired_bootstrap for any Python function of (system, gold): (resample, score_a, score_b), each task a share of the resamples.
+
+    The function needs all rows at once: more than ARRAY_ROWS are an error.
+    """
+    if rows.count() > ARRAY_ROWS:
+        raise ValueError(f"more than {ARRAY_ROWS} rows: use a scorer of columns")
     data = rows.orderBy("pos").toPandas()  # gold labels and two predictions, which the function needs as a whole
     gold, a, b = (data[c].to_numpy() for c in ("gold", "a", "b"))
 
@@ -97,7 +113,7 @@ def confidence(values: DataFrame, column: str, *, n_resamples: int = 2_000, seed
     n = values.groupBy(by).agg(F.count("*").alias("n"))
     places = _parted(values.select(by, "pos")).join(F.broadcast(n), by).crossJoin(values.sparkSession.range(n_resamples).select(F.col("id").alias("resample")))
     drawn = places.select(by, "resample", draw(seed, F.col("resample"), F.col("pos"), F.col("n")).alias("pos"))
-    means = drawn.join(values, [by, "pos"]).groupBy(by, "resample").agg(F.avg(column).alias("m"))
+    means = drawn.join(_looked_up(values), [by, "pos"]).groupBy(by, "resample").agg(F.avg(column).alias("m"))
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q")
     return means.groupBy(by).agg(q).select(by, *[F.round(F.col("q")[i], 6).alias(name) for i, name in enumerate(("low", "mid", "high"))])
 
@@ -106,7 +122,7 @@ def confidence_of(rows: DataFrame, columns: list[str], *, n_resamples: int = 2_0
     """(metric, low, mid, high) as of confidence, for columns of the same rows (pos, *columns): each draw serves all of them."""
     places = _numbered(rows.select("pos")).crossJoin(rows.sparkSession.range(n_resamples).select(F.col("id").alias("resample")))
     drawn = places.select("resample", draw(seed, F.col("resample"), F.col("pos"), F.col("n")).alias("pos"))
-    means = drawn.join(rows, "pos").groupBy("resample").agg(*[F.avg(c).alias(c) for c in columns])
+    means = drawn.join(_looked_up(rows), "pos").groupBy("resample").agg(*[F.avg(c).alias(c) for c in columns])
     each = means.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("m")) for c in columns])))
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q")
     return each.groupBy("metric").agg(q).select("metric", *[F.round(F.col("q")[i], 6).alias(name) for i, name in enumerate(("low", "mid", "high"))])

@@ -1,4 +1,4 @@
-"""Queries of the document model, index, retrieval, summaries and baselines."""
+"""Queries of the document model, index, retrieval, topic digests and baselines."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ def index_term_freq(spark, sf):
 
 @query(f"{_POST} SELECT doc_id, count(*) AS n_postings, count(DISTINCT term) AS n_terms, sum(tf)::BIGINT AS n_tokens FROM post GROUP BY doc_id")
 def build_index(spark, sf):
-    return R.postings(R.sentence_rows(documents(spark, sf))).groupBy("doc_id").agg(F.count("*").alias("n_postings"), F.count_distinct("term").alias("n_terms"), F.sum("tf").alias("n_tokens"))
+    return documents(spark, sf).select("doc_id", R.index_size("text").alias("x")).where("x.n_tokens > 0").select("doc_id", "x.*")
 
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({SQL_WORDS('lower(text)')}) AS term FROM documents) q GROUP BY term")
@@ -36,48 +36,50 @@ _QUERY = "the of the thing la"
 @query(f"""{_POST}, q(term, w, p) AS (VALUES ('the', 2, 0), ('of', 1, 1), ('thing', 1, 3), ('la', 1, 4)), h AS (SELECT doc_id, sent_id, sum(tf * w)::BIGINT AS score, min(p) AS p FROM post JOIN q USING (term) GROUP BY ALL)
  SELECT doc_id, rank::INT AS rank, sent_id::INT AS sent_id, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, p, sent_id) AS rank FROM h) z WHERE rank <= 3""")
 def frequency_retrieve(spark, sf):
-    return R.frequency_retrieve(R.sentence_rows(documents(spark, sf)), _QUERY)
-
-
-@query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), d AS (SELECT vec_id, round(list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), list_transform(e, lambda x: x::DOUBLE)), 6) AS score FROM embeddings, q)
- SELECT vec_id, score FROM d ORDER BY score DESC, vec_id LIMIT 3""")
-def dpr_retrieve(spark, sf):
-    """One search, by the vector of id 0; without that row nothing is found."""
-    vectors = table(spark, sf, "embeddings")
-    q = vectors.where("vec_id = 0").first()
-    return R.dense_retrieve(vectors if q else vectors.limit(0), q["embedding"] if q else [])
+    return R.frequency_retrieve(documents(spark, sf), _QUERY)
 
 
 @query("""WITH d AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(list_transform(v.embedding, lambda x: x::DOUBLE), list_transform(q.embedding, lambda x: x::DOUBLE)), 6) AS score FROM embeddings q, embeddings v),
  k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM d) SELECT query_id, rank::INT AS rank, vec_id, score FROM k WHERE rank <= 3""")
-def dpr_retrieve_whole(spark, sf):
+def dpr_retrieve(spark, sf):
     """Every embedding is a query."""
     return R.dense_retrieve_all(table(spark, sf, "embeddings"))
 
 
-_TOPICS = f"SELECT doc_id, list_distinct_first AS t FROM (SELECT doc_id, {SQL_WORDS('text')}[1:3] AS list_distinct_first FROM documents) q WHERE len(list_distinct_first) = 3"
+#: A document's first words as its topics: three, or as many as it has.
+_TOPICS = f"SELECT doc_id, {SQL_WORDS('text')}[1:3] AS t FROM documents"
+
+
+def _with_topics(spark, sf):
+    return documents(spark, sf).select("doc_id", "text", F.slice(index_tokens("text"), 1, 3).alias("t"))
 
 
 @query(f"SELECT doc_id, t[1:2] AS topics FROM ({_TOPICS}) q")
 def oracle_extract(spark, sf):
-    own = documents(spark, sf).select("doc_id", F.slice(index_tokens("text"), 1, 3).alias("t")).where(F.size("t") == 3)
-    return own.select("doc_id", R.given_topics(F.col("t"), 2).alias("topics"))
+    """Two topics of those given; documents of fewer words give as many."""
+    return _with_topics(spark, sf).select("doc_id", F.when(F.size("t") >= 2, R.given_topics(F.col("t"), 2)).otherwise(F.col("t")).alias("topics"))
+
+
+def _digest_sql(most: str, out: str) -> str:
+    return f"""{_POST}, t AS (SELECT doc_id, unnest(range(len(t))) AS topic, unnest(t) AS term, len(t) AS n FROM ({_TOPICS}) z), h AS (SELECT doc_id, topic, n, sent_id, tf AS score FROM post JOIN t USING (doc_id, term)),
+ c AS (SELECT DISTINCT doc_id, sent_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, topic ORDER BY score DESC, sent_id) AS k FROM h) y WHERE k <= {most})
+ SELECT doc_id, {out} AS summary FROM c JOIN rows USING (doc_id, sent_id) GROUP BY doc_id"""
 
 
-@query(f"""{_POST}, t AS (SELECT doc_id, unnest(range(3)) AS topic, unnest(t) AS term FROM ({_TOPICS}) z), h AS (SELECT doc_id, topic, sent_id, tf AS score FROM post JOIN t USING (doc_id, term)),
- c AS (SELECT DISTINCT doc_id, sent_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, topic ORDER BY score DESC, sent_id) AS k FROM h) y WHERE k <= 3)
- SELECT doc_id, md5(string_agg(s, E'\\n' ORDER BY sent_id)) AS summary FROM c JOIN rows USING (doc_id, sent_id) GROUP BY doc_id""")
+@query(_digest_sql("3", "md5(string_agg(s, E'\\n' ORDER BY sent_id))"))
 def summarize(spark, sf):
-    own = documents(spark, sf).select("doc_id", "text", F.slice(index_tokens("text"), 1, 3).alias("t")).where(F.size("t") == 3)
-    return R.topic_summary(own, "t").select("doc_id", F.md5("summary").alias("summary"))
+    return R.topic_summary(_with_topics(spark, sf), "t").select("doc_id", F.md5("summary").alias("summary"))
 
 
-@query(f"""{_POST}, t AS (SELECT doc_id, unnest(range(3)) AS topic, unnest(t) AS term FROM ({_TOPICS}) z), h AS (SELECT doc_id, topic, sent_id, tf AS score FROM post JOIN t USING (doc_id, term)),
- c AS (SELECT DISTINCT doc_id, sent_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, topic ORDER BY score DESC, sent_id) AS k FROM h) y WHERE k <= 15 // 3 + 1)
- SELECT doc_id, left(string_agg(s, E'\\n' ORDER BY sent_id), 15) AS summary FROM c JOIN rows USING (doc_id, sent_id) GROUP BY doc_id""")
+@query(_digest_sql("15 // n + 1", "left(string_agg(s, E'\\n' ORDER BY sent_id), 15)"))
 def summarize_max_length(spark, sf):
-    own = documents(spark, sf).select("doc_id", "text", F.slice(index_tokens("text"), 1, 3).alias("t")).where(F.size("t") == 3)
-    return R.topic_summary(own, "t", max_chars=15)
+    return R.topic_summary(_with_topics(spark, sf), "t", max_chars=15)
+
+
+@query()
+def summarize_by_keyphrases(spark, sf):
+    """The whole way from a text to its digest: its own keyphrases as topics."""
+    return R.Summarizer("keyphrases", "frequency").summarize(documents(spark, sf))
 
 
 @query()
@@ -85,7 +87,12 @@ def yake_extract(spark, sf):
     return documents(spark, sf).select("doc_id", R.keyphrases("text", top=5).alias("phrases"))
 
 
-@query()
+@query(f"""WITH w AS (SELECT doc_id, {SQL_WORDS('lower(text)')} AS l FROM documents), g AS (SELECT doc_id, n, p, array_to_string(l[p + 1:p + n], ' ') AS phrase
+  FROM (SELECT doc_id, l, n, unnest(range(0, len(l) - n + 1)) AS p FROM w, (VALUES (1), (2), (3)) v(n)) q WHERE length(l[p + 1]) > 2 AND length(l[p + n]) > 2),
+ f AS (SELECT doc_id, phrase, max(n) AS words, min(p) AS first, count(*) AS tf FROM g GROUP BY doc_id, phrase HAVING count(*) >= 2 AND min(p) < 400),
+ df AS (SELECT phrase, count(*) AS df FROM f GROUP BY phrase), b AS (SELECT doc_id, least(3.0, count(*) / (greatest(count(*) FILTER (words > 1), 1) * 2.3)) AS boost FROM f GROUP BY doc_id), total AS (SELECT count(*) AS n FROM documents),
+ s AS (SELECT doc_id, phrase, first, round(tf * CASE WHEN words = 1 THEN ln(n / df) / ln(2) ELSE ln(n) / ln(2) * boost END, 6) AS score FROM f JOIN df USING (phrase) JOIN b USING (doc_id), total)
+ SELECT doc_id, rank::INT AS rank, phrase, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, first, phrase) AS rank FROM s) q WHERE rank <= 10""")
 def kpminer(spark, sf):
     return R.position_weighted_keyphrases(documents(spark, sf))
 
@@ -93,14 +100,18 @@ def kpminer(spark, sf):
 _SENTS = f"SELECT doc_id, {SQL_SENTENCES('text')} AS l FROM documents"
 
 
-@query(f"SELECT doc_id, md5(array_to_string(l[1:3], ' ')) AS lead FROM ({_SENTS}) q WHERE len(l) > 0", name="lead_3")
+@query(f"SELECT doc_id, CASE WHEN len(l) > 0 THEN md5(array_to_string(l[1:3], ' ')) END AS lead FROM ({_SENTS}) q")
 def lead_3(spark, sf):
-    return documents(spark, sf).select("doc_id", sentences("text").alias("l")).where(F.size("l") > 0).select("doc_id", F.md5(B.lead(F.col("l"), 3)).alias("lead"))
+    """Null for documents without a sentence."""
+    own = documents(spark, sf).select("doc_id", sentences("text").alias("l"))
+    return own.select("doc_id", F.when(F.size("l") > 0, F.md5(B.lead(F.when(F.size("l") > 0, F.col("l")), 3))).alias("lead"))
 
 
-@query(f"SELECT doc_id, md5(array_to_string(l[1:5], ' ')) AS lead FROM ({_SENTS}) q WHERE len(l) > 0", name="lead_k")
+@query(f"SELECT doc_id, CASE WHEN len(l) > 0 THEN md5(array_to_string(l[1:5], ' ')) END AS lead FROM ({_SENTS}) q")
 def lead_k(spark, sf):
-    return documents(spark, sf).select("doc_id", sentences("text").alias("l")).where(F.size("l") > 0).select("doc_id", F.md5(B.lead(F.col("l"), 5)).alias("lead"))
+    """Null for documents without a sentence."""
+    own = documents(spark, sf).select("doc_id", sentences("text").alias("l"))
+    return own.select("doc_id", F.when(F.size("l") > 0, F.md5(B.lead(F.when(F.size("l") > 0, F.col("l")), 5))).alias("lead"))
 
 
 _TURNS = f"""t AS (SELECT conv_id, turn, {SQL_SENTENCES('text')} AS l, {SQL_SENTENCES('nxt')} AS m FROM (SELECT *, lead(text) OVER w AS nxt, lead(role) OVER w AS nrole FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) q WHERE role = 'user' AND nrole = 'assistant'),
@@ -126,21 +137,43 @@ def avg_compression_ratio(spark, sf):
 
 @query()
 def lexrank_st(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", B.lexrank(sentences("text"), k=3).alias("summary"))
+    return documents(spark, sf).select("doc_id", B.lexrank(sentences("text"), k=3).alias("summary"))
 
 
 @query()
 def lexrank_max_length(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", B.lexrank(sentences("text"), max_length=200).alias("summary"))
+    return documents(spark, sf).select("doc_id", B.lexrank(sentences("text"), max_length=200).alias("summary"))
 
 
 @query()
 def lexrank_dynamic(spark, sf):
-    from .registry import turn_pairs
+    pairs = document_pairs(spark, sf)
+    own = pairs.select("doc_id", sentences("reference").alias("l")).crossJoin(F.broadcast(B.mean_ratio(pairs)))
+    return own.select("doc_id", B.lexrank(F.col("l"), k=B.dynamic_length(F.size("l"), F.col("ratio"), 1)).alias("summary"))
 
-    pairs = turn_pairs(spark, sf)
-    own = pairs.select("conv_id", "turn", sentences("reference").alias("l")).crossJoin(F.broadcast(B.mean_ratio(pairs)))
-    return own.select("conv_id", "turn", B.lexrank(F.col("l"), k=B.dynamic_length(F.size("l"), F.col("ratio"), 1)).alias("summary"))
+
+#: Twenty vectors in a row are a document's sentences; a random walk goes by softmax of their cosines, here in steps that converge.
+_WALK = """WITH RECURSIVE e AS (SELECT vec_id, vec_id // 20 AS doc, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT vec_id, doc, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-9)) AS v FROM e),
+ s AS (SELECT a.doc, a.vec_id AS i, b.vec_id AS j, exp({0}) AS w FROM u a JOIN u b ON a.doc = b.doc),
+ p AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM s), n AS (SELECT doc, count(*) AS n FROM u GROUP BY doc),
+ walk(step, i, x) AS (SELECT 0, vec_id, 1.0::DOUBLE / n FROM u JOIN n USING (doc) UNION ALL SELECT step + 1, p.j, sum(p.w * x) FROM walk JOIN p ON p.i = walk.i WHERE step < 40 GROUP BY step + 1, p.j),
+ c AS (SELECT u.doc, i AS vec_id, round(x, 6) AS score FROM walk JOIN u ON u.vec_id = walk.i WHERE step = 40)""".format
+
+
+def _central(spark, sf, threshold=None):
+    own = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("doc"), F.col("vec_id").alias("pos"), "embedding")
+    return B.vector_centrality(own, doc="doc", pos="pos", vector="embedding", threshold=threshold).select("doc", F.col("pos").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@query(_WALK("list_dot_product(a.v, b.v)") + " SELECT doc, vec_id, score FROM c")
+def degree_centrality_scores(spark, sf):
+    return _central(spark, sf)
+
+
+@query(_WALK("CASE WHEN round(list_dot_product(a.v, b.v), 9) >= 0.1 THEN 1.0 ELSE 0.0 END") + " SELECT doc, vec_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, vec_id) AS rank FROM c) q WHERE rank <= 3")
+def top_k_centrality(spark, sf):
+    rank = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("score"), "vec_id"))
+    return _central(spark, sf, 0.1).withColumn("rank", rank).where(F.col("rank") <= 3).select("doc", "vec_id", "rank")
 
 
 @query(f"SELECT doc_id, len(l)::INT AS n_sentences FROM ({_SENTS}) q ORDER BY len(l), doc_id LIMIT 10")
@@ -164,8 +197,8 @@ def document_sentences(spark, sf):
 @query(f"""WITH {_LINES}, g AS (SELECT *, starts_with(s, '=') OR trim(s, E'\\n ') = '' AS b FROM lines), k AS (SELECT *, sum(b::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM g)
  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS paragraph, md5(string_agg(s, '|' ORDER BY pos)) AS sentences FROM k WHERE NOT b GROUP BY doc_id, k""")
 def paragraph_segmentation(spark, sf):
-    rows = _lines(spark, sf).select("doc_id", F.posexplode("l").alias("pos", "s"))
-    return D.paragraphs(rows, doc="doc_id", pos="pos", sentence="s").select("doc_id", "paragraph", F.md5(F.array_join("sentences", "|")).alias("sentences"))
+    rows = _lines(spark, sf).select("doc_id", F.posexplode(D.paragraphs("l")).alias("paragraph", "s"))
+    return rows.select("doc_id", "paragraph", F.md5(F.array_join("s", "|")).alias("sentences"))
 
 
 @query(f"SELECT doc_id, len(l)::BIGINT AS n_sentences, md5(lower(array_to_string(list_transform(l, lambda x: array_to_string(regexp_extract_all(x, '[\\p{{L}}\\p{{N}}]+|[^\\s\\p{{L}}\\p{{N}}]'), ' ')), '|'))) AS lemmas FROM ({_SENTS}) q")
@@ -180,27 +213,11 @@ def custom_splitting_fn(spark, sf):
     return documents(spark, sf).select("doc_id", F.size(D.document("text", by_line)["sentences"]).cast("long").alias("n"))
 
 
-@query(f"""WITH t AS (SELECT conv_id AS doc, turn AS sent, {SQL_WORDS('text')}[1:8] AS w FROM conversations), k AS (SELECT doc, sent, len(w) AS n, coalesce(sum(len(w)) OVER (PARTITION BY doc ORDER BY sent ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM t),
- tok AS (SELECT doc, sent, a + i AS tok FROM (SELECT doc, sent, a, unnest(range(n)) AS i FROM k) q),
- s AS (SELECT x.doc, x.sent AS out_sent, y.sent AS in_sent, sum((x.tok * 7 + y.tok * 3) % 11)::BIGINT AS weight FROM tok x JOIN tok y ON x.doc = y.doc GROUP BY ALL)
- SELECT doc, out_sent, in_sent, weight, round(weight / nullif(sum(weight) OVER (PARTITION BY doc, in_sent), 0), 6) AS share, row_number() OVER (PARTITION BY doc, in_sent ORDER BY weight DESC, out_sent) = 1 AS is_max FROM s""")
-def attention_block_sum(spark, sf):
-    """The first eight words of each turn attend to each other by made-up weights."""
-    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("sent"), F.size(F.slice(index_tokens("text"), 1, 8)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("doc").orderBy("sent").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = turns.withColumn("first", before).where("n > 0")
-    words = spans.select("doc", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("tok"))
-    pairs = words.select("doc", F.col("tok").alias("out_tok")).join(words.select("doc", F.col("tok").alias("in_tok")), "doc")
-    attention = pairs.withColumn("weight", (F.col("out_tok") * 7 + F.col("in_tok") * 3) % 11)
-    sides = spans.select("doc", F.explode(F.array(F.lit("out"), F.lit("in"))).alias("side"), "sent", "first", (F.col("first") + F.col("n") - 1).alias("last"))
-    return B.block_sums(attention, sides)
-
-
 @query(f"""WITH t AS (SELECT conv_id AS doc, turn AS sent, {SQL_WORDS('text')} AS w FROM conversations), k AS (SELECT doc, sent, len(w) AS n, coalesce(sum(len(w)) OVER (PARTITION BY doc ORDER BY sent ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM t),
  tok AS (SELECT doc, sent, a + i AS tok FROM (SELECT doc, sent, a, unnest(range(n)) AS i FROM k) q),
  s AS (SELECT x.doc, x.sent AS out_sent, y.sent AS in_sent, sum((x.tok * 7 + y.tok * 3) % 11)::BIGINT AS weight FROM tok x JOIN tok y ON x.doc = y.doc GROUP BY ALL)
  SELECT doc, out_sent, in_sent, weight, round(weight / nullif(sum(weight) OVER (PARTITION BY doc, in_sent), 0), 6) AS share, row_number() OVER (PARTITION BY doc, in_sent ORDER BY weight DESC, out_sent) = 1 AS is_max FROM s""")
-def attention_block_sum_whole(spark, sf):
+def attention_block_sum(spark, sf):
     """All words of each turn attend to each other by the same weights."""
     turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("sent"), F.size(index_tokens("text")).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("doc").orderBy("sent").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

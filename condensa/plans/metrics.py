@@ -12,7 +12,7 @@ from ..operators import significance as S
 from ..operators import statistics as T
 from ..operators.retrieval import keyphrases
 from ..storage import written
-from .registry import ORACLES, SQL_LCS, SQL_PAIRS, SQL_TOKENS, SQL_TURNS, document_pairs, documents, query, sql_overlap, table, turn_pairs
+from .registry import SQL_LCS, SQL_PAIRS, SQL_TOKENS, SQL_TURNS, document_pairs, documents, query, sql_overlap, table, turn_pairs
 
 _KEYED = "keyed AS (SELECT conv_id * 1000 + turn AS id, * FROM turns)"
 
@@ -26,9 +26,9 @@ def is_fully_extractive(spark, sf):
     return document_pairs(spark, sf).select("row_id", P.is_fully_extractive("summary", "reference").alias("extractive"))
 
 
-@query(f"WITH {SQL_TURNS} SELECT conv_id, turn, round(length(reference) / length(summary), 6) AS ratio FROM turns WHERE length(summary) > 0")
+@query(f"WITH {SQL_TURNS} SELECT conv_id, turn, round(length(reference) / nullif(length(summary), 0), 6) AS ratio FROM turns")
 def compression_ratio(spark, sf):
-    return turn_pairs(spark, sf).where("length(summary) > 0").select("conv_id", "turn", F.round(P.compression_ratio("summary", "reference"), 6).alias("ratio"))
+    return turn_pairs(spark, sf).select("conv_id", "turn", F.round(P.compression_ratio("summary", "reference", strict=False), 6).alias("ratio"))
 
 
 @query(f"WITH {SQL_TURNS} SELECT conv_id, turn, length(reference) <= length(summary) AS longer FROM turns")
@@ -111,17 +111,17 @@ _DRAW = "('0x' || substr(md5('{seed}:' || resample::VARCHAR || ':' || pos::VARCH
 
 @query(f"""WITH v AS (SELECT 'len_' || split AS metric, row_number() OVER (PARTITION BY split ORDER BY conv_id, turn) - 1 AS pos, x FROM (
   SELECT role AS split, conv_id, turn, length(text) AS x FROM conversations) q), n AS (SELECT metric, count(*) AS n FROM v GROUP BY metric),
- d AS (SELECT v.metric, resample, {_DRAW(seed=256)} % n AS pos FROM v JOIN n USING (metric), (SELECT unnest(range(200)) AS resample) r),
+ d AS (SELECT v.metric, resample, {_DRAW(seed=256)} % n AS pos FROM v JOIN n USING (metric), (SELECT unnest(range(2000)) AS resample) r),
  m AS (SELECT d.metric, resample, avg(x) AS m FROM d JOIN v ON v.metric = d.metric AND v.pos = d.pos GROUP BY d.metric, resample)
  SELECT metric, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.5), 6) AS mid, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY metric""")
 def bootstrap_aggregate(spark, sf):
     own = Window.partitionBy("role").orderBy("conv_id", "turn")
     values = table(spark, sf, "conversations").select(F.concat(F.lit("len_"), "role").alias("metric"), (F.row_number().over(own) - 1).cast("long").alias("pos"), length_of("text").alias("x"))
-    return S.confidence(values, "x", n_resamples=200)
+    return S.confidence(values, "x")
 
 
 @query()
-def bootstrap_aggregate_whole(spark, sf):
+def bootstrap_rouge(spark, sf):
     """The nine ROUGE scores of all pairs, 2,000 resamples."""
     from ..functions.stem import _FIELDS
 
@@ -130,20 +130,8 @@ def bootstrap_aggregate_whole(spark, sf):
     return S.confidence_of(written(numbered, "rouge"), list(_FIELDS))
 
 
-_KEYS = f"SELECT doc_id, list_distinct(list_transform({SQL_TOKENS('text')}[1:40], lambda x: lower(x))) AS g, list_distinct(list_transform({SQL_TOKENS('text')}[21:60], lambda x: lower(x))[1:10]) AS p FROM documents"
-
-
-@query(f"""SELECT round(avg(pr) * 100, 6) AS precision, round(avg(re) * 100, 6) AS recall, round(avg(CASE WHEN h > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END) * 100, 6) AS f1
- FROM (SELECT h, h / greatest(len(p), 1)::DOUBLE AS pr, h / greatest(len(g), 1)::DOUBLE AS re FROM (SELECT *, len(list_intersect(p, g)) AS h FROM ({_KEYS}) a) b) c""")
-def keyword_prf_at_k(spark, sf):
-    from ..functions.text import tokens
-
-    t = documents(spark, sf).select("doc_id", F.transform(tokens("text"), F.lower).alias("t"))
-    return S.keyword_scores(t.select("doc_id", F.slice("t", 1, 40).alias("g"), F.slice("t", 21, 40).alias("p")), gold="g", predicted="p", k=10)
-
-
 @query()
-def keyword_prf_at_k_whole(spark, sf):
+def keyword_prf_at_k(spark, sf):
     """Ten keyphrases of each whole text against all words of it."""
     own = documents(spark, sf).select("doc_id", F.array_distinct(index_tokens(F.lower("text"))).alias("g"), F.transform(keyphrases("text", top=10), lambda x: x["phrase"]).alias("p"))
     return S.keyword_scores(own, gold="g", predicted="p", k=10)
@@ -205,26 +193,16 @@ def _votes(spark, sf):
     return table(spark, sf, "labels").select((F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("pos"), F.col("quality").alias("gold"), guess("a", 8).alias("a"), guess("b", 7).alias("b"))
 
 
-@query(f"""WITH {_VOTES}, d AS (SELECT resample, {_DRAW(seed=256)} % (SELECT count(*) FROM votes) AS pos FROM votes, (SELECT unnest(range(1000)) AS resample) r),
+@query(f"""WITH {_VOTES}, d AS (SELECT resample, {_DRAW(seed=256)} % (SELECT count(*) FROM votes) AS pos FROM votes, (SELECT unnest(range(10000)) AS resample) r),
  s AS (SELECT resample, round(avg((a = gold)::INT), 9) AS x, round(avg((b = gold)::INT), 9) AS y FROM d JOIN votes USING (pos) GROUP BY resample)
- SELECT 1000::BIGINT AS n_resamples, count(*) FILTER (x > y) AS wins, count(*) FILTER (x = y) AS ties, round(1 - count(*) FILTER (x > y) / 1000, 6) AS p FROM s""")
+ SELECT 10000::BIGINT AS n_resamples, count(*) FILTER (x > y) AS wins, count(*) FILTER (x = y) AS ties, round(1 - count(*) FILTER (x > y) / 10000, 6) AS p FROM s""")
 def paired_bootstrap_test(spark, sf):
-    return S.paired_bootstrap(_votes(spark, sf), n_resamples=1000)
+    return S.paired_bootstrap(_votes(spark, sf))
 
 
 @query(f"""WITH {_VOTES}, t AS (SELECT abs(avg((a = gold)::INT) - avg((b = gold)::INT)) AS gap FROM votes),
- w AS (SELECT resample, gold, CASE WHEN {_DRAW(seed=256)} % 2 = 1 THEN b ELSE a END AS a, CASE WHEN {_DRAW(seed=256)} % 2 = 1 THEN a ELSE b END AS b FROM votes, (SELECT unnest(range(1000)) AS resample) r),
+ w AS (SELECT resample, gold, CASE WHEN {_DRAW(seed=256)} % 2 = 1 THEN b ELSE a END AS a, CASE WHEN {_DRAW(seed=256)} % 2 = 1 THEN a ELSE b END AS b FROM votes, (SELECT unnest(range(10000)) AS resample) r),
  s AS (SELECT resample, abs(avg((a = gold)::INT) - avg((b = gold)::INT)) AS gap FROM w GROUP BY resample)
- SELECT 1000::BIGINT AS n_resamples, count(*) FILTER (round(s.gap, 9) >= round(t.gap, 9)) AS at_least, round((count(*) FILTER (round(s.gap, 9) >= round(t.gap, 9)) + 1) / 1001, 6) AS p FROM s, t""")
+ SELECT 10000::BIGINT AS n_resamples, count(*) FILTER (round(s.gap, 9) >= round(t.gap, 9)) AS at_least, round((count(*) FILTER (round(s.gap, 9) >= round(t.gap, 9)) + 1) / 10001, 6) AS p FROM s, t""")
 def permutation_test(spark, sf):
-    return S.permutation(_votes(spark, sf), n_resamples=1000)
-
-
-@query(ORACLES["paired_bootstrap_test"].replace("1000", "10000"))
-def paired_bootstrap_test_whole(spark, sf):
-    return S.paired_bootstrap(_votes(spark, sf))
-
-
-@query(ORACLES["permutation_test"].replace("1000", "10000").replace("1001", "10001"))
-def permutation_test_whole(spark, sf):
     return S.permutation(_votes(spark, sf))

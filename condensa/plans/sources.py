@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.cleaning import Cleaner
 from ..sources import readers as R
+from ..sources.readers import split_by
 from ..storage import new_dir
-from .registry import SQL_PAIRS, document_pairs, documents, query, table
+from .registry import SQL_PAIRS, SQL_TURNS, Query, document_pairs, documents, query, table, turn_pairs
 
 
 @query(f"WITH {SQL_PAIRS} SELECT split, row_id, md5(reference) AS reference FROM pairs")
@@ -92,7 +97,7 @@ def scan_keyword_lines(spark, sf):
 
 @query(f"WITH {SQL_PAIRS} SELECT row_id, md5(summary) AS summary FROM pairs")
 def sink_json_array(spark, sf):
-    path = new_dir(spark, "summaries")
+    path = new_dir(spark, "json")
     R.write_json(document_pairs(spark, sf).select("row_id", "summary"), path)
     return spark.read.schema("row_id long, summary string").json(path).select("row_id", F.md5("summary").alias("summary"))
 
@@ -102,28 +107,36 @@ def sink_single_docs(spark, sf):
     return R.single_document_names(table(spark, sf, "benchmark"), order="item_id", text="text").withColumn("text", F.md5("text"))
 
 
-@query("WITH l AS (SELECT lang, length(text) AS len FROM documents) SELECT lang, least(floor(len * 50 / 20000), 49)::BIGINT AS bin, count(*) AS n FROM l WHERE len BETWEEN 0 AND 20000 GROUP BY ALL")
+@query("WITH l AS (SELECT lang, length(text) AS len FROM documents) SELECT lang, least(floor(len * 50 / 20000), 49)::BIGINT AS bin, count(*) AS n FROM l WHERE len IS NOT NULL GROUP BY ALL")
 def sink_plot(spark, sf):
-    """What a plot of lengths is drawn from; drawing is left to whoever has a plotting library."""
+    """What a plot of lengths is drawn from; texts of more than 20,000 signs are in the last bin. Drawing is left to whoever has a plotting library."""
     from ..functions.text import length_of
     from ..operators.statistics import fixed_histogram
 
-    return fixed_histogram(documents(spark, sf).select("lang", length_of("text").alias("len")), "len", 0, 20_000, 50, ("lang",))
-
+    return fixed_histogram(documents(spark, sf).select("lang", length_of("text").alias("len")), "len", 0, 20_000, 50, ("lang",), clamp=True)
 
-@query("WITH l AS (SELECT lang, length(text) AS len FROM documents) SELECT lang, least(floor(len * 50 / 20000), 49)::BIGINT AS bin, count(*) AS n FROM l WHERE len IS NOT NULL GROUP BY ALL")
-def sink_plot_whole(spark, sf):
-    """All documents: those of more than 20,000 signs are in the last bin."""
-    from ..functions.text import length_of
-    from ..operators.statistics import fixed_histogram
 
-    return fixed_histogram(documents(spark, sf).select("lang", length_of("text").alias("len")), "len", 0, 20_000, 50, ("lang",), clamp=True)
+#: Loaders by name; each gives pairs with their splits.
+DATASETS: dict[str, Query] = {
+    "documents": document_pairs,
+    "turns": lambda spark, sf: split_by(turn_pairs(spark, sf).withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), F.lit("train"), row_id="id"),
+}
+#: Cleaners by name; 'none' leaves a corpus as it is.
+FILTERS: dict[str, Cleaner | None] = {"none": None, "short": Cleaner(min_length_summary=20, min_length_reference=50, min_compression_ratio=1.25, dedup="none"), "default": Cleaner(min_length_summary=20, min_length_reference=50, min_compression_ratio=1.25)}
 
 
-DATASETS = {"documents": document_pairs}
+def load(spark, sf: str, name: str, filtered: str = "none") -> DataFrame:
+    """A corpus by name, cleaned by the filter of a name. Unknown names are errors."""
+    if name not in DATASETS or filtered not in FILTERS:
+        raise ValueError(f"one of {sorted(DATASETS)}, filtered by one of {sorted(FILTERS)}")
+    pairs, cleaner = DATASETS[name](spark, sf), FILTERS[filtered]
+    return pairs if cleaner is None else cleaner.clean(pairs)
 
 
-@query(f"WITH {SQL_PAIRS} SELECT split, count(*) AS n FROM pairs GROUP BY split")
+@query(f"""WITH {SQL_PAIRS}, {SQL_TURNS}, every AS (SELECT 'documents' AS name, split, reference, summary FROM pairs UNION ALL SELECT 'turns', 'train', reference, summary FROM turns),
+ kept AS (SELECT *, length(reference) >= 50 AND length(summary) >= 20 AND reference <> summary AND length(reference) / length(summary) >= 1.25 AS short FROM every)
+ SELECT name, 'none' AS filtered, split, count(*) AS n FROM kept GROUP BY ALL UNION ALL SELECT name, 'short', split, count(*) FROM kept WHERE short GROUP BY ALL""")
 def get_dataset(spark, sf):
-    """By name, from a registry of loaders."""
-    return DATASETS["documents"](spark, sf).groupBy("split").agg(F.count("*").alias("n"))
+    """Rows of every corpus as it is and filtered."""
+    counts = [load(spark, sf, name, f).groupBy(F.lit(name).alias("name"), F.lit(f).alias("filtered"), "split").agg(F.count("*").alias("n")) for name in DATASETS for f in ("none", "short")]
+    return reduce(DataFrame.unionByName, counts)

@@ -57,14 +57,17 @@ def better_sentence_split(spark, sf):
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("s").alias("sentence"))
 
 
-@query(f"WITH {_S} SELECT doc_id, count(*) FILTER (NOT regexp_matches(right(s, 1), '[:.?!\"'']')) AS n FROM sents GROUP BY doc_id")
+_L = f"(SELECT doc_id, {SQL_SENTENCES('text')} AS l FROM documents) q"
+
+
+@query(f"SELECT doc_id, len(list_filter(l, lambda s: NOT regexp_matches(right(s, 1), '[:.?!\"'']')))::BIGINT AS n FROM {_L}")
 def no_period_symbol(spark, sf):
-    return documents(spark, sf).select("doc_id", F.explode(X.sentences("text")).alias("s")).groupBy("doc_id").agg(F.count_if(X.lacks_ending("s")).alias("n"))
+    return documents(spark, sf).select("doc_id", F.size(F.filter(X.sentences("text"), X.lacks_ending)).cast("long").alias("n"))
 
 
-@query(f"WITH {_S} SELECT doc_id, count(*) FILTER (regexp_matches(s, '[0-9]\\.$')) AS n FROM sents GROUP BY doc_id")
+@query(f"SELECT doc_id, len(list_filter(l, lambda s: regexp_matches(s, '[0-9]\\.$')))::BIGINT AS n FROM {_L}")
 def year_like_sentence_end(spark, sf):
-    return documents(spark, sf).select("doc_id", F.explode(X.sentences("text")).alias("s")).groupBy("doc_id").agg(F.count_if(X.ends_in_digit_period("s")).alias("n"))
+    return documents(spark, sf).select("doc_id", F.size(F.filter(X.sentences("text"), X.ends_in_digit_period)).cast("long").alias("n"))
 
 
 @query("SELECT doc_id, 'de' AS text_lang, lang FROM documents")
@@ -101,33 +104,38 @@ def fuse_sentences(spark, sf):
     return documents(spark, sf).select("doc_id", F.md5(X.fused(parts)).alias("plain"), F.md5(X.fused(parts, "\n= ")).alias("stripped"))
 
 
-_LEGAL = f"SELECT doc_id, l, [CASE WHEN doc_id % 3 <> 1 THEN l[1:1] ELSE [] END, CASE WHEN doc_id % 3 <> 0 THEN l[2:3] ELSE [] END] AS g FROM (SELECT doc_id, {SQL_SENTENCES('text')} AS l FROM documents) q WHERE len(l) > 2"
+_LEGAL = f"SELECT doc_id, l, [CASE WHEN doc_id % 3 <> 1 THEN l[1:1] ELSE [] END, CASE WHEN doc_id % 3 <> 0 THEN l[2:3] ELSE [] END] AS g FROM (SELECT doc_id, {SQL_SENTENCES('text')} AS l FROM documents) q"
 
 
 def _legal(spark, sf):
-    """Documents of three sentences and more as court decisions: the first lines are principles, by thirds in one list, the other or both."""
-    own = documents(spark, sf).select("doc_id", X.sentences("text").alias("l")).where(F.size("l") > 2)
+    """Documents as court decisions: the first lines are principles, by thirds in one list, the other or both."""
+    own = documents(spark, sf).select("doc_id", X.sentences("text").alias("l"))
     none = F.array().cast("array<string>")
     first, second = F.when(F.col("doc_id") % 3 != 1, F.slice("l", 1, 1)).otherwise(none), F.when(F.col("doc_id") % 3 != 0, F.slice("l", 2, 2)).otherwise(none)
     return own.select("doc_id", "l", F.array(first, second).alias("g"))
 
 
+def _part():
+    return F.when(F.size(F.flatten("g")) > 0, X.principle_part(F.col("g"))).otherwise(F.lit("none"))
+
+
 @query(f"SELECT doc_id, md5(array_to_string(l[1:2], E'\\n') || E'\\n' || array_to_string(l[3:], E'\\n')) AS reference, md5(array_to_string(list_transform(flatten(g), lambda x: x || E'\\n'), '')) AS summary FROM ({_LEGAL}) z")
 def construct_legal_sample(spark, sf):
-    facts, reasoning = F.slice("l", 1, 2), F.slice("l", F.lit(3), F.size("l"))
+    facts, reasoning = F.slice("l", 1, 2), F.slice("l", F.lit(3), F.size("l") + 1)
     return _legal(spark, sf).select("doc_id", F.md5(X.legal_reference(facts, reasoning)).alias("reference"), F.md5(X.legal_summary(F.col("g"))).alias("summary"))
 
 
-@query(f"SELECT doc_id, CASE WHEN len(g[1]) > 0 AND len(g[2]) > 0 THEN 'both' WHEN len(g[1]) > 0 THEN 'first' ELSE 'second' END AS part FROM ({_LEGAL}) z")
+@query(f"SELECT doc_id, CASE WHEN len(g[1]) > 0 AND len(g[2]) > 0 THEN 'both' WHEN len(g[1]) > 0 THEN 'first' WHEN len(g[2]) > 0 THEN 'second' ELSE 'none' END AS part FROM ({_LEGAL}) z")
 def guiding_portion(spark, sf):
-    return _legal(spark, sf).select("doc_id", X.principle_part(F.col("g")).alias("part"))
+    """'none' for a document too short to have a principle, which alone would be an error."""
+    return _legal(spark, sf).select("doc_id", _part().alias("part"))
 
 
-@query(f"SELECT part, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS percent FROM (SELECT CASE WHEN len(g[1]) > 0 AND len(g[2]) > 0 THEN 'both' WHEN len(g[1]) > 0 THEN 'first' ELSE 'second' END AS part FROM ({_LEGAL}) z) y GROUP BY part")
+@query(f"SELECT part, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS percent FROM (SELECT CASE WHEN len(g[1]) > 0 AND len(g[2]) > 0 THEN 'both' WHEN len(g[1]) > 0 THEN 'first' WHEN len(g[2]) > 0 THEN 'second' ELSE 'none' END AS part FROM ({_LEGAL}) z) y GROUP BY part")
 def guiding_split_counts(spark, sf):
     from pyspark.sql import Window
 
-    counts = _legal(spark, sf).groupBy(X.principle_part(F.col("g")).alias("part")).agg(F.count("*").alias("n"))
+    counts = _legal(spark, sf).groupBy(_part().alias("part")).agg(F.count("*").alias("n"))
     return counts.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 
@@ -143,8 +151,7 @@ def expand_sections(spark, sf):
 
 @query("SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) q WHERE ch <> '' GROUP BY ch")
 def char_occurrences(spark, sf):
-    """Signs are counted within a document first: what is exploded is its few distinct signs."""
-    return documents(spark, sf).select(F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count("*").alias("n"))
+    return X.sign_counts(documents(spark, sf))
 
 
 @query(f"SELECT doc_id, len(t)::BIGINT AS n_tokens, greatest(len(t) - 1, 0)::BIGINT AS n_grams, md5(coalesce(array_to_string(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]), '|'), '')) AS grams FROM (SELECT doc_id, {SQL_TOKENS('text')} AS t FROM documents) q")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import alignment, cleaning, metrics, sources, summaries, text  # noqa: F401 (they register)
+from .plans import alignment, cleaning, digests, metrics, sources, text  # noqa: F401 (they register)
 from .plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

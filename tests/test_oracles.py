@@ -42,6 +42,15 @@ def test_same_rows(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, DATA).count() >= 0
+#: Queries without SQL, and the tests that hold them against brute force.
+BY_HAND = {
+    "bootstrap_rouge": "test_pairs", "rouge_corpus": "test_pairs", "keyword_prf_at_k": "test_text", "greedy_aligner": "test_by_hand", "lexrank_st": "test_by_hand", "lexrank_max_length": "test_by_hand",
+    "lexrank_dynamic": "test_by_hand", "yake_extract": "test_by_hand", "summarize_by_keyphrases": "test_by_hand",
+}
+
+
+def test_every_query_has_sql_or_a_test_by_hand():
+    assert set(QUERIES) - set(ORACLES) == set(BY_HAND)
+    for name, module in BY_HAND.items():
+        with open(os.path.join(os.path.dirname(os.path.abspath(__file__)), f"{module}.py")) as f:
+            assert f'"{name}"' in f.read()

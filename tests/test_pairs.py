@@ -86,7 +86,7 @@ def test_rouge_l_and_identity(spark):
     assert o["rouge1_fmeasure"] == o["rouge2_fmeasure"] == o["rougeL_fmeasure"] == 1.0
 
 
-def test_rouge_is_resampled_as_often_as_in_the_reference(spark, tmp_path):
+def test_rouge_is_resampled_two_thousand_times(spark, tmp_path):
     from hashlib import md5
 
     import numpy as np
@@ -96,7 +96,7 @@ def test_rouge_is_resampled_as_often_as_in_the_reference(spark, tmp_path):
 
     said = ["der alte Hafen im Regen", "Regen im Hafen", "Boote liegen am Kai", "am Kai liegen viele Boote", "nichts davon", "ganz anderes"]
     spark.createDataFrame([(i // 2, i % 2, ("user", "assistant")[i % 2], t) for i, t in enumerate(said)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {r.metric: (r.low, r.mid, r.high) for r in QUERIES["bootstrap_aggregate_whole"](spark, str(tmp_path)).collect()}
+    got = {r.metric: (r.low, r.mid, r.high) for r in QUERIES["bootstrap_rouge"](spark, str(tmp_path)).collect()}
     rows = [r.r for r in spark.createDataFrame(list(zip([0, 1, 2], said[1::2], said[::2])), "i int, s string, r string").orderBy("i").select(rouge_scores("s", "r").alias("r")).collect()]
     drawn = np.array([[int(md5(f"256:{k}:{p}".encode()).hexdigest()[:8], 16) % 3 for p in range(3)] for k in range(2000)])
     for f in _FIELDS:
@@ -104,9 +104,60 @@ def test_rouge_is_resampled_as_often_as_in_the_reference(spark, tmp_path):
     assert not got
 
 
-@pytest.mark.parametrize("name", ["paired_bootstrap_test_whole", "permutation_test_whole"])
+@pytest.mark.parametrize("name", ["paired_bootstrap_test", "permutation_test"])
 def test_tests_have_ten_thousand_resamples(spark, tmp_path, name):
     from condensa.queries import QUERIES
 
     spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     assert QUERIES[name](spark, str(tmp_path)).first().n_resamples == 10_000
+
+
+@pytest.mark.parametrize("bound", [0, 200_000])
+def test_draws_meet_rows_in_either_way(spark, bound, monkeypatch):
+    from condensa.operators import significance as S
+
+    rows = spark.createDataFrame([(i, i % 3, (i * 7) % 3, (i * 5) % 4 % 3) for i in range(40)], "pos long, gold int, a int, b int")
+    want = sorted(map(tuple, S.bootstrap_scores(rows, S.accuracy, 50, 1).collect()))
+    monkeypatch.setattr(S, "LOOKUP_ROWS", bound)
+    assert sorted(map(tuple, S.bootstrap_scores(rows, S.accuracy, 50, 1).collect())) == want
+    monkeypatch.setattr(S, "ARRAY_ROWS", 39)
+    with pytest.raises(ValueError, match="39"):
+        S.resample_with(rows, lambda s, g: 0.0)
+
+
+def test_corpus_scores_by_hand(spark, tmp_path):
+    """Nine scores from lists of stems, with the table of subsequences in full."""
+    from condensa.functions.stem import cistem
+    from condensa.queries import QUERIES
+
+    said = ["Der alte Hafen im Regen, im Hafen", "Regen im alten Hafen", "Boote liegen am Kai und am Kai", "am Kai liegen viele Boote am Kai", "", "ganz anderes", "Wörter mit Zahlen 12 und 12345", "12 Zahlen"]
+    spark.createDataFrame([(i // 2, i % 2, ("user", "assistant")[i % 2], t) for i, t in enumerate(said)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+
+    def words(t):
+        out, w = [], ""
+        for c in t.lower() + " ":
+            if c in "abcdefghijklmnopqrstuvwxyz0123456789":
+                w += c
+            elif w:
+                out.append(cistem(w) if len(w) > 3 else w)
+                w = ""
+        return out
+
+    def lcs(a, b):
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+        return table[-1][-1]
+
+    rows = []
+    for target, prediction in zip(said[::2], said[1::2]):
+        t, p, row = words(target), words(prediction), {}
+        for name, hits, n, m in [(f"rouge{k}", sum(min([p[i : i + k] for i in range(len(p) - k + 1)].count(g), [t[i : i + k] for i in range(len(t) - k + 1)].count(g)) for g in {tuple(p[i : i + k]) for i in range(len(p) - k + 1)} for g in [list(g)]), len(p) - k + 1, len(t) - k + 1) for k in (1, 2)] + [("rougeL", lcs(t, p), len(p), len(t))]:
+            pr, re = hits / max(n, 1), hits / max(m, 1)
+            row |= {f"{name}_precision": pr, f"{name}_recall": re, f"{name}_fmeasure": 2 * pr * re / (pr + re) if pr + re else 0.0}
+        rows.append(row)
+    got = QUERIES["rouge_corpus"](spark, str(tmp_path)).first()
+    assert got.n == 4
+    for f in rows[0]:
+        assert got[f] == pytest.approx(sum(r[f] for r in rows) / 4, abs=1e-6)

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 
@@ -70,4 +71,15 @@ def test_long_documents_are_in_the_last_bin(spark, tmp_path):
     from condensa.queries import QUERIES
 
     spark.createDataFrame([("en", "x" * n) for n in (0, 399, 400, 20_000, 20_001, 150_000)] + [("de", None)], "lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {(r.lang, r.bin): r.n for r in QUERIES["sink_plot_whole"](spark, str(tmp_path)).collect()} == {("en", 0): 2, ("en", 1): 1, ("en", 49): 3}
+    assert {(r.lang, r.bin): r.n for r in QUERIES["sink_plot"](spark, str(tmp_path)).collect()} == {("en", 0): 2, ("en", 1): 1, ("en", 49): 3}
+
+
+def test_corpora_and_filters_by_name(spark):
+    from condensa.plans.sources import load
+
+    data = "/root/testdata/sf0.001"
+    if os.path.isdir(data):
+        assert load(spark, data, "documents", "default").count() < load(spark, data, "documents", "short").count() < load(spark, data, "documents").count()
+    for bad in (("nothing", "none"), ("documents", "nothing")):
+        with pytest.raises(ValueError):
+            load(spark, data, *bad)

@@ -89,8 +89,23 @@ def test_keywords_of_all_of_a_text_count(spark, tmp_path):
     texts, scores = [head + tail for tail in ("", "Zebra crossings confuse zebras, a zebra said. Lions sleep. " * 5, "Other words stand here. " * 9)], []
     for name, some in (("all", texts), ("head", [head] * 3)):
         spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
-        scores.append(QUERIES["keyword_prf_at_k_whole"](spark, f"{tmp_path}/{name}").first())
+        scores.append(QUERIES["keyword_prf_at_k"](spark, f"{tmp_path}/{name}").first())
         p, g = [{x for x, _ in keyphrase_scores(t, 10, 3, find, split)} for t in some], [set(find(t.lower())) for t in some]
         each = [(len(a & b) / len(a), len(a & b) / len(b)) for a, b in zip(p, g)]
         assert scores[-1].precision == pytest.approx(100 * sum(x for x, _ in each) / 3, abs=1e-5) and scores[-1].recall == pytest.approx(100 * sum(y for _, y in each) / 3, abs=1e-5)
     assert scores[0] != scores[1]  # what stands after token 60 counts
+
+
+def test_given_lemmatizers(spark):
+    df = spark.createDataFrame([("Die Boote lagen.",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(X.lemmas("t")).collect()] == [["die", "boote", "lagen", "."], None, []]
+    look = X.dictionary_lemmas({"Boote": "Boot", "lagen": "liegen"})
+    assert [r[0] for r in df.select(X.lemmas("t", look)).collect()] == [["die", "Boot", "liegen", "."], None, []]
+
+
+def test_signs_are_counted_before_they_are_shuffled(spark):
+    from collections import Counter
+
+    texts = ["abca", "", None, "\U0001f600a\n", "x" * 5000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    assert {r.ch: r.n for r in X.sign_counts(df).collect()} == dict(Counter("".join(t or "" for t in texts)))
