@@ -21,14 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import spread
-from ._shared import small_batches
 from ._arrow import row_slices
+from ._shared import release, small_batches
 from ._tokenizer import PATTERN, default_path, ranks
 
 #: Words a worker remembers; beyond that it starts anew.
 MEMORY_WORDS = 250_000
 #: Rows that one recursive query begins with, and bytes of text handled at a time.
 QUERY_ROWS = 400_000
+DECODE_ROWS = 250_000
 SLICE_BYTES = 2_000_000
 #: A query takes rounds and rows in the square of a word's length. Longer words (bytes) take the
 #: same contractions in the same order from a heap.
@@ -131,7 +132,8 @@ class Codec:
     def __init__(self, path: str) -> None:
         import regex
 
-        self.path, self.find = path, regex.compile(PATTERN).findall
+        pattern = regex.compile(PATTERN)
+        self.path, self.find, self.iterate = path, pattern.findall, pattern.finditer
         self.known, self.ids, self.starts = _Numbers(), np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -167,16 +169,21 @@ class Codec:
         counts = np.fromiter(map(len, out), np.int64, len(out))
         return (np.concatenate(out) if out else np.zeros(0)).astype(np.int32), counts
 
+    def _numbered(self, text: str) -> np.ndarray:
+        """The text's words by their numbers. The words of a long text aren't held all at once."""
+        known = self.known
+        if len(text) <= SLICE_BYTES:
+            found = self.find(text)
+            return np.fromiter(map(known.__getitem__, found), np.int32, len(found))
+        return np.fromiter((known[m.group()] for m in self.iterate(text)), np.int32)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts one after another, and how many each has."""
         if len(self.known) > MEMORY_WORDS:
             self.known, self.ids, self.starts = _Numbers(), np.zeros(0, np.int32), np.zeros(1, np.int64)
         known, met = self.known, len(self.known)
-        numbers, pieces = [], np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            found = self.find(t)
-            pieces[i] = len(found)
-            numbers.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
+        numbers = [self._numbered(t) for t in texts]
+        pieces = np.fromiter(map(len, numbers), np.int64, len(numbers))
         if len(known) > met:
             new = [w.encode() for w in list(known)[met:]]
             ids, counts = self._encode_words(new)
@@ -191,18 +198,18 @@ class Codec:
         return tokens, np.diff(sums)
 
     def decode(self, tokens: np.ndarray, counts: np.ndarray) -> list[str]:
-        """The texts of ids laid end to end, counts[i] of them for each. Bytes that are no UTF-8 become U+FFFD."""
-        first = np.cumsum(counts) - counts
-        rows = pa.table({
-            "doc": pa.array(np.repeat(np.arange(len(counts)), counts), pa.int32()),
-            "pos": pa.array(np.arange(len(tokens)) - np.repeat(first, counts), pa.int32()),
-            "id": pa.array(tokens, pa.int32()),
-        })
-        got = _table(_database(self.path), DECODE, "token_rows", rows)
-        out = [""] * len(counts)
-        for doc, joined in zip(got.column("doc").to_pylist(), got.column("bytes").to_pylist()):
-            out[doc] = joined.encode("latin-1").decode("utf-8", "replace")
-        return out
+        """The texts of ids laid end to end, counts[i] of them for each. Bytes that are no UTF-8 become U+FFFD.
+
+        A query takes DECODE_ROWS ids at most, wherever a text ends: the bytes of a longer one are put together here.
+        """
+        doc, out = np.repeat(np.arange(len(counts)), counts), [[] for _ in counts]
+        for a in range(0, len(tokens), DECODE_ROWS):
+            own = doc[a : a + DECODE_ROWS]
+            rows = pa.table({"doc": pa.array(own, pa.int32()), "pos": pa.array(np.arange(len(own)), pa.int32()), "id": pa.array(tokens[a : a + DECODE_ROWS], pa.int32())})
+            got = _table(_database(self.path), DECODE, "token_rows", rows)
+            for d, joined in zip(got.column("doc").to_pylist(), got.column("bytes").to_pylist()):
+                out[d].append(joined.encode("latin-1"))
+        return [b"".join(x).decode("utf-8", "replace") for x in out]
 
 
 @lru_cache(2)
@@ -215,37 +222,53 @@ def _sliced(lengths: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     return row_slices(np.concatenate([[0], np.cumsum(lengths)]), limit)
 
 
+def _frame(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
+def _encoded(c: Codec, batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]]:
+    """(ids, lists of tokens, tokens laid end to end, how many of each) for slices of a batch of (doc_id, text)."""
+    texts = batch.column("text")
+    sizes = np.array(pa.compute.fill_null(pa.compute.binary_length(texts), 0), np.int64)
+    for a, b in _sliced(sizes, SLICE_BYTES):
+        part = texts.slice(a, b - a)
+        tokens, counts = c.encode(pa.compute.fill_null(part, "").to_pylist())
+        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32(), mask=np.append(np.array(part.is_null()), False))
+        yield batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(offsets, pa.array(tokens)), tokens, counts
+
+
+def _text_of(c: Codec, tokens: np.ndarray, counts: np.ndarray, lists: pa.Array) -> pa.Array:
+    return pa.array(c.decode(tokens, counts), pa.string(), mask=np.array(lists.is_null()))
+
+
 def encode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
     """(doc_id, tokens) for every row: [] for an empty text, null for a null one.
 
-    Rows repeat as they do in docs, ids may be null, other columns don't matter.
+    Rows repeat as they do in docs, ids may be null, other columns don't matter. Texts of
+    any length are encoded whole. An empty table gives an empty result.
     """
-    path = tokenizer or default_path()
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    path, own = tokenizer or default_path(), _frame(docs, doc_id, text)
     schema = T.StructType([own.schema["doc_id"], T.StructField("tokens", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
         for batch in batches:
-            texts = batch.column("text")
-            sizes = np.array(pa.compute.fill_null(pa.compute.binary_length(texts), 0), np.int64)
-            for a, b in _sliced(sizes, SLICE_BYTES):
-                part = texts.slice(a, b - a)
-                tokens, counts = c.encode(pa.compute.fill_null(part, "").to_pylist())
-                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32(), mask=np.append(np.array(part.is_null()), False))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.ListArray.from_arrays(offsets, pa.array(tokens))], ["doc_id", "tokens"])
+            for ids, lists, _, _ in _encoded(codec(path), batch):
+                yield pa.RecordBatch.from_arrays([ids, lists], ["doc_id", "tokens"])
+        release()
 
     return small_batches(own).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, *, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, tokens, decoded) of a frame of (doc_id, tokens). Null tokens decode to null; an unknown id is an error."""
+    """(doc_id, tokens, decoded) of a frame of (doc_id, tokens). Null tokens decode to null; an unknown id is an error.
+
+    Lists of any length are decoded whole, DECODE_ROWS ids at a time. An empty table gives an empty result.
+    """
     path = tokenizer or default_path()
     own = tokens.select("doc_id", "tokens")
     schema = T.StructType([*own.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
         for batch in batches:
             lists = batch.column("tokens")
             sizes = np.array(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), np.int64)
@@ -254,11 +277,25 @@ def decode(tokens: DataFrame, *, tokenizer: str | None = None) -> DataFrame:
                 ids = np.array(part.flatten(), np.int32)
                 if len(ids) and not 0 <= ids.min() <= ids.max() < len(ranks(path)):
                     raise ValueError("an id that the vocabulary doesn't have")
-                out = c.decode(ids, sizes[a:b])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), part, pa.array(out, pa.string(), mask=np.array(part.is_null()))], ["doc_id", "tokens", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), part, _text_of(codec(path), ids, sizes[a:b], part)], ["doc_id", "tokens", "decoded"])
+        release()
+
+    return small_batches(own).mapInArrow(run, schema)
+
+
+def encode_decode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, tokens, decoded): what decode(encode(docs)) gives, by one worker for each task instead of two."""
+    path, own = tokenizer or default_path(), _frame(docs, doc_id, text)
+    schema = T.StructType([own.schema["doc_id"], T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, lists, tokens, counts in _encoded(codec(path), batch):
+                yield pa.RecordBatch.from_arrays([ids, lists, _text_of(codec(path), tokens, counts, lists)], ["doc_id", "tokens", "decoded"])
+        release()
 
     return small_batches(own).mapInArrow(run, schema)
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:
-    return decode(encode(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+    return encode_decode(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -19,14 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import spread
+from ..storage import placed, spread
 from ._arrow import gram_hashes, mix, word_slices
 from ._graph import components
-from ._shared import new_dir, small_batches, written
+from ._shared import marked, new_dir, small_batches, write_marks, written
 
 BITS = 256
 #: Bits that may differ. Texts with one word in twenty replaced differ by about 40, texts of one language by 100.
@@ -112,8 +112,8 @@ class _Forest:
         return x != y
 
 
-def _tiles(distinct: DataFrame, folder: str, tile: int) -> list[tuple[str, int, int, int]]:
-    """Write the signatures (sig, in an order) as tiles: (name, rows, least and greatest population count)."""
+def _tiles(distinct: DataFrame, folder: str, tile: int) -> DataFrame:
+    """Write the signatures (sig, in an order) as tiles: (name, n, low, high), the last two the least and greatest population count."""
     from pyarrow import fs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,12 +144,15 @@ def _tiles(distinct: DataFrame, folder: str, tile: int) -> list[tuple[str, int,
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["name", "n", "low", "high"])
 
-    found = written(distinct.mapInArrow(run, "name string, n long, low long, high long"), "simhash-tiles")
-    return [tuple(r) for r in found.orderBy("low", "high", "name").collect()]  # one row for each tile
+    return written(distinct.mapInArrow(run, "name string, n long, low long, high long"), "simhash-tiles")
 
 
 def close_signatures(distinct: DataFrame, *, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(a, b) pairs of signatures that join all that are within the radius of each other into their groups."""
+    """(a, b) pairs of signatures that join all that are within the radius of each other into their groups.
+
+    The tiles are numbered and put into blocks of TASK_TILES; a task is a tile and a block, so
+    that the driver has nothing to hold but how many there are.
+    """
     from pyarrow import fs
 
     spark = distinct.sparkSession
@@ -157,28 +160,36 @@ def close_signatures(distinct: DataFrame, *, radius: int = RADIUS, tile: int = T
     order = distinct.withColumn("pop", F.expr(" + ".join(f"bit_count(cast(conv(hex(substring(sig, {k}, 7)), 16, 10) as bigint))" for k in range(1, BITS // 8 + 1, 7))))
     order = written(order, "simhash-distinct").repartitionByRange("pop", "sig").sortWithinPartitions("pop", "sig").select("sig")
     tiles = _tiles(order, folder, tile)
-    n = len(tiles)
-    tasks: list[tuple[int, list[int]]] = []
-    for i in range(n):
-        # Of an even number the opposite tile would be met from both ends.
-        others = [(i + k) % n for k in range(n // 2 + 1) if not (k and 2 * k == n and i >= n // 2)]
-        others = [j for j in others if max(tiles[i][2], tiles[j][2]) - min(tiles[i][3], tiles[j][3]) <= radius]
-        tasks += [(i, others[k : k + TASK_TILES]) for k in range(0, len(others), TASK_TILES)]
-    sent = spark.sparkContext.broadcast([t[0] for t in tiles])  # a name for each tile
+    # A row for each tile of thousands of signatures: one task numbers them.
+    tiles = written(tiles.withColumn("i", F.row_number().over(Window.orderBy("low", "high", "name")) - 1).withColumn("block", F.floor(F.col("i") / TASK_TILES).cast("int")), "simhash-numbers")
+    n = tiles.count()
+    if not n:
+        return spark.createDataFrame([], "a binary, b binary")
+    blocks = -(-n // TASK_TILES)
+    members = tiles.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("i", "name", "low", "high"))).alias("others"), F.min("low").alias("lowest"), F.max("high").alias("highest"))  # TASK_TILES each
+    own = tiles.select("i", "name", "low", "high", F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("block"))
+    work = own.join(members, "block").where(F.greatest("low", "lowest") - F.least("high", "highest") <= radius)
+    q = F.floor(F.col("i") / TASK_TILES)  # tasks are numbered one by one, so that each is a partition
+    before = TASK_TILES * (q * blocks - F.floor(q * (q - 1) / 2)) + (F.col("i") - TASK_TILES * q) * (blocks - q)
+    work = work.select((before + F.col("block") - q).cast("int").alias("k"), "i", "name", "low", "high", "others")
+    last = (n - 1) // TASK_TILES
+    tasks = TASK_TILES * (last * blocks - last * (last - 1) // 2) + (n - TASK_TILES * last) * (blocks - last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
-        names = sent.value
 
-        def load(i: int) -> np.ndarray:
-            with store.open_input_stream(f"{root}/{names[i]}") as f:
+        def load(name: str) -> np.ndarray:
+            with store.open_input_stream(f"{root}/{name}") as f:
                 return np.frombuffer(f.read(), np.uint64).reshape(-1, BITS // 64)
 
         for batch in batches:
-            for i, others in zip(batch.column("i").to_pylist(), batch.column("js").to_pylist()):
-                own, forest, left, right = load(i), _Forest(), [], []
-                for j in others:
-                    other = own if i == j else load(j)
+            for task in batch.to_pylist():
+                own, forest, left, right, i = load(task["name"]), _Forest(), [], [], task["i"]
+                for o in task["others"]:
+                    j = o["i"]
+                    if j < i or max(o["low"] - task["high"], task["low"] - o["high"]) > radius:
+                        continue
+                    other = own if i == j else load(o["name"])
                     for xs, ys in close_pairs(own, other, radius, same=i == j):
                         for x, y in zip(xs.tolist(), ys.tolist()):
                             if forest.join(i << 32 | x, j << 32 | y):
@@ -187,10 +198,7 @@ def close_signatures(distinct: DataFrame, *, radius: int = RADIUS, tile: int = T
                 if left:
                     yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
-    if not tasks:
-        return spark.createDataFrame([], "a binary, b binary")
-    work = spark.createDataFrame([(k, i, js) for k, (i, js) in enumerate(tasks)], "k int, i int, js array<int>")
-    return work.repartitionById(len(tasks), "k").mapInArrow(run, "a binary, b binary")
+    return work.repartitionById(tasks, "k").mapInArrow(run, "a binary, b binary")
 
 
 def _signed(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -219,8 +227,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """(doc_id, group_id) of every row that has a near copy; group_id is the least doc_id of its group.
 
     Texts within the radius of each other are in one group, and so is whoever is in reach
-    through others. Null and blank texts are in none. Rows that repeat are copies of each
-    other. Ids may be null: group_id is null only where the whole group's are. Other
+    through others. Null and blank texts are in none; a text of any length is signed whole,
+    in pieces. Rows that repeat are copies of each other. Ids may be null: group_id is null only where the whole group's are. Other
     columns don't matter. An empty table gives an empty result.
     """
     signed = written(_signed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", ["doc_id"]), "simhash")
@@ -232,15 +240,17 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """docs with one row of each group, the one with the least doc_id; all columns stay.
 
-    Of rows that repeat one stays; ids that are null come last. Null and blank texts stay.
+    Of rows that repeat one stays; ids that are null come last. Null and blank texts stay;
+    a text of any length is signed whole, in pieces. An empty table stays empty. Rows are
+    told apart by their place in docs' files: the texts are neither copied nor shuffled, and
+    those to go are looked up file by file.
     """
-    names = docs.columns
-    numbered = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.monotonically_increasing_id().alias("row")), "simhash-docs")
-    signed = written(_signed(numbered.select("row", F.col("doc")[doc_id].alias("id"), F.col("doc")[text].alias("text")), "text", ["row", "id"]), "simhash")
-    rows = written(signed.join(_groups(signed, radius, tile), "sig").select("row", "id", "grp"), "simhash-rows")
-    first = rows.groupBy("grp").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("row"))
-    losers = written(rows.select("row").join(first.select("row"), "row", "left_anti"), "simhash-losers")
-    return numbered.join(losers, "row", "left_anti").select("doc.*")
+    docs, rows = placed(docs, "simhash-docs")
+    signed = written(_signed(rows.select("__file", "__at", F.col(doc_id).alias("id"), F.col(text).alias("text")), "text", ["__file", "__at", "id"]), "simhash")
+    grouped = written(signed.join(_groups(signed, radius, tile), "sig").select("__file", "__at", "id", "grp"), "simhash-rows")
+    first = grouped.groupBy("grp").agg(F.min(F.struct(F.col("id").isNull(), "id", "__file", "__at")).alias("first")).select("first.__file", "first.__at")
+    losers = write_marks(grouped.select("__file", "__at").join(first, ["__file", "__at"], "left_anti"), "simhash-losers")
+    return rows.where(~marked(losers)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

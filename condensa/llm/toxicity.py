@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from ..storage import spread
 from ._arrow import mix, row_of, word_slices
-from ._shared import small_batches
+from ._shared import release, small_batches
 
-#: At most so many labelled rows are used to fit; they are those with the least hash of the id.
+#: At most so many rows are used to fit: one of each of the labelled ids with the least hashes.
 MAX_TRAIN_ROWS = 12_000
 BITS = 20
 EPOCHS = 3
@@ -90,30 +90,38 @@ def fit(rows: list[tuple[np.ndarray, int]], *, bits: int = BITS, epochs: int = E
 
 
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_TRAIN_ROWS, bits: int = BITS) -> Model:
-    """Fit on at most max_rows labelled documents, spread over all ids by a hash.
+    """Fit on at most max_rows labelled rows, spread over all ids by a hash.
 
     Rows without an id, a text or a label don't count. A label given twice for an id counts
-    once, the larger. With no labelled row, or only one class, the model accepts every text.
+    once, the larger; an id with several texts counts once, with that of the least hash. Texts
+    count whole. With no labelled row, or only one class, the model accepts every text.
     """
     picked = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("__y"))
     picked = picked.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)  # broadcast: max_rows rows of two numbers
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(picked), "__id")
+    # Partial aggregates: however often an id comes, a task passes one of its texts on.
+    rows = rows.groupBy("__id", "__y").agg(F.min(F.struct(F.xxhash64("__text").alias("h"), F.col("__text").alias("text"))).alias("__one"))
+    rows = rows.select(F.xxhash64("__id").alias("place"), F.col("__id").cast("string").alias("id"), F.col("__y").alias("y"), F.col("__one.text").alias("text"))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for _, _, h, _, _, bounds, _, _ in word_slices(batch.column("__text"), prefixes=STEMS):
+            for _, _, h, _, _, bounds, _, _ in word_slices(batch.column("text"), prefixes=STEMS):
                 out += [_doc_features(h[a:b], bits).astype(np.int32).tobytes() for a, b in zip(bounds, bounds[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("__id").cast(pa.string()), batch.column("__y"), pa.array(out, pa.binary())], ["id", "y", "f"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("place", "id", "y")), pa.array(out, pa.binary())], ["place", "id", "y", "f"])
+        release()
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [(np.frombuffer(f, np.int32), y) for b in batches for f, y in zip(b.column("f").to_pylist(), b.column("y").to_pylist())]
-        if len({y for _, y in seen}) < 2:
+        rows = [(*row, f) for b in batches for *row, f in zip(*(b.column(c).to_pylist() for c in ("place", "id", "y")), b.column("f"))]
+        if len({y for _, _, y, _ in rows}) < 2:
             return
-        m = fit(seen, bits=bits)
+        rows.sort(key=lambda r: r[:2])  # whatever the way they came
+        m = fit([(np.frombuffer(f.as_buffer(), np.int32), y) for _, _, y, f in rows], bits=bits)  # the features stay where Arrow put them
+        del rows
         yield pa.RecordBatch.from_arrays([pa.array(np.append(m.buckets, -1), pa.int64()), pa.array(np.append(m.weights, np.float32(m.bias)), pa.float32())], ["bucket", "weight"])
+        release()
 
-    one = small_batches(rows).mapInArrow(featurise, "id string, y int, f binary").repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "f")
+    one = small_batches(rows).mapInArrow(featurise, "place long, id string, y int, f binary").repartition(1)
     found = one.mapInArrow(learn, "bucket long, weight float").toArrow()  # at most 2**bits + 1 pairs
     b, w = found.column("bucket").to_numpy(), found.column("weight").to_numpy()
     if not len(b):
@@ -144,7 +152,8 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
     """(doc_id, toxicity, toxic) for every row, in one narrow pass.
 
     A null or empty text has the score of the bias alone and isn't toxic; rows repeat as they do in docs; an
-    id that is null stays null. Other columns don't matter, whatever their names.
+    id that is null stays null. A text counts whole, in pieces if it is long; a score that equals the threshold is
+    toxic. An empty table gives no rows. Other columns don't matter, whatever their names.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -160,17 +169,18 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
 
 
 def reject(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose text isn't toxic, with all their columns. Null texts stay."""
+    """The rows of docs whose text isn't toxic, with all their columns. Null and empty texts stay, and repeated rows as
+    often as they come. Long texts, ties and an empty table are as in score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def toxic(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = sent.value
         dense = m.dense()
-        for batch in batches:
-            yield batch.filter(pa.array(~_scores(batch.column(at), m, dense, threshold)[1]))
+        for texts in parts:
+            yield pa.array(_scores(texts, m, dense, threshold)[1])
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return small_batches(docs).where(~toxic(F.col(text)))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:

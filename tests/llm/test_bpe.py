@@ -4,7 +4,7 @@ import pytest
 
 from cases import ODD, empty, odd
 from condensa.llm._tokenizer import default_path, encoding, ranks
-from condensa.llm.bpe import LONG_WORD, Codec, _by_heap, decode, encode
+from condensa.llm.bpe import LONG_WORD, Codec, _by_heap, decode, encode, encode_decode
 
 
 def texts():
@@ -55,3 +55,20 @@ def test_bytes_that_are_no_text_and_unknown_ids(spark):
 
 def test_empty(spark):
     assert decode(encode(empty(spark))).collect() == []
+
+
+def test_one_pass_is_the_two(spark):
+    df = odd(spark)
+    assert sorted(map(repr, encode_decode(df).collect())) == sorted(map(repr, decode(encode(df)).collect()))
+    assert encode_decode(empty(spark)).collect() == []
+
+
+def test_long_texts_decode_in_pieces(spark, monkeypatch):
+    """12 MB in one row; pieces end within letters of several bytes."""
+    text = "a few words \u00e9\u6f22\U0001f600 and 12 more!" * 350_000
+    (row,) = encode_decode(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row.decoded == text and row.tokens[:9] == encoding(default_path()).encode_ordinary(text[:60])[:9]
+    monkeypatch.setattr("condensa.llm.bpe.DECODE_ROWS", 3)
+    c = Codec(default_path())
+    t = texts()[:60]
+    assert c.decode(*c.encode(t)) == t

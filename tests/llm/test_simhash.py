@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import by_hand
 from cases import empty, odd
 from condensa.llm._graph import components
 from condensa.llm.simhash import close_pairs, deduplicate, near_duplicates, signatures
@@ -58,6 +59,45 @@ def test_copies_and_near_copies_are_found_and_others_left(spark):
     assert kept == set(range(60))
 
 
+def test_signatures_by_hand():
+    rng = random.Random(9)
+    texts = ["", "one", "One, one; ONE", "\u00c4rger \u65e5\u672c\u8a9e d\u00e9j\u00e0", "a b a b a", *(" ".join(rng.choices(V, k=k)) for k in (2, 33, 300, 700))]
+    got = signatures(pa.array(texts))
+    assert got[0] is None and [int.from_bytes(s, "big") for s in got[1:]] == [by_hand.signature(t) for t in texts[1:]]
+
+
+def test_groups_by_hand(spark):
+    rows = corpus(8)[:70]
+    want = {(x, min(g)) for g in by_hand.near_groups(rows) for x in g}
+    assert {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_many_tiles_and_blocks(spark, monkeypatch):
+    """More tiles than a block holds: every pair of tiles is met once, whatever the blocks."""
+    monkeypatch.setattr("condensa.llm.simhash.TASK_TILES", 3)
+    rows = corpus(2)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(x, min(g)) for g in groups(rows, 50) for x in g}
+    assert {tuple(r) for r in near_duplicates(df, tile=9).collect()} == want
+
+
+def test_rows_of_files_aren_t_copied_or_shuffled(spark, tmp_path):
+    """What deduplicate gives is a scan of docs' files with a look at marks: no join, no exchange, no second table."""
+    spark.createDataFrame(corpus(3), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    out = deduplicate(spark.read.parquet(f"{tmp_path}/docs"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and f"{tmp_path}/docs" in plan
+    assert {r.doc_id for r in out.collect()} == set(range(60))
+
+
+def test_long_texts_are_signed_whole(spark):
+    text = "some words here " * 300_000
+    rows = [(1, text + "the end is this"), (2, "the end is this")]
+    assert near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), radius=0).count() == 0
+    a, b = signatures(pa.array([text + "and x y z", text]))
+    assert a != b
+
+
 @pytest.mark.parametrize("same", [True, False])
 def test_close_pairs(same):
     rng = np.random.default_rng(2)

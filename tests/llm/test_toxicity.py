@@ -3,10 +3,14 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+import by_hand
 from cases import empty, odd
-from condensa.llm.toxicity import Model, fit, reject, score, train
+from condensa.llm._arrow import word_slices
+from condensa.llm.toxicity import STEMS, Model, _doc_features, _scores, fit, reject, score, train
 
 DATA = "/root/testdata/sf0.1"
 
@@ -38,6 +42,38 @@ def test_fit_is_ftrl():
     assert len(m.buckets) < 64  # L1 keeps weights at zero
 
 
+def test_features_and_scores_by_hand(spark):
+    docs, labels = small(spark)
+    model = train(docs, labels, bits=16)
+    texts = ["you stupid clown", "a calm and kind day", "", "worthless", "x", "Stupid \u00dcber clown, kind \u65e5\u672c", "you you you stupid you"]
+    rows = score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in rows:
+        p, toxic = by_hand.toxicity(texts[r.doc_id], model)
+        assert r.toxicity == pytest.approx(p, abs=2e-6) and r.toxic == toxic
+    assert any(r.toxic for r in rows) and not all(r.toxic for r in rows)
+    for t in texts:
+        for _, _, h, _, _, b, _, _ in word_slices(pa.array([t]), prefixes=STEMS):
+            assert set(_doc_features(h[b[0] : b[1]], 16).tolist()) == by_hand.toxic_buckets(t, 16)
+
+
+def test_rows_not_ids_are_bounded(spark):
+    docs = [(1, f"you stupid clown {i}") for i in range(200)] + [(2, "a calm day"), (3, "kind words"), (4, "stupid")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 1)], "doc_id long, toxic int")
+    least = docs.where("doc_id = 1").orderBy(F.xxhash64("text")).limit(1)
+    a, b = train(docs, labels), train(least.unionByName(docs.where("doc_id > 1")), labels)
+    assert a.bias == b.bias and (a.buckets == b.buckets).all() and (a.weights == b.weights).all()
+    assert train(docs, labels, max_rows=1).bias == -35.0  # one row is one class
+
+
+def test_a_score_at_the_threshold_is_toxic(spark):
+    docs, labels = small(spark)
+    model = train(docs, labels)
+    exact = float(_scores(pa.array(["you stupid worthless clown"]), model, model.dense())[0][0])
+    for threshold, toxic in ((exact, True), (np.nextafter(exact, 1), False)):
+        assert score(docs.where("doc_id = 1"), model, threshold=threshold).first().toxic == toxic
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 def test_held_out_rows(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
