@@ -14,6 +14,8 @@ import calendar
 import datetime
 import hashlib
 import re
+import secrets
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -27,9 +29,11 @@ from ..storage import spread
 from ._arrow import buffers
 from ._shared import small_batches
 
-#: For tests and examples. A production job sets spark.conf "condensa.pii.key".
-DEFAULT_KEY = "condensa example key"
+#: The session setting that has the key, where none is given.
+KEY_SETTING = "condensa.pii.key"
 ROUNDS = 8
+#: Signs that one permutation takes; longer values are permuted so many at a time.
+SIGNS = 64
 
 
 def permute(x: int, n: int, key: bytes, tweak: str) -> int:
@@ -49,6 +53,20 @@ def permute(x: int, n: int, key: bytes, tweak: str) -> int:
             return x
 
 
+@lru_cache(4096)
+def _letters(block: int, kind: str) -> str:
+    """The letters or digits of one kind among 256 neighbouring signs: what a sign beyond Latin-1 may become."""
+    return "".join(c for c in map(chr, range(block << 8, (block + 1) << 8)) if unicodedata.category(c) == kind)
+
+
+def _set_of(c: str) -> str | None:
+    """The signs that one may become; None for one that stays."""
+    if (found := _SET_OF.get(c)) is not None:
+        return found
+    kind = unicodedata.category(c)
+    return _letters(ord(c) >> 8, kind) if c > "\xff" and kind in ("Lu", "Ll", "Lt", "Lm", "Lo", "Nd") else None
+
+
 _SETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7), "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7)]
 _SET_OF = {c: s for s in _SETS for c in s}
 
@@ -67,12 +85,16 @@ def _mixed(parts: list[tuple[int, int]], key: bytes, tweak: str) -> list[int]:
 
 
 def by_class(s: str, key: bytes, tweak: str) -> str:
-    """Digits stay digits, lower case lower case and so on; every other sign stays itself."""
-    at = [i for i, c in enumerate(s) if c in _SET_OF]
-    new = _mixed([(_SET_OF[s[i]].index(s[i]), len(_SET_OF[s[i]])) for i in at], key, tweak + "".join("." if c in _SET_OF else c for c in s))
+    """Digits stay digits, lower case lower case and letters those of their script; every other sign stays itself."""
+    sets = [_set_of(c) for c in s]
+    at = [i for i, x in enumerate(sets) if x]
+    shape = "".join("." if x else c for c, x in zip(s, sets))
     out = list(s)
-    for i, d in zip(at, new):
-        out[i] = _SET_OF[s[i]][d]
+    for a in range(0, len(at), SIGNS):
+        part = at[a : a + SIGNS]
+        new = _mixed([(sets[i].index(s[i]), len(sets[i])) for i in part], key, tweak + shape + (f"\0{a}" if a else ""))
+        for i, d in zip(part, new):
+            out[i] = sets[i][d]
     return "".join(out)
 
 
@@ -194,6 +216,8 @@ def date(s: str, key: bytes) -> str | None:
 
 def email(s: str, key: bytes) -> str | None:
     local, _, domain = s.rpartition("@")
+    if not any(map(_set_of, local)):  # nothing that could be another
+        return None
     return by_class(local, key, "mail" + domain.lower()) + "@" + domain
 
 
@@ -213,17 +237,23 @@ KINDS: list[tuple[str, re.Pattern, Callable[[str, bytes], str | None]]] = [
     ("phone", re.compile(r"(?<!\d)(\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,5})(?!\d)"), phone),
     ("card", re.compile(r"(?<![\d.])(\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d|\.\d)"), card),
 ]
-_LOCAL = re.compile(r"[^\W_][\w.%+-]*\Z|[\w%+-]\Z")
+_LOCAL = re.compile(r"[\w.%+-]")
 _DOMAIN = re.compile(r"(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Places of addresses: whatever length the part before the @ has, from its first letter or digit on."""
     at = text.find("@")
     while at >= 0:
-        domain = _DOMAIN.match(text, at + 1)
-        local = _LOCAL.search(text, max(0, at - 64), at) if domain else None
-        if local:
-            yield local.start(), domain.end()
+        if domain := _DOMAIN.match(text, at + 1):
+            k = at
+            while k and _LOCAL.match(text[k - 1]):
+                k -= 1
+            first = next((i for i in range(k, at) if text[i].isalnum()), None)
+            if first is None and k < at and text[at - 1] != ".":
+                first = at - 1
+            if first is not None:
+                yield first, domain.end()
         at = text.find("@", at + 1)
 
 
@@ -280,25 +310,40 @@ def _column(texts: pa.Array, key: bytes) -> tuple[pa.Array, np.ndarray]:
 
 
 def _key(df: DataFrame, key: str | None) -> bytes:
-    return (key or df.sparkSession.conf.get("condensa.pii.key", DEFAULT_KEY)).encode()
+    key = key or df.sparkSession.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"pseudonyms need a key: give one or set {KEY_SETTING}")
+    return key.encode()
+
+
+def job_key(spark) -> str:
+    """The session's key; without one a new one for this job alone, which nobody keeps: values are linked within it."""
+    return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
 
 
 def pseudonymise(docs: DataFrame, *, text: str = "text", key: str | None = None) -> DataFrame:
-    """docs with the personal values in text replaced; all rows and columns stay, null texts too.
+    """docs with the personal values in text replaced; all rows and columns stay.
 
-    Lengths in characters stay, but for dates written without leading zeros.
+    Null and empty texts stay as they are, and so do texts without a valid value; rows that
+    repeat get the same pseudonyms. Texts of any length are searched whole. Of values that
+    overlap that of the earlier kind is taken, the left one within a kind. Lengths in
+    characters stay, but for dates written without leading zeros. An empty table stays empty.
     """
-    secret_key, at = _key(docs, key), docs.columns.index(text)
+    secret_key = _key(docs, key)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.set_column(at, batch.schema.field(at), _column(batch.column(at), secret_key)[0])
+    @F.arrow_udf("string")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            yield _column(texts, secret_key)[0]
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return small_batches(docs).select(*[run(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
 def pseudonyms(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", key: str | None = None) -> DataFrame:
-    """(doc_id, text, n_values): every row's text with pseudonyms and how many it has."""
+    """(doc_id, text, n_values): every row's text with pseudonyms and how many it has, 0 for a null text.
+
+    Ids may be null or repeat, other columns don't matter; all else is as in pseudonymise.
+    """
     secret_key = _key(docs, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,4 +356,4 @@ def pseudonyms(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
-    return pseudonyms(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return pseudonyms(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), key=job_key(spark))

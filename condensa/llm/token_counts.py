@@ -1,10 +1,9 @@
 """Token counts with a cache keyed by the digests of content and of tokenizer.
 
 The content of a text, with its line ends made one kind and white space at its ends taken
-off, is digested in the JVM together with the tokenizer's version. Texts meet the stored
-counts by that digest; only distinct texts without a count are encoded, and what they gave
-is appended to the cache. A text crosses the network once, to where the cache's rows of the
-same digest are, and copies within a partition don't even do that.
+off, is digested in the JVM together with the tokenizer's version. The digests, of 32 bytes
+each, meet the stored counts; one row of each that has none is encoded, and what it gave is
+appended to the cache. Only digests are shuffled: texts are encoded where they are read.
 """
 
 from __future__ import annotations
@@ -15,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import spread
-from ._shared import new_dir, small_batches
+from ..storage import placed, spread
+from ._shared import marked, new_dir, release, small_batches, write_marks, written
 from ._tokenizer import default_path, encoding, version
 
 CACHE_SCHEMA = "digest binary, n_tokens long"
@@ -40,49 +39,50 @@ def read_cache(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(CACHE_SCHEMA).parquet(folder)
 
 
-def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose digest the partition hasn't had before."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        new = []
-        for d in batch.column("digest").to_pylist():
-            new.append(d not in seen)
-            seen.add(d)
-        yield batch.filter(pa.array(new, pa.bool_()))
+def update_cache(docs: DataFrame, folder: str, *, text: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """Encode the distinct contents of docs that the cache lacks and append their counts; gives the digests of docs.
 
+    Digests meet the cache first. Of each that it lacks one row is marked, and only marked
+    rows are encoded, where they are: a text never crosses the network, and with a cache that
+    knows all no text goes to Python. Null texts are not counted. A job that fails leaves the
+    cache as it was; a digest that two writers append twice has the same count both times.
+    """
+    return _updated(docs, folder, [], text, tokenizer or default_path()).select("digest")
 
-def update_cache(docs: DataFrame, folder: str, *, text: str = "text", tokenizer: str | None = None) -> None:
-    """Encode the distinct contents of docs that the cache lacks and append their counts.
 
-    Null texts are not counted. A batch that fails leaves the cache as it was; a digest
-    that two writers append twice has the same count both times.
-    """
-    tokenizer = tokenizer or default_path()
+def _updated(docs: DataFrame, folder: str, keep: list[Column], text: str, tokenizer: str) -> DataFrame:
+    """Bring the cache up to date; the kept columns and the digest of each row."""
+    docs, rows = placed(docs, "count-docs")
+    own = written(rows.select("__file", "__at", *keep, content_digest(text, tokenizer).alias("digest")), "count-digests")
+    cache = read_cache(docs.sparkSession, folder)
+    first = own.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("__file", "__at")).alias("first"))
+    misses = written(first.join(cache.select("digest"), "digest", "left_anti").select("digest", "first.*"), "count-misses")
+    if misses.isEmpty():
+        return own
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(tokenizer)
-        for batch in _first_of_each(batches):
+        for batch in batches:
             n = [len(enc.encode_ordinary(t.as_py())) for t in batch.column("content")]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(n, pa.int64())], ["digest", "n_tokens"])
+        release()
 
-    cache = read_cache(docs.sparkSession, folder)
-    own = docs.where(F.col(text).isNotNull()).select(content_digest(text, tokenizer).alias("digest"), normalised(text).alias("content"))
-    own = small_batches(own).mapInArrow(_first_of_each, own.schema)
-    # Partitioned by digest alone, so that all copies of a content are in one task; the cache's side is the one hashed.
-    misses = own.repartition("digest").join(cache.select("digest").hint("shuffle_hash"), "digest", "left_anti")
-    misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(folder)
+    new = rows.select("__file", "__at", F.col(text).alias("content")).where(marked(write_marks(misses, "count-marks")))
+    new = small_batches(new).select(content_digest("content", tokenizer).alias("digest"), normalised("content").alias("content"))
+    new.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(folder)
+    return own
 
 
 def token_counts(docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
     """(doc_id, n_tokens) for every row, through the cache in folder, which is brought up to date.
 
-    n_tokens is of the normalised content: 0 for an empty text, null for a null one. Rows
-    that repeat come as often as they are; ids may be null; other columns don't matter.
+    n_tokens is of the whole normalised content, however long: 0 for an empty text, null for a
+    null one. Rows that repeat come as often as they are; ids may be null; other columns don't
+    matter. An empty table gives no rows and leaves the cache as it is. Counts of other
+    tokenizers in the same cache have other digests.
     """
-    tokenizer = tokenizer or default_path()
-    update_cache(docs, folder, text=text, tokenizer=tokenizer)
+    own = _updated(docs, folder, [F.col(doc_id).alias("doc_id")], text, tokenizer or default_path())
     counts = read_cache(docs.sparkSession, folder).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    own = docs.select(F.col(doc_id).alias("doc_id"), content_digest(text, tokenizer).alias("digest"))
     return own.join(counts, "digest", "left").select("doc_id", "n_tokens")
 
 

@@ -25,23 +25,30 @@ from ..storage import spread
 from ._shared import new_dir, small_batches
 from ._tokenizer import default_path, encoding, ranks
 
-#: Ends every document; a free id of the default vocabulary.
-END_OF_TEXT = 50256
+#: For the id after the vocabulary's last.
+NEXT_ID = -1
 
 
-def write_tokens(docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_of_text: int | None = END_OF_TEXT) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_of_text: int | None = NEXT_ID) -> DataFrame:
     """Write token files and index below folder (a URI that every executor reaches).
 
     Gives (doc_id, shard, position, token_start, n_tokens) for each row: the file, the row's
     place in it, and where its tokens begin in all files together, ordered by base. Ids fit 16
-    bits if the vocabulary does, otherwise 32. A null text has no token, an empty one only the
-    end mark; rows may repeat and ids may be null. Empty partitions write no file; an empty
-    table gives an empty index.
+    bits if the vocabulary and the end mark do, otherwise 32. end_of_text ends every document:
+    by default the id after the vocabulary's last, None for no mark; one that is a token is an
+    error. A null text has no token, an empty one only the end mark; texts of any length are
+    whole; rows may repeat and ids may be null. Other columns don't matter, whatever their
+    names. Empty partitions write no file; an empty table gives an empty index.
     """
     from pyarrow import fs
 
     tokenizer = tokenizer or default_path()
-    width = "H" if max(len(ranks(tokenizer)), (end_of_text or 0) + 1) <= 1 << 16 else "I"
+    last = max(ranks(tokenizer).values())
+    if end_of_text == NEXT_ID:
+        end_of_text = last + 1
+    elif end_of_text is not None and end_of_text in ranks(tokenizer).values():
+        raise ValueError(f"{end_of_text} is a token of the vocabulary")
+    width = "H" if max(last, end_of_text or 0) < 1 << 16 else "I"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, store, root = encoding(tokenizer), *fs.FileSystem.from_uri(folder)

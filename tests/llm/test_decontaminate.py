@@ -3,7 +3,7 @@ import random
 import pytest
 
 from cases import empty, odd
-from condensa.llm.decontaminate import MIN_ITEM, MIN_RUN, Matcher, item_words, leaks, reject_leaks
+from condensa.llm.decontaminate import MIN_ITEM, MIN_RUN, Matcher, item_words, leaks, reject_leaks, short_items
 
 V = [f"w{i}" for i in range(30)]
 
@@ -15,7 +15,7 @@ def runs_by_hand(items, text, min_run=MIN_RUN, min_item=MIN_ITEM):
         return out
     for i, t in items:
         w = item_words(t)
-        if len(w) < min_item:
+        if len(w) < min_item and w != own:  # a short one counts as all of a text
             continue
         for shift in range(-len(w), len(own)):
             k = 0
@@ -66,6 +66,38 @@ def test_rows(spark):
         assert sorted(r.doc_id for r in reject_leaks(docs, bench, automaton_chars=chars).collect()) == [2, 4, 5]
 
 
+QUESTION = " ".join(f"q{i}" for i in range(15))
+
+
+def test_short_answers_count_near_their_question(spark):
+    bench = spark.createDataFrame([(1, QUESTION), (1, "Forty-two"), (2, "forty two"), (3, "four words stand alone")], "item_id long, text string")
+    far = " ".join(["x"] * 150)
+    texts = [f"{QUESTION}? It is forty two.", f"forty two {far}", f"{QUESTION} {far} forty two", "Forty, two!", "so four words stand alone here", "Four words: stand alone", f"forty two -- {QUESTION}"]
+    got = leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()
+    found = sorted((r.doc_id, r.item_id, texts[r.doc_id][r.start : r.end].lower()) for r in got)
+    assert found == sorted([(0, 1, QUESTION), (0, 1, "forty two"), (2, 1, QUESTION), (3, 1, "forty, two"), (3, 2, "forty, two"), (5, 3, "four words: stand alone"), (6, 1, QUESTION), (6, 1, "forty two")])
+    kept = reject_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4]
+    assert sorted((r.item_id, r.alone) for r in short_items(bench).collect()) == [(1, False), (2, True), (3, True)]
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "long", "smallint", "date"])
+def test_ids_of_other_types(spark, kind):
+    value = {"string": "'a'", "date": "date'2020-01-02'"}.get(kind, "7")
+    bench = spark.sql(f"SELECT cast({value} AS {kind}) AS item_id, '{QUESTION}' AS text UNION ALL SELECT null, '{QUESTION} end'")
+    docs = spark.sql(f"SELECT cast({value} AS {kind}) AS doc_id, 'so {QUESTION} end' AS text")
+    out = leaks(docs, bench)
+    assert [out.schema[c].dataType for c in ("doc_id", "item_id")] == [docs.schema["doc_id"].dataType, bench.schema["item_id"].dataType]
+    one = docs.first().doc_id
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(one, None, 3, 3 + len(QUESTION) + 4, 16, 16), (one, one, 3, 3 + len(QUESTION), 15, 15)], key=str)
+
+
+def test_long_texts(spark):
+    text = "some words " * 200_000 + QUESTION + " more" * 200_000
+    bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
+    assert [tuple(r) for r in leaks(spark.createDataFrame([(5, text)], "doc_id long, text string"), bench).collect()] == [(5, 1, 2_200_000, 2_200_000 + len(QUESTION), 15, 15)]
+
+
 def test_odd_rows(spark):
     df = odd(spark)
     bench = df.selectExpr("doc_id AS item_id", "text").where("doc_id = 907")

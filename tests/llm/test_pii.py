@@ -1,4 +1,8 @@
+import datetime
+import hashlib
+import random
 import re
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -60,27 +64,129 @@ def test_pseudonyms_of_different_values_differ():
 def test_equal_values_stay_linked_across_documents(spark):
     rows = [(1, "mail ann@site.org now"), (2, "from ann@site.org, 4111111111111111"), (3, "no value"), (4, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    out = {r.doc_id: r for r in P.pseudonyms(df).collect()}
+    out = {r.doc_id: r for r in P.pseudonyms(df, key="k").collect()}
     one = re.search(r"\S+@\S+", out[1].text)[0]
     assert one != "ann@site.org" and one + "," in out[2].text
     assert (out[1].n_values, out[2].n_values, out[3].n_values, out[4].n_values) == (1, 2, 0, 0)
     assert out[3].text == "no value" and out[4].text is None
 
 
-def test_against_text_by_text(spark):
-    text = 'x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" 152.143.123.131, +44 20 7946 0958 on 3/4/2001; a@b.de ' * 3
-    df = spark.createDataFrame([(i, text[i:]) for i in range(60)], "doc_id long, text string")
-    for r in P.pseudonyms(df).collect():
-        assert (r.text, r.n_values) == P.pseudonymise_text(text[r.doc_id :], P.DEFAULT_KEY.encode())
+def feistel_by_hand(x, n, key, tweak):
+    bits = (n - 1).bit_length()
+    half = max(1, (bits + 1) // 2)
+    while True:
+        word = f"{x:0{2 * half}b}"
+        left, right = int(word[:half], 2), int(word[half:], 2)
+        for r in range(8):
+            size = -(-half // 8)
+            f = int.from_bytes(hashlib.shake_256(b"\0".join([key, tweak.encode(), str(n).encode(), bytes([r]) + right.to_bytes(size, "big")])).digest(size), "big")
+            left, right = right, left ^ f % (1 << half)
+        x = left * (1 << half) + right
+        if x < n:
+            return x
+
+
+def among(sets, chosen, key, tweak):
+    """The chosen tuple's place in the product of the sets, permuted."""
+    x, n = 0, 1
+    for s, c in zip(sets, chosen):
+        x, n = x * len(s) + s.index(c), n * len(s)
+    x, out = feistel_by_hand(x, n, key, tweak), []
+    for s in reversed(sets):
+        out.insert(0, s[x % len(s)])
+        x //= len(s)
+    return out
+
+
+def luhn_holds(d):
+    return sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def by_hand(kind, v):
+    if kind == "date":
+        days = [datetime.date(2000, 1, 1) + datetime.timedelta(k) for k in range(36525)]
+        return str(among([days], [datetime.date.fromisoformat(v)], KEY, "dateymd-")[0])
+    if kind == "ssn":
+        sets = [[a for a in range(1, 900) if a != 666], list(range(1, 100)), list(range(1, 10000))]
+        return "%03d-%02d-%04d" % tuple(among(sets, [int(x) for x in v.split("-")], KEY, "ssn"))
+    if kind == "ip":
+        sets = [[str(x) for x in range(256) if len(str(x)) == len(p)] for p in v.split(".")]
+        return ".".join(among(sets, v.split("."), KEY, "ip"))
+    if kind == "card":
+        middle = among([range(10 ** (len(v) - 2))], [int(v[1:-1])], KEY, "card" + v[0])[0]
+        return next(d for c in range(10) if luhn_holds(d := f"{v[0]}{middle:0{len(v) - 2}d}{c}"))
+    local, domain = v.split("@")
+    return "".join(among(["abcdefghijklmnopqrstuvwxyz"] * len(local), local, KEY, "mail" + domain + "." * len(local))) + "@" + domain
+
+
+def test_against_values_by_hand(spark):
+    """Texts are put together from values whose places are known, valid and not, with words between."""
+    rng, docs, want = random.Random(5), [], []
+    for i in range(60):
+        text, new, n = [], [], 0
+        for _ in range(rng.randint(0, 8)):
+            kind = rng.choice(["date", "ssn", "ip", "card", "mail", "word", "no card", "no date", "no ip", "no ssn"])
+            body = str(rng.randint(3, 5)) + "".join(rng.choices("0123456789", k=14))
+            v = {
+                "date": f"20{rng.randint(0, 99):02d}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", "no date": "2023-02-30",
+                "ssn": f"{rng.choice([1, 899, 665, 667, rng.randint(1, 600)]):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}", "no ssn": "666-12-1234",
+                "ip": ".".join(str(rng.randint(0, 255)) for _ in range(4)), "no ip": "300.1.2.3", "mail": "".join(rng.choices("abcxyz", k=rng.randint(1, 40))) + "@site.example", "word": "plain",
+                "card": next(d for c in range(10) if luhn_holds(d := f"{body}{c}")), "no card": next(d for c in range(10) if not luhn_holds(d := f"{body}{c}")),
+            }[kind]
+            text.append(v)
+            changes = kind in ("date", "ssn", "ip", "card", "mail")
+            new.append(by_hand(kind, v) if changes else v)
+            n += changes
+        docs.append((i, " and ".join(text)))
+        want.append((i, " and ".join(new), n))
+    got = P.pseudonyms(spark.createDataFrame(docs, "doc_id long, text string"), key=KEY.decode()).collect()
+    assert sorted(map(tuple, got)) == want
+    assert sorted(map(tuple, P.pseudonymise(spark.createDataFrame(docs, "doc_id long, text string"), key=KEY.decode()).collect())) == [r[:2] for r in want]
+
+
+@pytest.mark.parametrize("mail", ["\u0438\u0432\u0430\u043d@\u043f\u043e\u0447\u0442\u0430.com", "\u738b@site.cn", "\u05d0\u05d1\u05d2.x@site.il", "\u03b1\u03b2@b.gr", "\uae40@b.kr"])
+def test_letters_of_every_script(mail):
+    out, n = P.pseudonymise_text(f"to {mail} now", KEY)
+    local, new = mail.split("@")[0], out[3:-4].split("@")[0]
+    assert n == 1 and new != local and len(new) == len(local) and out.endswith("@" + mail.split("@")[1] + " now")
+    assert [unicodedata.category(c) for c in new] == [unicodedata.category(c) for c in local]
+
+
+@pytest.mark.parametrize("size", [1, 63, 64, 65, 70, 130, 1000])
+def test_long_local_parts_change_whole(size):
+    local = "".join(random.Random(size).choices("abcdefgh", k=size))
+    out, n = P.pseudonymise_text(f"x {local}@site.org y", KEY)
+    new = out[2:].split("@")[0]
+    assert n == 1 and len(new) == size and all(new[a : a + 30] != local[a : a + 30] for a in range(0, size, 30) if a + 8 < size or size < 8)
+    assert P.pseudonymise_text(f"{local}@site.org", KEY)[0] == f"{new}@site.org"
+
+
+def test_what_has_no_letter_is_not_counted():
+    assert P.pseudonymise_text("_@site.org and %%@site.org", KEY) == ("_@site.org and %%@site.org", 0)
+
+
+def test_a_key_is_needed(spark):
+    df = spark.createDataFrame([(1, "ann@site.org")], "doc_id long, text string")
+    for make in (P.pseudonyms, P.pseudonymise):
+        with pytest.raises(ValueError, match="key"):
+            make(df)
+    assert P.job_key(spark) != P.job_key(spark)
+    spark.conf.set(P.KEY_SETTING, "k")
+    try:
+        assert P.job_key(spark) == "k" and P.pseudonyms(df).first().text == P.pseudonyms(df, key="k").first().text
+    finally:
+        spark.conf.unset(P.KEY_SETTING)
 
 
 def test_odd_rows(spark):
     df = odd(spark)
-    out = P.pseudonymise(df)
+    out = P.pseudonymise(df, key="k")
     assert out.columns == df.columns and sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
-    assert P.pseudonyms(empty(spark)).collect() == [] and P.pseudonymise(empty(spark)).collect() == []
+    assert P.pseudonyms(df, key="k").count() == df.count()
+    assert P.pseudonyms(empty(spark), key="k").collect() == [] and P.pseudonymise(empty(spark), key="k").collect() == []
 
 
 def test_long_texts_in_time(spark):
-    text = "a" * 300_000 + "@" + "1." * 100_000 + "4" * 100_000
-    assert P.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string")).count() == 1
+    text = "a" * 300_000 + "@" + "1." * 100_000 + "4" * 100_000 + " " + "b" * 100_000 + "@site.org"
+    out = P.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), key="k").first().text
+    assert len(out) == len(text) and "b" * 30 not in out
