@@ -21,16 +21,25 @@ from pyspark.sql import types as T
 
 from ..storage import spread
 from ._arrow import PIECE, _is_word, buffers, row_slices
-from ._shared import small_batches
+from ._shared import release, small_batches
 
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic", "fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "ro": "romance", "ca": "romance"}
-#: At most so many labelled rows are used to fit; they are those with the least hash of the id in each language, as many of each as there are or fit.
+#: At most so many labelled rows are used to fit: one of each of the ids with the least hashes in each language, as many of each as there are or fit.
 MAX_TRAIN_ROWS = 6_000
 BITS = 14
 EPOCHS = 8
 COST = 10.0
 SIZES = (2, 3, 4)
 UNKNOWN = "und"
+#: A script is known if so large a share of a language's letters and digits is of it; a text of which less than half is
+#: of known scripts is in no language of the model's.
+SCRIPT_SHARE = 0.001
+
+#: The kind of the row that tells which scripts are known.
+SCRIPTS = " scripts"
+#: Scripts by the first byte of a sign; all of Latin is one.
+_SCRIPT = np.arange(256)
+_SCRIPT[:0xCB] = 0
 
 
 @dataclass(frozen=True)
@@ -40,9 +49,13 @@ class Model:
     pairs: list[tuple[str, str, str]]
     weights: np.ndarray
     languages: dict[str, list[str]]
+    scripts: np.ndarray
 
     def tell(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(family, language, margin) for rows of scores; margin is the least score that the language won by."""
+        """(family, language, margin) for rows of scores; margin is the least score that the language won by.
+
+        Of equal votes the larger sum of scores wins, of equal sums the name that comes first.
+        """
         families = sorted(self.languages)
         n = len(scores)
 
@@ -95,6 +108,19 @@ def _features(texts: pa.Array, bits: int) -> Iterator[tuple[int, int, np.ndarray
                 yield lo, hi, row[at], ((h * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)).astype(np.int64)
 
 
+def _script_counts(texts: pa.Array) -> np.ndarray:
+    """For each text how many of its letters and digits are of each script."""
+    data, offs = buffers(texts, lower=True)
+    out = np.zeros((len(texts), 256), np.int64)
+    for lo, hi in row_slices(offs, PIECE):
+        for a in range(int(offs[lo]), int(offs[hi]), 2 * PIECE):
+            piece = data[a : min(a + 2 * PIECE, int(offs[hi]))]
+            at = np.flatnonzero(_is_word(piece) & (piece & 0xC0 != 0x80))
+            row = np.searchsorted(offs[lo : hi + 1], at + a, "right") - 1
+            out[lo:hi] += np.bincount(row * 256 + _SCRIPT[piece[at]], minlength=(hi - lo) * 256).reshape(-1, 256)
+    return out
+
+
 def _learn(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, bits: int, epochs: int = EPOCHS, cost: float = COST) -> np.ndarray:
     """Weights of one machine (squared hinge loss) over (buckets, values) of unit length and signs."""
     w, alpha, slack = np.zeros(1 << bits), np.zeros(len(rows)), 1 / (2 * cost)
@@ -111,9 +137,10 @@ def _learn(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, bits: in
 
 
 def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", families: dict[str, str] | None = None, max_rows: int = MAX_TRAIN_ROWS, bits: int = BITS) -> Model:
-    """Fit on at most max_rows ids whose rows carry a language of a known family.
+    """Fit on at most max_rows rows that carry a language of a known family.
 
-    Rows without an id, a text or such a language don't count. A family with one language
+    Rows without an id, a text or such a language don't count; an id with several rows counts
+    once, with the text of the least hash; texts count whole. A family with one language
     has no machine within it. Without any row the model says 'und' of every text.
     """
     families = families or FAMILIES
@@ -121,7 +148,8 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     least = own.select("id", "lang").distinct().withColumn("place", place).where(F.col("place") <= max_rows)
     picked = least.orderBy("place", F.xxhash64("id"), "id", "lang").limit(max_rows).select("id").distinct()  # broadcast: max_rows numbers
-    rows = own.join(F.broadcast(picked), "id")
+    # Partial aggregates: however often an id comes, a task passes one of its rows on.
+    rows = own.join(F.broadcast(picked), "id").groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "lang", "text")).alias("one")).select("id", F.col("one.text").alias("text"), F.col("one.lang").alias("lang"))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,15 +162,19 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
                     if len(sums) > 1:  # texts come one after another
                         yield from (packed(batch, j, sums.pop(j)) for j in [j for j in sums if j < lo])
             yield from (packed(batch, j, x) for j, x in sums.items())
+        release()
 
     def packed(batch: pa.RecordBatch, i: int, x: np.ndarray) -> pa.RecordBatch:
         at = np.flatnonzero(x)
         value = (x[at] / np.sqrt((x[at] ** 2.0).sum())).astype(np.float32)
-        return pa.RecordBatch.from_arrays([batch.column("id").slice(i, 1).cast(pa.string()), batch.column("lang").slice(i, 1), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([value.tobytes()], pa.binary())], ["id", "lang", "at", "value"])
+        scripts = _script_counts(batch.column("text").slice(i, 1))
+        return pa.RecordBatch.from_arrays([batch.column("id").slice(i, 1).cast(pa.string()), batch.column("lang").slice(i, 1), *(pa.array([c.tobytes()], pa.binary()) for c in (at.astype(np.int32), value, scripts))], ["id", "lang", "at", "value", "scripts"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, langs = [], []
+        seen, langs, scripts = [], [], {}
         for b in batches:
+            for name, counts in zip(b.column("lang").to_pylist(), b.column("scripts").to_pylist()):
+                scripts[name] = scripts.get(name, 0) + np.frombuffer(counts, np.int64)
             langs += b.column("lang").to_pylist()
             seen += [(np.frombuffer(x, np.int32), np.frombuffer(y, np.float32)) for x, y in zip(b.column("at").to_pylist(), b.column("value").to_pylist())]
         there: dict[str, list[str]] = {}
@@ -150,13 +182,18 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
             there.setdefault(families[name], []).append(name)
         jobs = [("", a, b) for a, b in combinations(sorted(there), 2)] + [(f, a, b) for f, names in sorted(there.items()) for a, b in combinations(names, 2)]
         jobs += [(f, names[0], names[0]) for f, names in sorted(there.items()) if len(names) == 1]
+        if there:
+            known = np.any([c >= SCRIPT_SHARE * max(c.sum(), 1) for c in scripts.values()], axis=0) & (sum(scripts.values()) > 0)
+            yield pa.RecordBatch.from_arrays([pa.array([SCRIPTS]), pa.array([""]), pa.array([""]), pa.array([known.astype(np.float32).tobytes()], pa.binary())], ["kind", "a", "b", "w"])
         for kind, a, b in jobs:
             own = [(i, 1 if x == a else -1) for i, n in enumerate(langs) if (x := families[n] if not kind else n) in (a, b)]
             w = _learn([seen[i] for i, _ in own], np.array([s for _, s in own]), bits) if a != b else np.zeros(1 << bits)
             yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([a]), pa.array([b]), pa.array([w.astype(np.float32).tobytes()], pa.binary())], ["kind", "a", "b", "w"])
 
-    one = small_batches(rows).mapInArrow(featurise, "id string, lang string, at binary, value binary").repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "lang", "at", "value")
+    one = small_batches(rows).mapInArrow(featurise, "id string, lang string, at binary, value binary, scripts binary").repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "lang", "at", "value")
     found = one.mapInArrow(learn, "kind string, a string, b string, w binary").collect()  # 64 kB for each pair of languages
+    scripts = next((np.frombuffer(r.w, np.float32) > 0 for r in found if r.kind == SCRIPTS), np.zeros(256, bool))
+    found = [r for r in found if r.kind != SCRIPTS]
     languages: dict[str, list[str]] = {}
     for r in found:
         for name in (r.a, r.b) if r.kind else ():
@@ -164,14 +201,17 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
                 languages[r.kind].append(name)
     machines = [r for r in found if r.a != r.b]
     weights = np.stack([np.frombuffer(r.w, np.float32) for r in machines], 1) if machines else np.zeros((1 << bits, 0), np.float32)
-    return Model([(r.kind, r.a, r.b) for r in machines], weights, {f: sorted(n) for f, n in languages.items()})
+    return Model([(r.kind, r.a, r.b) for r in machines], weights, {f: sorted(n) for f, n in languages.items()}, scripts)
 
 
 def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, family, language, margin) for every row, in one narrow pass.
 
-    A text without a letter or digit, an empty and a null one are 'und' with margin 0.
-    Rows repeat as they do in docs; ids may be null; other columns don't matter.
+    A text without a letter or digit, an empty and a null one are 'und' with margin 0, and so
+    is one mostly in scripts that no language of the model has. A text in another language of
+    a known script is told as one of the model's. Texts of any length are read whole. Rows
+    repeat as they do in docs; ids may be null; other columns don't matter. An empty table
+    gives no rows. Ties are as in Model.tell.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -187,7 +227,8 @@ def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str
                 count[lo:hi] += np.bincount(row, minlength=hi - lo)
                 for k in range(m.weights.shape[1]):
                     sums[lo:hi, k] += np.bincount(row, m.weights[bucket, k], hi - lo)
-            known = (count > 0) & bool(m.languages)
+            counts = _script_counts(batch.column("text"))
+            known = (count > 0) & bool(m.languages) & (2 * counts[:, m.scripts].sum(1) >= counts.sum(1))
             family, language, margin = np.full(n, UNKNOWN, object), np.full(n, UNKNOWN, object), np.zeros(n)
             if known.any():
                 f, g, x = m.tell(sums[known] / count[known, None])

@@ -167,11 +167,16 @@ def clips(media: DataFrame, *, key: str = "page_id", column: str = "media") -> D
     """(key, clip, first_frame, n_frames, start_ms, end_ms, width, height): a row for each shot, clips counted from 0.
 
     Null, empty and foreign bytes, and files without a frame that can be decoded, give no
-    rows. Damaged frames belong to the shot before. Keys may repeat or be null, each row
-    is a file of its own; other columns don't matter.
+    rows. Damaged frames belong to the shot before, and so do progressive ones, which aren't
+    motion JPEG. A difference that equals the threshold is a cut. A film is read whole, by one
+    task, however long. Keys may repeat or be null, each row is a file of its own; other
+    columns don't matter. A key named as a column of the result comes back as <key>_key. An
+    empty table gives no rows.
     """
-    own = media.select(F.col(key).alias(key), F.col(column).cast("binary").alias("__media"))
-    schema = T.StructType([own.schema[key], *T._parse_datatype_string(CLIP_SCHEMA).fields])
+    fields = T._parse_datatype_string(CLIP_SCHEMA).fields
+    name = f"{key}_key" if key in {f.name for f in fields} else key
+    own = media.select(F.col(key).alias(name), F.col(column).cast("binary").alias("__media"))
+    schema = T.StructType([own.schema[name], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +184,7 @@ def clips(media: DataFrame, *, key: str = "page_id", column: str = "media") -> D
             while lo < n:
                 files, frames, size = [], [], 0
                 while lo < n and size < SLICE_BYTES:
-                    data = batch.column("__media")[lo].as_py()
+                    data = batch.column(1)[lo].as_py()
                     if (found := parse_avi(data)) and found[0]:
                         files.append((lo, len(frames), len(found[0]), *found[1:]))
                         frames += found[0]
@@ -196,7 +201,7 @@ def clips(media: DataFrame, *, key: str = "page_id", column: str = "media") -> D
                     at += [row] * len(starts)
                 if rows:
                     columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), _clip_types())]
-                    yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at)), *columns], schema.names)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *columns], schema.names)
 
     return small_batches(own).mapInArrow(run, schema)
 

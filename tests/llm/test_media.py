@@ -164,5 +164,27 @@ def test_pages_have_a_shot_for_each_paragraph(spark):
     assert {(r.page_id, r["count"]) for r in out} == {(1, 10), (2, 1), (3, 1)}
 
 
+def test_progressive_frames_count_as_damaged(spark):
+    jpegs = encode_grey(np.concatenate([np.full((4, 16, 16), v) for v in (30, 200)]).astype(np.uint8))
+    progressive = [j.replace(b"\xff\xc0", b"\xff\xc2") for j in jpegs]
+    rows = [(1, make_avi([*jpegs[:6], *progressive[6:]], width=16, height=16)), (2, make_avi(progressive, width=16, height=16))]
+    out = clips(spark.createDataFrame(rows, "page_id long, media binary")).collect()
+    assert sorted((r.page_id, r.first_frame, r.n_frames) for r in out) == [(1, 0, 4), (1, 4, 4)]
+
+
+def test_a_long_film(spark):
+    levels = np.repeat(np.tile([30, 200, 90, 220], 300), 5)
+    film = make_avi(encode_grey(np.broadcast_to(levels[:, None, None], (6000, 16, 16)).astype(np.uint8)), width=16, height=16, rate=25)
+    out = clips(spark.createDataFrame([(1, film)], "page_id long, media binary")).orderBy("clip").collect()
+    assert [(r.first_frame, r.n_frames, r.start_ms) for r in out] == [(5 * k, 5, 200.0 * k) for k in range(1200)]
+
+
+@pytest.mark.parametrize("key", ["clip", "width", "start_ms"])
+def test_keys_named_as_the_result_s_columns(spark, key):
+    film = make_avi(encode_grey(np.full((2, 16, 16), 9, np.uint8)), width=16, height=16)
+    out = clips(spark.createDataFrame([("a", film)], f"{key} string, media binary"), key=key)
+    assert out.columns[0] == f"{key}_key" and [r[0] for r in out.collect()] == ["a"] and len(set(out.columns)) == 8
+
+
 def test_empty(spark):
     assert clips(spark.createDataFrame([], "page_id long, media binary")).collect() == []

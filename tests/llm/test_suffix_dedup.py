@@ -54,6 +54,46 @@ def test_every_repeat_and_nothing_else(spark, bucket_bytes, monkeypatch):
     assert got == spans(rows)
 
 
+def kept_by_hand(rows, places, min_words=50):
+    """Texts as lists of words without those in a run (of 16-bit words) that a row before, in the order of places, has."""
+    order = sorted(range(len(rows)), key=lambda i: places[i])
+    seen, out, texts = {}, [None] * len(rows), []
+    for _, _, h, _, _, b, _, _ in word_slices(pa.array([t for _, t in rows])):
+        texts += [tuple((h[x:y] >> np.uint64(48)).tolist()) for x, y in zip(b, b[1:])]
+    for i in order:
+        for k in range(len(texts[i]) - min_words + 1):
+            seen.setdefault(texts[i][k : k + min_words], i)
+    for i, w in enumerate(texts):
+        gone = {x for k in range(len(w) - min_words + 1) if seen[w[k : k + min_words]] != i for x in range(k, k + min_words)}
+        out[i] = [x for k, x in enumerate(rows[i][1].split()) if k not in gone]
+    return out
+
+
+@pytest.mark.parametrize("bucket_bytes", [16_000_000, 20_000])
+def test_runs_stay_in_one_row(spark, bucket_bytes, monkeypatch, tmp_path):
+    monkeypatch.setattr(S, "SAMPLE", 0.5)
+    rows = [(i, t.replace(".", "")) for i, t in corpus(7, 120)]
+    rows = [r for r in rows if r[0] != 2002]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    own = {r.doc_id: r.p for r in df.selectExpr("doc_id", "xxhash64(_metadata.file_path, _metadata.row_index) AS p").collect()}
+    want = kept_by_hand(rows, [own[i] for i, _ in rows])
+    out = S.remove_repeats(df, bucket_bytes=bucket_bytes)
+    assert out.columns == df.columns
+    got = {r.doc_id: r.text.split() for r in out.collect()}
+    assert got == {i: w for (i, _), w in zip(rows, want)} and len(got) == len(rows)
+    assert S.repeated_spans(out).count() < S.repeated_spans(df).count() / 10
+
+
+def test_removal_of_odd_rows(spark):
+    df = odd(spark)
+    assert sorted(map(str, S.remove_repeats(df).collect())) == sorted(map(str, df.collect()))
+    twice = df.unionByName(df.where("doc_id = 905"))
+    texts = [r.text for r in S.remove_repeats(twice).where("doc_id = 905").collect()]
+    assert sorted(map(len, texts)) == [0 + len(" ") * 1, 200_000]
+    assert S.remove_repeats(empty(spark)).collect() == []
+
+
 def test_a_true_repeat_is_inside_a_span(spark):
     rows = corpus(4, 60)
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -79,6 +119,15 @@ def test_multikey_order(rows):
         assert [tuple(r) for r in m[S.multikey_order(m)].tolist()] == sorted(map(tuple, rows))
 
 
+@pytest.mark.parametrize("high", [2, 3, 60_000])
+@pytest.mark.parametrize("n", [1, 31, 33, 5_000])
+def test_multikey_order_of_many(n, high):
+    m = np.random.default_rng(n).integers(0, high, (n, 50)).astype(np.uint16)
+    m[n // 2 :] = m[: n - n // 2]
+    order = S.multikey_order(m)
+    assert sorted(order.tolist()) == list(range(n)) and (m[order] == m[np.lexsort(m.T[::-1])]).all()
+
+
 @given(st.lists(st.integers(0, 3), min_size=50, max_size=200), st.integers(0, 30), st.integers(0, 30))
 @settings(max_examples=100, deadline=None)
 def test_shared_runs_share_a_suffix(run, before, after):
