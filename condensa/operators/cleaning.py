@@ -58,7 +58,7 @@ class Cleaner:
         if isinstance(e, tuple) and e[0] > e[1]:
             raise ValueError("the least extractiveness is greater than the greatest")
         if self.min_compression_ratio < 1:
-            warnings.warn("a compression ratio below 1 keeps summaries that are longer than their reference", stacklevel=3)
+            warnings.warn("a compression ratio below 1 keeps rows whose short text is longer than their reference", stacklevel=3)
 
     def stateless_reason(self, reference: Column, summary: Column) -> Column:
         """The first reason that a row has by itself, but for a range of extractiveness; null if none."""
@@ -208,12 +208,13 @@ def share_kept(reasons: DataFrame) -> DataFrame:
 def valid_samples(pairs: DataFrame, *, reference: str = "reference", summary: str = "summary") -> DataFrame:
     """A row of counts: fully extractive, not shorter than the reference, empty, with several issues; median and 90th percentile of LCS shares of the rest.
 
-    The subsequence is only looked for where the summary isn't a part of the reference.
+    The subsequence is only looked for where the summary isn't a part of the reference. Shares
+    count with six decimals, so that percentiles need a million counters at most.
     """
     r, s = F.coalesce(F.col(reference), F.lit("")), F.coalesce(F.col(summary), F.lit(""))
     told = pairs.select(P.is_fully_extractive(s, r).alias("e"), P.is_summary_longer(s, r).alias("l"), P.is_either_empty(s, r).alias("m"), s.alias("s"), r.alias("r"))
     share = P.lcs_fraction(P.lcs(F.when(~F.col("e"), F.col("s")), F.when(~F.col("e"), F.col("r"))))
-    told = told.withColumn("share", share)
+    told = told.withColumn("share", F.round(share, 6))
     return told.agg(
         F.count("*").alias("n"), F.count_if("e").alias("extractive"), F.count_if("l").alias("longer"), F.count_if("m").alias("empty"),
         (F.count_if(F.col("e") & F.col("l")) + F.count_if(F.col("e") & F.col("m"))).alias("several"),

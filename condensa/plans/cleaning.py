@@ -68,7 +68,7 @@ def latex_row(spark, sf):
 
 
 @query(f"""WITH RECURSIVE {SQL_TURNS}, keyed AS (SELECT conv_id * 1000 + turn AS id, * FROM turns), {SQL_LCS},
- t AS (SELECT contains(reference, summary) AS e, length(reference) <= length(summary) AS l, trim(summary, E'\\n\\t ') = '' OR trim(reference, E'\\n\\t ') = '' AS m, v / greatest(na, 1) AS share FROM keyed JOIN lcs USING (id))
+ t AS (SELECT contains(reference, summary) AS e, length(reference) <= length(summary) AS l, trim(summary, E'\\n\\t ') = '' OR trim(reference, E'\\n\\t ') = '' AS m, round(v / greatest(na, 1), 6) AS share FROM keyed JOIN lcs USING (id))
  SELECT count(*) AS n, count(*) FILTER (e) AS extractive, count(*) FILTER (l) AS longer, count(*) FILTER (m) AS empty, count(*) FILTER (e AND l) + count(*) FILTER (e AND m) AS several,
  round(quantile_cont(share, 0.5) FILTER (NOT e), 6) AS lcs_median, round(quantile_cont(share, 0.9) FILTER (NOT e), 6) AS lcs_p90 FROM t""")
 def valid_samples(spark, sf):

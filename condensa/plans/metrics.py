@@ -11,7 +11,7 @@ from ..functions.text import index_tokens, length_of
 from ..operators import significance as S
 from ..operators import statistics as T
 from ..operators.retrieval import keyphrases
-from ..storage import written
+from ..storage import in_order
 from .registry import SQL_LCS, SQL_PAIRS, SQL_TOKENS, SQL_TURNS, document_pairs, documents, query, sql_overlap, table, turn_pairs
 
 _KEYED = "keyed AS (SELECT conv_id * 1000 + turn AS id, * FROM turns)"
@@ -126,8 +126,7 @@ def bootstrap_rouge(spark, sf):
     from ..functions.stem import _FIELDS
 
     scored = turn_pairs(spark, sf).select("conv_id", "turn", rouge_scores("summary", "reference").alias("r"))
-    numbered = scored.select((F.row_number().over(Window.orderBy("conv_id", "turn")) - 1).cast("long").alias("pos"), "r.*")
-    return S.confidence_of(written(numbered, "rouge"), list(_FIELDS))
+    return S.confidence_of(in_order(scored.select("conv_id", "turn", "r.*"), "conv_id", "turn", name="rouge").drop("conv_id", "turn"), list(_FIELDS))
 
 
 @query()
@@ -190,7 +189,7 @@ def _votes(spark, sf):
     """Quality labels as gold, and two systems that are right about 8 and 7 times in 10."""
     noise = lambda x: F.conv(F.substring(F.md5(F.concat(F.lit(f"{x}:"), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("long") % 10
     guess = lambda x, k: F.when(noise(x) < k, F.col("quality")).otherwise(1 - F.col("quality"))
-    return table(spark, sf, "labels").select((F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("pos"), F.col("quality").alias("gold"), guess("a", 8).alias("a"), guess("b", 7).alias("b"))
+    return in_order(table(spark, sf, "labels").select("doc_id", F.col("quality").alias("gold"), guess("a", 8).alias("a"), guess("b", 7).alias("b")), "doc_id", name="votes").drop("doc_id")
 
 
 @query(f"""WITH {_VOTES}, d AS (SELECT resample, {_DRAW(seed=256)} % (SELECT count(*) FROM votes) AS pos FROM votes, (SELECT unnest(range(10000)) AS resample) r),

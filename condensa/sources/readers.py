@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import in_order, written
+
 SPLITS = ("train", "validation", "test")
 
 
@@ -34,7 +36,10 @@ def jsonl_of_language(spark: SparkSession, path: str, schema: str | T.StructType
 
 
 def nested_json(spark: SparkSession, path: str, sample: str) -> DataFrame:
-    """{split: {id: sample}} in one document per file; sample is the DDL of a sample's columns. Ids are dropped."""
+    """{split: {id: sample}} in one document per file; sample is the DDL of a sample's columns. Ids are dropped.
+
+    A document is one JSON object, which can't be read in parts: a file is a row, of 2 GB at most.
+    """
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,map<string,struct<{sample}>>>").alias("all"))
     by_split = raw.select(F.explode("all").alias("split", "samples"))
     return by_split.select("split", F.explode("samples").alias("id", "sample")).select("split", "sample.*")
@@ -59,15 +64,26 @@ def csv_pairs(spark: SparkSession, path: str, schema: str | T.StructType | None
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
-def _lines(spark: SparkSession, path: str, name: str) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True)
-    lines = F.split(F.regexp_replace("value", "\n\\z", ""), "\n", -1)
-    return whole.select(F.posexplode(lines).alias("pos", "line")).select("pos", F.btrim("line", F.lit("\n ")).alias(name))
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, line): lines of text files, numbered from 0 through all of them in the order of their names.
+
+    Files are read in blocks, and a block's lines are numbered where they are; what one task
+    adds up is the number of lines of each block.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    raw = spark.read.option("lineSep", "\n").text(path).select(*place, F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    raw = written(raw, "lines")  # so that the numbers are those of one reading
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    blocks = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # The ids of a task are in a row.
+    return raw.join(blocks, ["file", "block"]).select((F.col("base") + F.col("at") - F.col("first")).alias("pos"), "line")
 
 
 def parallel_text(spark: SparkSession, source: str, target: str) -> DataFrame:
-    """(pos, source, target) of two files line by line, as far as both go."""
-    return _lines(spark, source, "source").join(_lines(spark, target, "target"), "pos")
+    """(pos, source, target) of two files, or folders of them, line by line, as far as both go."""
+    side = lambda path, name: numbered_lines(spark, path).select("pos", F.btrim("line", F.lit("\n ")).alias(name))
+    return side(source, "source").join(side(target, "target"), "pos")
 
 
 def article_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -98,7 +114,6 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def single_document_names(df: DataFrame, *, order: str, text: str) -> DataFrame:
     """(name, text): zero-padded file names by position. Writing a file a row is left to the caller: few systems bear it."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.orderBy(order)) - 1
-    return df.select(F.concat(F.lpad(n.cast("string"), 6, "0"), F.lit(".txt")).alias("name"), F.col(text).alias("text"))
+    rows = in_order(df.select(F.col(order).alias("order"), F.col(text).alias("text")), "order", name="names")
+    digits = F.greatest(F.lit(6), F.length(F.col("pos").cast("string")))
+    return rows.select(F.concat(F.lpad(F.col("pos").cast("string"), digits, F.lit("0")), F.lit(".txt")).alias("name"), "text")

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Setting with the number of partitions that tables of few row groups are spread over; see spread.
@@ -85,3 +85,17 @@ def placed(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
             return df, numbered
     df = written(df, name)
     return df, df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+
+
+def in_order(df: DataFrame, *by: str | Column, name: str = "order") -> DataFrame:
+    """df with a column pos, a row's number from 0 in the order of by.
+
+    The rows are sorted by ranges and written; what one task adds up is the number of rows of
+    each file, of which there are as many as a shuffle has partitions.
+    """
+    rows = placed(written(df.orderBy(*by), name), name)[1]
+    part = F.regexp_extract("__file", r"part-(\d+)", 1).cast("long")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy("__file").agg(F.count("*").alias("__n")).withColumn("__part", part)
+    bases = bases.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    return rows.join(F.broadcast(bases), "__file").withColumn("pos", F.col("__base") + F.col("__at")).drop("__file", "__at", "__base")
