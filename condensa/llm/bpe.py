@@ -27,13 +27,14 @@ from ._tokenizer import PATTERN, default_path, ranks
 
 #: Words a worker remembers; beyond that it starts anew.
 MEMORY_WORDS = 250_000
-#: Rows that one recursive query begins with, and bytes of text handled at a time.
-QUERY_ROWS = 400_000
+#: Rows that one recursive query may come to, a word of n bytes taking n(n + 1) / 2 at most; ids that one decoding query
+#: takes, and bytes of text handled at a time.
+QUERY_CELLS = 4_000_000
 DECODE_ROWS = 250_000
 SLICE_BYTES = 2_000_000
-#: A query takes rounds and rows in the square of a word's length. Longer words (bytes) take the
-#: same contractions in the same order from a heap.
-LONG_WORD = 400
+#: Longer words (bytes) would take more rows than a query may have: they take the same contractions in the same order
+#: from a heap.
+LONG_WORD = 2_000
 
 ENCODE = """
 WITH RECURSIVE bpe(round, w, p, t, e) AS (
@@ -152,7 +153,7 @@ class Codec:
         sizes = np.array([len(words[i]) for i in asked], np.int64)
         lo = 0
         while lo < len(asked):
-            hi = max(lo + 1, int(np.searchsorted(np.cumsum(sizes[lo:]), QUERY_ROWS, "right")) + lo)
+            hi = max(lo + 1, int(np.searchsorted(np.cumsum(sizes[lo:] * (sizes[lo:] + 1) // 2), QUERY_CELLS, "right")) + lo)
             n = sizes[lo:hi]
             first = np.cumsum(n) - n
             rows = pa.table({

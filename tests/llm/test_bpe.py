@@ -14,7 +14,7 @@ def texts():
 
 
 def test_ids_are_the_public_encoder_s(monkeypatch):
-    monkeypatch.setattr("condensa.llm.bpe.QUERY_ROWS", 200)
+    monkeypatch.setattr("condensa.llm.bpe.QUERY_CELLS", 2_000)
     enc, c, t = encoding(default_path()), Codec(default_path()), texts()
     ids, counts = c.encode(t)
     at = 0
@@ -26,7 +26,8 @@ def test_ids_are_the_public_encoder_s(monkeypatch):
 
 def test_heap_and_queries_agree():
     c, rng = Codec(default_path()), random.Random(2)
-    words = ["".join(rng.choices("aeinrst", k=rng.randint(2, LONG_WORD))).encode() for _ in range(60)]
+    words = ["".join(rng.choices("aeinrst", k=rng.randint(2, 300))).encode() for _ in range(60)]
+    words += [("".join(rng.choices("aeinrst", k=k))).encode() for k in (LONG_WORD - 1, LONG_WORD, LONG_WORD + 1)]
     ids, counts = c._encode_words(words)
     assert ids.tolist() == [x for w in words for x in ([ranks(default_path())[w]] if w in ranks(default_path()) else _by_heap(w, ranks(default_path())))]
 
@@ -72,3 +73,10 @@ def test_long_texts_decode_in_pieces(spark, monkeypatch):
     c = Codec(default_path())
     t = texts()[:60]
     assert c.decode(*c.encode(t)) == t
+
+
+def test_many_long_words_fit_a_query_s_memory():
+    """3 MB of words of several hundred bytes, which take the square of their length in rows."""
+    rng, c, enc = random.Random(4), Codec(default_path()), encoding(default_path())
+    text = " ".join("".join(rng.choices("aeinrst", k=390)) for _ in range(400))
+    assert c.encode([text])[0].tolist() == enc.encode_ordinary(text)
