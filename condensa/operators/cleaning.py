@@ -130,7 +130,7 @@ def removed_as_text(row: Row, reason: str, *, reference: str = "reference", summ
 
 
 def matching(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """The rows (place, r, s) that a scan by place keeps. Places are distinct."""
+    """The rows (place, r, s) that a scan by place keeps, as written tables. Only rows alike in all three share a place; of those one is kept."""
     left, kept = edges, []
     for _ in range(max_rounds):
         first_r = left.groupBy("r").agg(F.min(F.struct("place", "s")).alias("x")).select("x.place", "r", "x.s")
@@ -141,7 +141,7 @@ def matching(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
         if left.isEmpty():
             break
     else:
-        kept.append(_scanned(left))
+        kept.append(written(_scanned(left), "dedup-scanned"))
     out = kept[0]
     for k in kept[1:]:
         out = out.unionByName(k)
@@ -175,7 +175,7 @@ def _scanned(edges: DataFrame) -> DataFrame:
 def duplicates(edges: DataFrame) -> DataFrame:
     """(place, why) for every row of edges: why is null for those that a scan by place keeps."""
     edges = written(edges, "dedup-edges")
-    kept = written(matching(edges.distinct()), "dedup-kept")
+    kept = matching(edges)
     of_r, of_s = kept.select("r", F.col("place").alias("kr")), kept.select("s", F.col("place").alias("ks"))
     rows = edges.join(of_r, "r", "left").join(of_s, "s", "left")
     kr, ks = (F.when(F.col(k) < F.col("place"), F.col(k)) for k in ("kr", "ks"))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,18 +74,31 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(n)) if n else df
 
 
+#: Steps of a plan that leave each row of a file one row or none, the same whenever they run.
+_ROW_BY_ROW = {"LogicalRelation", "Project", "Filter", "Repartition", "RepartitionByExpression", "SubqueryAlias"}
+
+
+def _row_by_row(plan) -> bool:
+    if plan.getClass().getSimpleName() not in _ROW_BY_ROW:
+        return False
+    children = plan.children()
+    return all(_row_by_row(children.apply(k)) for k in range(children.size()))
+
+
 def placed(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """(df, the same with columns __file and __at that tell its rows apart whenever it is read).
 
-    Where df scans files, those are a row's file and its number there, and nothing is
-    written. Any other frame is written once, since its rows may come otherwise next time.
+    Where df is a scan of files, filtered perhaps, those are a row's file and its number
+    there, and nothing is written. Any other frame is written once, since its rows may come
+    otherwise next time, or several from one row of a file.
     """
-    with contextlib.suppress(Exception):
-        numbered = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
-        if not numbered.isStreaming and numbered.schema["__at"].dataType.typeName() == "long":
-            return df, numbered
+    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at")]
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.deterministic() and _row_by_row(plan):
+        with contextlib.suppress(AnalysisException):  # other formats than Parquet don't number rows
+            return df, df.select("*", *place)
     df = written(df, name)
-    return df, df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    return df, df.select("*", *place)
 
 
 def in_order(df: DataFrame, *by: str | Column, name: str = "order") -> DataFrame:

@@ -44,6 +44,22 @@ def test_other_frames_are_written_once(spark):
     assert S.placed(spark.range(0).toDF("id"), "p")[1].count() == 0
 
 
+@pytest.mark.parametrize("make", [
+    lambda df: df.select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")), lambda df: df.limit(7), lambda df: df.where(F.rand() < 0.5), lambda df: df.union(df), lambda df: df.join(df, "id"), lambda df: df.groupBy("id").count(),
+])
+def test_several_or_other_rows_of_a_file_s_row_have_places_of_their_own(spark, tmp_path, make):
+    spark.range(50).toDF("id").repartition(2).write.parquet(f"{tmp_path}/t")
+    df, rows = S.placed(make(spark.read.parquet(f"{tmp_path}/t")), "p")
+    first = sorted((r["__file"], r["__at"], r["id"]) for r in rows.collect())
+    assert len({x[:2] for x in first}) == len(first) == df.count() and first == sorted((r["__file"], r["__at"], r["id"]) for r in rows.collect())
+
+
+def test_other_formats_are_written_once(spark, tmp_path):
+    spark.range(9).toDF("id").write.json(f"{tmp_path}/t")
+    rows = S.placed(spark.read.schema("id long").json(f"{tmp_path}/t"), "p")[1]
+    assert len({(r["__file"], r["__at"]) for r in rows.collect()}) == 9
+
+
 def test_small_tables_are_spread_only_if_asked_for(spark):
     df = spark.range(10).coalesce(1)
     assert S.spread(df) is df
