@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -83,64 +84,88 @@ def centrality(similarity: np.ndarray, threshold: float | None = None) -> np.nda
     return stationary(markov_matrix(similarity))
 
 
-def word_vectors(parts: list[str], find) -> np.ndarray:
-    """Counts of words (no model is shipped): each sentence as a vector of unit length."""
-    rows = [[w.lower() for w in find(s)] for s in parts]
-    number: dict[str, int] = {}
-    for r in rows:
-        for w in r:
-            number.setdefault(w, len(number))
-    out = np.zeros((len(parts), max(len(number), 1)), np.float32)
-    for i, r in enumerate(rows):
-        for w in r:
-            out[i, number[w]] += 1
-    return unit(out)
-
-
 def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
 
 
-#: Cells of the matrix of likeness that are held at a time.
+#: Cells of matrices that are held at a time.
 CELLS = 4_000_000
 
 
-def walk_centrality(vectors: np.ndarray, threshold: float | None = None, *, cells: int = CELLS, most: int = 1_000) -> np.ndarray:
-    """As centrality(vectors @ vectors.T, threshold), of vectors of unit length, without that matrix: rows of it are made anew
-    for each step of the walk, as many as fit. A long document takes the square of its sentences in time, not in memory."""
+class Given:
+    """Sentences by vectors of unit length."""
+
+    def __init__(self, vectors: np.ndarray) -> None:
+        self.vectors, self.n, self.width = vectors, len(vectors), max(len(vectors), 1)
+
+    def likeness(self, a: int, b: int) -> np.ndarray:
+        return (self.vectors[a:b] @ self.vectors.T).astype(np.float64)
+
+
+class WordCounts:
+    """Sentences by counts of their words, scaled to unit length (no model is shipped); what isn't zero is kept."""
+
+    def __init__(self, parts: list[str], find) -> None:
+        number: dict[str, int] = {}
+        rows = [Counter(number.setdefault(w.lower(), len(number)) for w in find(s)) for s in parts]
+        self.n, self.words = len(parts), len(number)
+        self.sizes = np.array([len(r) for r in rows], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.columns = np.array([c for r in rows for c in r], np.int64)
+        self.values = np.array([x for r in rows for x in r.values()], np.float64)
+        length = np.sqrt(np.bincount(np.repeat(np.arange(self.n), self.sizes), self.values**2, self.n))
+        self.values /= np.repeat(np.maximum(length, 1e-9), self.sizes)
+        self.width = max(len(self.columns), self.words, 1)
+
+    def likeness(self, a: int, b: int) -> np.ndarray:
+        own = np.zeros((b - a, self.words))
+        lo, hi = self.starts[a], self.starts[b] if b < self.n else len(self.columns)
+        own[np.repeat(np.arange(b - a), self.sizes[a:b]), self.columns[lo:hi]] = self.values[lo:hi]
+        out, there = np.zeros((b - a, self.n)), np.flatnonzero(self.sizes)
+        if len(there):
+            out[:, there] = np.add.reduceat(own[:, self.columns] * self.values, self.starts[there], axis=1)
+        return out
+
+
+def walk_centrality(sents: Given | WordCounts, threshold: float | None = None, *, cells: int = CELLS, most: int = 1_000) -> np.ndarray:
+    """As centrality of the matrix of likeness, without holding one of more than `cells`: its rows are then made anew for each
+    step of the walk, some at a time. A long document takes the square of its sentences in time, not in memory."""
     if threshold is not None and not 0 <= threshold < 1:
         raise ValueError("the threshold is at least 0 and less than 1")
-    n = len(vectors)
-    step = max(1, cells // max(n, 1))
-
-    def likeness(a: int) -> np.ndarray:
-        s = (vectors[a : a + step] @ vectors.T).astype(np.float64)
+    n = sents.n
+    if n < 2:
+        return np.ones(n)
+    step = max(1, cells // max(sents.width, n))
+    slices = [(a, min(a + step, n)) for a in range(0, n, step)]
+
+    def likeness(a: int, b: int) -> np.ndarray:
+        s = sents.likeness(a, b)
         return s if threshold is None else (np.round(s, 9) >= threshold).astype(np.float64)
 
-    soft = any(likeness(a).min() <= 0 for a in range(0, n, step))
+    soft = any(likeness(a, b).min() <= 0 for a, b in slices)
 
-    def shares(a: int) -> np.ndarray:
-        s = likeness(a)
+    def shares(a: int, b: int) -> np.ndarray:
+        s = likeness(a, b)
         if soft:
             s = np.exp(s - s.max(1, keepdims=True))
         return s / s.sum(1, keepdims=True)
 
-    held = shares(0) if step >= n else None
-    v = np.full(n, 1 / max(n, 1))
-    for _ in range(most if n > 1 else 0):
+    if n * n <= cells:
+        held = np.concatenate([shares(a, b) for a, b in slices])
+        slices, shares = [(0, n)], lambda a, b: held
+    v = np.full(n, 1 / n)
+    for _ in range(most):
         new = np.zeros(n)
-        for a in range(0, n, step):
-            new += v[a : a + step] @ (shares(a) if held is None else held)
+        for a, b in slices:
+            new += v[a:b] @ shares(a, b)
         if np.allclose(new, v, rtol=1e-9, atol=1e-12):
             return new
         v = new
-    if n > 1:
-        raise ArithmeticError("no convergence")
-    return v
+    raise ArithmeticError("no convergence")
 
 
-def central_order(vectors: np.ndarray, threshold: float | None = None) -> list[int]:
-    scores = np.round(walk_centrality(vectors, threshold), 9) if len(vectors) else np.zeros(0)
+def central_order(sents: Given | WordCounts, threshold: float | None = None) -> list[int]:
+    scores = np.round(walk_centrality(sents, threshold), 9)
     return np.lexsort((np.arange(len(scores)), -scores)).tolist()
 
 
@@ -150,7 +175,7 @@ def vector_centrality(sentences_: DataFrame, *, doc: str, pos: str, vector: str,
 
     def run(own: pa.Table) -> pa.Table:
         v = np.stack(own.column("v").to_pylist()).astype(np.float64)
-        return pa.table({"doc": own.column("doc"), "pos": own.column("pos"), "score": walk_centrality(unit(v), threshold)})
+        return pa.table({"doc": own.column("doc"), "pos": own.column("pos"), "score": walk_centrality(Given(unit(v)), threshold)})
 
     own = sentences_.select(F.col(doc).alias("doc"), F.col(pos).alias("pos"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
     found = own.groupBy("doc").applyInArrow(run, f"doc {kinds[0]}, pos {kinds[1]}, score double")
@@ -175,7 +200,7 @@ def lexrank(parts: Column, *, k: Column | int | None = None, max_length: int | N
             if s is None:
                 out.append(None)
                 continue
-            order = central_order(word_vectors(s, find) if own is None else unit(np.array(own, np.float64).reshape(len(s), -1)), threshold)
+            order = central_order(WordCounts(s, find) if own is None else Given(unit(np.array(own, np.float64).reshape(len(s), -1))), threshold)
             if max_length is None:
                 out.append(" ".join(s[i] for i in order[: int(n)]))
                 continue

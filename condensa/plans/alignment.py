@@ -11,9 +11,8 @@ from .registry import SQL_SENTENCES, SQL_TURNS, query, sql_grams, table, turn_pa
 
 
 def _sided(spark, sf):
-    """Turns whose two sides have sentences."""
-    own = turn_pairs(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), sentences("summary").alias("summary"), sentences("reference").alias("source"))
-    return own.where((F.size("summary") > 0) & (F.size("source") > 0))
+    """Both sides of all turns as sentences. Where one has none, nothing is aligned."""
+    return turn_pairs(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), sentences("summary").alias("summary"), sentences("reference").alias("source"))
 
 
 def _sql(attribute: str, exact: bool) -> str:
@@ -83,6 +82,6 @@ def sentence_transformer_aligner(spark, sf):
 @query(_sql("fmeasure", True) + ", w AS (SELECT least(100, max(n)) AS bins FROM best), p AS (SELECT least(floor(round(spos / greatest(n - 1, 1), 6) * bins), bins - 1)::BIGINT AS bin FROM best, w) SELECT bin, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM p GROUP BY bin")
 def density_histogram(spark, sf):
     own = _sided(spark, sf)
-    bins = own.agg(F.least(F.lit(100), F.max(F.size("source"))).alias("bins"))
+    bins = own.agg(F.least(F.lit(100), F.max(F.when((F.size("summary") > 0) & (F.size("source") > 0), F.size("source")))).alias("bins"))
     found = own.select(F.explode(A.closest_matches(F.col("summary"), F.col("source"))).alias("m")).select(F.round("m.relative_position", 6).alias("relative_position"))
     return T.position_histogram(found.crossJoin(F.broadcast(bins)), F.col("bins"))

@@ -40,25 +40,14 @@ def central(parts):
         return []
     words = sorted({w.lower() for s in parts for w in letters(s)})
     counts = np.array([[[w.lower() for w in letters(s)].count(x) for x in words] or [0] for s in parts], float)
-    v = (counts / np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-    s = (v @ v.T).astype(float)
+    v = counts / np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-9)
+    s = v @ v.T
     p = np.exp(s) / np.exp(s).sum(1, keepdims=True) if s.min() <= 0 else s / s.sum(1, keepdims=True)
     values, vectors = np.linalg.eig(p.T)
     x = np.real(vectors[:, np.argmax(np.real(values))])
     return list(x / x.sum())
 
 
-def agrees(picked, parts):
-    """Whether the picked sentences, in their order, are the most central ones, but for scores that are equal to rounding."""
-    scores = central(parts)
-    best = sorted(scores, reverse=True)
-    rest = list(range(len(parts)))
-    for k, text in enumerate(picked):
-        at = next(i for i in rest if parts[i] == text and abs(scores[i] - best[k]) < 1e-6)
-        rest.remove(at)
-    return True
-
-
 @needs_tables
 def test_central_sentences(spark, documents):
     got = {r.doc_id: r.summary for r in QUERIES["lexrank_st"](spark, DATA).collect()}
@@ -102,7 +91,21 @@ def test_a_walk_in_slices_is_that_of_the_matrix(n, threshold):
     v = B.unit(np.random.default_rng(n).random((n, 5)) - 0.3)
     want = B.centrality(v @ v.T, threshold)
     for cells in (1, 3 * n, 10**6):
-        assert np.allclose(B.walk_centrality(v, threshold, cells=cells), want, atol=1e-6)
+        assert np.allclose(B.walk_centrality(B.Given(v), threshold, cells=cells), want, atol=1e-6)
+
+
+@pytest.mark.parametrize("cells", [1, 40, 10**6])
+def test_counts_of_words_are_vectors(cells):
+    from condensa.operators import baselines as B
+
+    rng = np.random.default_rng(3)
+    parts = [" ".join(rng.choice(list("abcdefg"), rng.integers(0, 9))) for _ in range(30)] + ["", "A a b"]
+    words = B.WordCounts(parts, letters)
+    counts = np.array([[p.lower().split().count(x) for x in "abcdefg"] for p in parts], float)
+    v = counts / np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(words.likeness(0, 32), v @ v.T) and np.allclose(words.likeness(5, 9), v[5:9] @ v.T)
+    assert np.allclose(B.walk_centrality(words, cells=cells), B.walk_centrality(B.Given(v)), atol=1e-9)
+    assert B.central_order(B.WordCounts([], letters)) == [] and B.central_order(B.WordCounts([""], letters)) == [0]
 
 
 def test_vectors_may_be_given(spark):
