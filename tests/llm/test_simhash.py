@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 import by_hand
 from cases import empty, odd
 from condensa.llm._graph import components
-from condensa.llm.simhash import close_pairs, deduplicate, near_duplicates, signatures
+from condensa.llm.simhash import chunk_shares, chunk_width, close_pairs, close_signatures, close_windows, deduplicate, near_duplicates, signatures
 
 V = [f"w{i}q" for i in range(4000)]
 
@@ -143,3 +144,59 @@ def test_components(spark):
     nodes = {x for e in edges if e[0] is not None and e[0] != e[1] for x in e}
     got = {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {(x, root(x)) for x in nodes}
+
+
+@pytest.mark.parametrize("radius,width,bits", [(50, 11, 19), (50, 8, 5), (50, 16, 4), (0, 9, 5), (3, 8, 4), (110, 20, 6)])
+def test_groups_by_chunks_are_those_of_all_pairs(spark, monkeypatch, radius, width, bits):
+    """In pieces that are full, so that keys have several, and of several first bits."""
+    monkeypatch.setattr("condensa.llm.simhash.chunk_width", lambda n, radius: width)
+    monkeypatch.setattr("condensa.llm.simhash.PIECE_BITS", bits)
+    rows = corpus(4)
+    want = {(x, min(g)) for g in groups(rows, radius) for x in g}
+    assert {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), radius=radius).collect()} == want
+
+
+def test_many_signatures_aren_t_all_compared(spark):
+    """Each pair in the radius is given once, wherever its bits are, and none beyond; few pairs are looked at."""
+    rng = np.random.default_rng(5)
+    n, radius = 50_000, 50
+    sigs = rng.integers(0, 256, (n, 32), dtype=np.uint8)
+    order, want = rng.permutation(n), set()
+    for k in range(600):
+        a, b = order[2 * k : 2 * k + 2]
+        bits = np.unpackbits(sigs[a])
+        at = rng.choice(256, 50 + k % 2, replace=False) if k % 3 else np.arange(k % 5, 256, 5)[: 50 + k % 2]
+        bits[at] ^= 1
+        sigs[b] = np.packbits(bits)
+        if k % 2 == 0:
+            want.add(frozenset((sigs[a].tobytes(), sigs[b].tobytes())))
+    df = spark.createDataFrame([(bytearray(s.tobytes()),) for s in sigs], "sig binary").repartition(4)
+    got = [frozenset((bytes(r.a), bytes(r.b))) for r in close_signatures(df, radius=radius).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    for n in (50_000, 3_000_000, 15_000_000):
+        width = chunk_width(n, radius)
+        met = sum(sum(math.comb(width, k) for k in range(t + 1)) for t in chunk_shares(radius, width)) / 2**width
+        assert met < (0.6 if n == 50_000 else 0.1)
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_close_windows(same):
+    rng = np.random.default_rng(6)
+    a = np.sort(rng.integers(0, 2**62, 400, dtype=np.uint64) | np.uint64(1 << 63))
+    b = a if same else np.sort(np.concatenate([a[:40] ^ np.uint64(1 << 50), rng.integers(0, 2**62, 200, dtype=np.uint64) | np.uint64(1 << 63)]) ^ np.uint64(1 << 62))
+    got = [(int(x), int(y)) for xs, ys in close_windows(a, b, same=same, width=10, head=2, share=3, limit=20) for x, y in zip(xs, ys)]
+    window = np.uint64((1 << 64) - 16)
+    near = lambda x, y: np.bitwise_count((x ^ y) >> np.uint64(54)) <= 3 and np.bitwise_count((x ^ y) & window) <= 20
+    assert sorted(got) == [(i, j) for i in range(len(a)) for j in range(len(b)) if near(a[i], b[j]) and (not same or i < j)] and got
+
+
+def test_a_dense_group_by_chunks(spark, monkeypatch):
+    """A thousand near copies of one text, all within the radius of each other, are one group."""
+    monkeypatch.setattr("condensa.llm.simhash.chunk_width", lambda n, radius: 12)
+    rng = np.random.default_rng(7)
+    bits = np.repeat(rng.integers(0, 2, (1, 256), dtype=np.uint8), 1000, 0)
+    for row in bits:
+        row[rng.choice(256, 6, replace=False)] ^= 1
+    df = spark.createDataFrame([(bytearray(s.tobytes()),) for s in np.packbits(bits, axis=1)], "sig binary").distinct()
+    found = components(close_signatures(df))
+    assert found.count() == df.count() and found.select("component").distinct().count() == 1
