@@ -99,8 +99,7 @@ def parse_avi(data: bytes | None) -> tuple[list[bytes], float, int, int] | None:
                 off, n = struct.unpack_from("<II", data, where + 32 + 8 * i)
                 places.append((base + off, n & 0x7FFFFFFF))
     if not places and index is not None:
-        entries = [struct.unpack_from("<4sIII", data, index[0] + 16 * i) for i in range(index[1] // 16)]
-        entries = [(off, n) for name, _, off, n in entries if name in ours]
+        entries = [(off, n) for name, _, off, n in struct.iter_unpack("<4sIII", data[index[0] : index[0] + index[1] // 16 * 16]) if name in ours]
         # Offsets count from the word 'movi', or from the file's beginning.
         base = next((b for b in (movies[0][0], 0) if entries and data[b + entries[0][0] : b + entries[0][0] + 4] in ours), None)
         if base is not None:
@@ -135,32 +134,38 @@ def _decoded(frames: list[bytes]) -> np.ndarray:
     return out
 
 
-def _filled(out: np.ndarray) -> np.ndarray:
-    last = np.maximum.accumulate(np.where(out[:, 0] >= 0, np.arange(len(out)), -1))
-    return np.where(last[:, None] >= 0, out[last], 0.0)
+def _filled(out: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """first: the frames that begin a film."""
+    at = np.arange(len(out))
+    last = np.maximum.accumulate(np.where(out[:, 0] >= 0, at, -1))
+    return np.where((last >= np.maximum.accumulate(np.where(np.isin(at, first), at, 0)))[:, None], out[last], 0.0)
 
 
 def histograms(frames: list[bytes]) -> np.ndarray:
     """Shares of BINS grey levels for each frame; a frame that can't be decoded has its predecessor's, zeros if there is none."""
-    return _filled(_decoded(frames))
+    return _filled(_decoded(frames), np.zeros(1, np.int64))
+
+
+def _shots(hist: np.ndarray, first: np.ndarray, floor: float = FLOOR, times: float = TIMES, reach: int = REACH) -> np.ndarray:
+    """Frames that begin a shot of films that come one after another; first: the frames that begin a film."""
+    d = np.full(len(hist), np.inf)
+    d[1:] = np.minimum(np.abs(np.diff(hist.cumsum(1), axis=0)).sum(1) / FULL_MOVE, 1)
+    d[first] = np.inf
+    # Films are laid apart, since what lies beyond their ends sorts last.
+    place = np.arange(len(hist)) + reach * np.repeat(np.arange(1, len(first) + 1), np.diff(first, append=len(hist)))
+    apart = np.full(len(hist) + reach * (len(first) + 1), np.inf)
+    apart[place] = d
+    own = np.flatnonzero(d < np.inf)
+    around = apart[place[own][:, None] + [*range(-reach, 0), *range(1, reach + 1)]]
+    around.sort(1)
+    count, row = np.isfinite(around).sum(1), np.arange(len(own))
+    middle = np.where(count > 0, (around[row, np.maximum(count - 1, 0) // 2] + around[row, count // 2]) / 2, 0)
+    return np.sort(np.concatenate([first, own[d[own] >= np.maximum(floor, times * middle)]]))
 
 
 def cuts(hist: np.ndarray, *, floor: float = FLOOR, times: float = TIMES, reach: int = REACH) -> np.ndarray:
     """Frames that begin a shot, the first among them."""
-    if not len(hist):
-        return np.zeros(0, np.int64)
-    d = np.minimum(np.abs(np.diff(hist.cumsum(1), axis=0)).sum(1) / FULL_MOVE, 1)
-    if not len(d):
-        return np.zeros(1, np.int64)
-    around = np.full((len(d), 2 * reach), np.inf)  # what lies beyond the ends sorts last
-    for k, shift in enumerate([*range(-reach, 0), *range(1, reach + 1)]):
-        lo, hi = max(0, -shift), len(d) - max(0, shift)
-        if lo < hi:
-            around[lo:hi, k] = d[lo + shift : hi + shift]
-    around.sort(1)
-    count, row = np.isfinite(around).sum(1), np.arange(len(d))
-    middle = np.where(count > 0, (around[row, np.maximum(count - 1, 0) // 2] + around[row, count // 2]) / 2, 0) if len(d) > 1 else np.zeros(1)
-    return np.concatenate([[0], np.flatnonzero(d >= np.maximum(floor, times * middle)) + 1])
+    return _shots(hist, np.zeros(min(1, len(hist)), np.int64), floor, times, reach)
 
 
 def clips(media: DataFrame, *, key: str = "page_id", column: str = "media") -> DataFrame:
@@ -191,14 +196,17 @@ def clips(media: DataFrame, *, key: str = "page_id", column: str = "media") -> D
                         size += len(data)
                     lo += 1
                 hist, rows, at = _decoded(frames), [], []
-                for row, first, count, seconds, width, height in files:
-                    own_hist = _filled(hist[first : first + count])
-                    if not own_hist.any():
+                begin = np.array([f[1] for f in files], np.int64)
+                starts = _shots(_filled(hist, begin), begin)
+                shots = np.searchsorted(starts, np.append(begin, len(frames))).tolist()
+                whole = np.append(0, np.cumsum(hist[:, 0] >= 0))
+                starts = starts.tolist()
+                for (row, first, count, seconds, width, height), lo_shot, hi_shot in zip(files, shots, shots[1:]):
+                    if whole[first] == whole[first + count]:
                         continue
-                    starts = cuts(own_hist)
-                    ends = np.append(starts[1:], count)
-                    rows += [(c, a, b - a, round(a * seconds * 1000, 3), round(b * seconds * 1000, 3), width, height) for c, (a, b) in enumerate(zip(starts.tolist(), ends.tolist()))]
-                    at += [row] * len(starts)
+                    own = [a - first for a in starts[lo_shot:hi_shot]]
+                    rows += [(c, a, b - a, round(a * seconds * 1000, 3), round(b * seconds * 1000, 3), width, height) for c, (a, b) in enumerate(zip(own, [*own[1:], count]))]
+                    at += [row] * len(own)
                 if rows:
                     columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), _clip_types())]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *columns], schema.names)
@@ -210,6 +218,9 @@ def _clip_types() -> list[pa.Field]:
     return [pa.field("", t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.int32())]
 
 
+_LENGTH = struct.Struct("<I").pack
+
+
 def make_avi(frames: list[bytes], *, width: int, height: int, scale: int = 1, rate: int = 10) -> bytes:
     """A motion-JPEG AVI with an idx1 index."""
     def chunk(name: bytes, body: bytes) -> bytes:
@@ -219,16 +230,35 @@ def make_avi(frames: list[bytes], *, width: int, height: int, scale: int = 1, ra
     strh = struct.pack("<4s4sIHHIIIIIIII4H", b"vids", b"MJPG", 0, 0, 0, 0, scale, rate, 0, len(frames), 0, 0xFFFFFFFF, 0, 0, 0, width, height)
     strf = struct.pack("<IiiHH4sIiiII", 40, width, height, 1, 24, b"MJPG", width * height * 3, 0, 0, 0, 0)
     strl = chunk(b"LIST", b"strl" + chunk(b"strh", strh) + chunk(b"strf", strf))
-    parts = [chunk(b"00dc", f) for f in frames]
+    parts = [b"00dc%b%b%b" % (_LENGTH(len(f)), f, b"\0" * (len(f) & 1)) for f in frames]
+    index = np.zeros(len(frames), [("name", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")])
+    index["name"], index["flags"], index["size"] = b"00dc", 0x10, [len(f) for f in frames]
     sizes = np.array([len(p) for p in parts], np.int64)
-    at = 4 + np.cumsum(sizes) - sizes
-    index = b"".join(struct.pack("<4sIII", b"00dc", 0x10, int(a), len(f)) for a, f in zip(at, frames))
-    body = b"AVI " + chunk(b"LIST", b"hdrl" + chunk(b"avih", avih) + strl) + chunk(b"LIST", b"movi" + b"".join(parts)) + chunk(b"idx1", index)
+    index["at"] = 4 + np.cumsum(sizes) - sizes
+    body = b"AVI " + chunk(b"LIST", b"hdrl" + chunk(b"avih", avih) + strl) + chunk(b"LIST", b"movi" + b"".join(parts)) + chunk(b"idx1", index.tobytes())
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
 _PARAGRAPH = re.compile(rb"<p\b")
 SIDE, SHOT_FRAMES = 16, 3
+_BLANK = bytes(SIDE**2)
+
+
+def _levels(n: int) -> np.ndarray:
+    """Levels of grey of a film's first n shots."""
+    return (24 + (200 * (np.arange(n) * 0.6180339887 % 1)).astype(np.int64)).astype(np.uint8)
+
+
+def _pictures(raw: bytes, rows: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Frames of shots, from their bytes filled up to whole pictures, how many each has, and their levels of grey."""
+    texture = np.zeros((len(rows), SIDE**2), np.uint8)
+    some = np.flatnonzero(rows)
+    if len(some):
+        own = np.frombuffer(raw, np.uint8).reshape(-1, SIDE**2)
+        first = np.cumsum(rows) - rows
+        texture[some] = np.add.reduceat(own, first[some], axis=0, dtype=np.uint64) % 17
+    texture += levels[:, None]
+    return (texture[:, None] + np.arange(SHOT_FRAMES, dtype=np.uint8)[:, None]).reshape(-1, SIDE, SIDE)
 
 
 def render_pages(pages: DataFrame, *, page_id: str = "page_id", html: str = "html") -> DataFrame:
@@ -243,17 +273,16 @@ def render_pages(pages: DataFrame, *, page_id: str = "page_id", html: str = "htm
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 100):
-                part, pictures, counts = batch.slice(lo, 100), [], []
+                part, pieces, rows, levels, counts = batch.slice(lo, 100), [], [], [], []
                 for text in part.column("html"):
                     raw = b"" if (t := text.as_py()) is None else t.encode()
                     at = [0, *(m.start() for m in _PARAGRAPH.finditer(raw) if m.start()), len(raw)]
-                    for k, (a, b) in enumerate(zip(at, at[1:])):
-                        own = np.frombuffer(raw, np.uint8, b - a, a)
-                        own = np.append(own, np.zeros(-len(own) % SIDE**2, np.uint8)).reshape(-1, SIDE**2).sum(0) % 17
-                        level = 24 + int(200 * ((k * 0.6180339887) % 1))
-                        pictures += [own + level + f for f in range(SHOT_FRAMES)]
+                    for a, b in zip(at, at[1:]):
+                        pieces += (raw[a:b], _BLANK[: (a - b) % SIDE**2])
+                        rows.append(-(-(b - a) // SIDE**2))
+                    levels.append(_levels(len(at) - 1))
                     counts.append((len(at) - 1) * SHOT_FRAMES if text.is_valid else None)
-                jpegs = encode_grey(np.array(pictures, np.uint8).reshape(-1, SIDE, SIDE)) if pictures else []
+                jpegs = encode_grey(_pictures(b"".join(pieces), np.array(rows), np.concatenate(levels)))
                 films, at = [], 0
                 for n in counts:
                     films.append(None if n is None else make_avi(jpegs[at : at + n], width=SIDE, height=SIDE))

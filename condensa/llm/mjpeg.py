@@ -57,6 +57,23 @@ def _lookup(table: tuple[bytes, bytes]) -> np.ndarray:
     return out
 
 
+@lru_cache(64)
+def _steps(table: tuple[bytes, bytes], dc: bool) -> np.ndarray:
+    """value << 16 | step << 9 | zeros before it << 5 | length of code and value, for any next 16 bits; length 0 where they don't hold both."""
+    bits = np.arange(1 << 16)
+    code = _lookup(table).astype(np.int64)
+    length, size, zeros = code >> 8, code & 15, 0 if dc else code >> 4 & 15
+    step = np.where(dc, 1, np.where(size > 0, zeros + 1, np.where(zeros == 15, 16, 64)))
+    fits = (code > 0) & (length + size <= 16)
+    v = _signed(bits >> np.maximum(16 - length - size, 0) & (1 << size) - 1, size)
+    return np.where(fits, v << 16 | length + size, 0).astype(np.int32) | (step << 9 | zeros << 5).astype(np.int32)
+
+
+def _signed(v: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Values from their bits."""
+    return np.where((size > 0) & (v < (1 << size) >> 1), v - (1 << size) + 1, v)
+
+
 @dataclass(frozen=True)
 class Header:
     """What a frame says before its scan. Frames with equal ones are decoded together."""
@@ -127,6 +144,8 @@ def _segments(data: bytes) -> list[bytes]:
     """The scan without stuffed zeros, cut at restart marks, up to whatever other mark ends it."""
     if b"\xff" not in data:
         return [data]
+    if data.endswith(b"\xff\xd9") and data.count(b"\xff") == data.count(b"\xff\x00") + 1:
+        return [data[:-2].replace(b"\xff\x00", b"\xff")]
     out, held, at = [], [], 0
     while (k := data.find(b"\xff", at)) >= 0 and k + 1 < len(data):
         mark = data[k + 1]
@@ -147,6 +166,7 @@ def _coefficients(head: Header, scans: list[bytes]) -> tuple[np.ndarray, np.ndar
     units = -(-head.width // (8 * hm)) * -(-head.height // (8 * vm))
     per, step = len(kinds), head.restart or units
     lookup = np.concatenate([_lookup(t) for p in head.parts for t in p[3:5]])
+    steps = np.concatenate([_steps(t, i == 0) for p in head.parts for i, t in enumerate(p[3:5])])
     first, stop, start, datas, base = [], [], [], [], 0
     good = np.ones(len(scans), bool)
     for f, scan in enumerate(scans):
@@ -163,32 +183,34 @@ def _coefficients(head: Header, scans: list[bytes]) -> tuple[np.ndarray, np.ndar
     window = raw[:-3] << np.uint32(24) | raw[1:-2] << np.uint32(16) | raw[2:-1] << np.uint32(8) | raw[3:]
     limit = np.append(start[1:], base * 8).astype(np.int64) - 64 + 8
     out = np.zeros(len(scans) * units * per * 64, np.int32)
-    pos, block, stop = np.array(start, np.int64), np.array(first, np.int64), np.array(stop, np.int64)
-    k = np.zeros(len(pos), np.int64)
-    part = np.array(kinds, np.int64)
+    pos, at, stop = np.array(start, np.int64), np.array(first, np.int64) * 64, np.array(stop, np.int64) * 64
+    part = np.array(kinds, np.int64) << 17
     while len(pos):
-        dc = k == 0
-        at = (2 * part[block % per] + ~dc) << 16
-        code = lookup[at | (window[pos >> 3] >> (16 - (pos & 7)).astype(np.uint32)) & 0xFFFF]
-        pos = pos + (code >> 8)
-        size = (code & 15).astype(np.int64)
-        run = np.where(dc, 0, code >> 4 & 15)
-        v = ((window[np.minimum(pos >> 3, len(window) - 1)] >> (16 - (pos & 7)).astype(np.uint32)) & 0xFFFF).astype(np.int64) >> (16 - size)
-        pos = pos + size
-        v = np.where((size > 0) & (v < (1 << size) >> 1), v - (1 << size) + 1, v)
-        put = k + run
-        use = (size > 0) & (put < 64)
-        out[(block * 64 + put)[use]] = v[use]
-        k = np.where(dc, 1, np.where(size > 0, put + 1, np.where(run == 15, k + 16, 64)))
-        broken = (code == 0) | (pos > limit) | (put > 63)
-        over = k > 63
-        block += over
-        k[over] = 0
-        ended = broken | (block >= stop)
-        if ended.any():
-            good[np.minimum(block[broken] // (units * per), len(scans) - 1)] = False
-            go = ~ended
-            pos, block, stop, limit, k = pos[go], block[go], stop[go], limit[go], k[go]
+        key = window[pos >> 3] >> (16 - (pos & 7)) & 0xFFFF
+        key += ((at & 63) > 0).astype(np.int64) << 16
+        if per > 1:
+            key += part[(at >> 6) % per]
+        told = steps[key]
+        length, v, put = told & 31, told >> 16, at + (told >> 5 & 15)
+        then = np.minimum(at + (told >> 9 & 127), (at | 63) + 1)
+        long = np.flatnonzero(length == 0)
+        if len(long):
+            code = lookup[key[long]].astype(np.int64)
+            size, after = code & 15, pos[long] + (code >> 8)
+            v[long] = _signed((window[after >> 3] >> (16 - (after & 7)) & 0xFFFF) >> (16 - size), size)
+            length[long] = (code >> 8) + size
+            put[long[code == 0]] += 64  # no code: beyond its block
+        pos = pos + length
+        broken = (pos > limit) | ((put ^ at) > 63)
+        if broken.any():
+            good[at[broken] // (units * per * 64)] = False
+            go = ~broken
+            pos, put, v, then, stop, limit = pos[go], put[go], v[go], then[go], stop[go], limit[go]
+        out[put] = v  # where there is no value, 0 on what is 0
+        at = then
+        go = at < stop
+        if not go.all():
+            pos, at, stop, limit = pos[go], at[go], stop[go], limit[go]
     out = out.reshape(len(scans), units, per, 64)
     for c in range(len(head.parts)):
         own = [i for i, x in enumerate(kinds) if x == c]
@@ -255,66 +277,79 @@ def decode_jpeg(jpeg: bytes) -> np.ndarray | None:
     return None
 
 
-def _size_of(v: np.ndarray) -> np.ndarray:
-    return np.where(v == 0, 0, np.floor(np.log2(np.maximum(np.abs(v), 1))).astype(np.int64) + 1)
+#: Standard AC codes of 16 zeros, of 11 bits, and of a block's end, of 4.
+_ZEROS, _END = 0x7F9, 0xA
+
+
+@lru_cache(1)
+def _tokens() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code and value of a difference of DC (by 2048 + v), their length, and the same for AC by zeros before it << 11 | 1024 + v."""
+    out = []
+    for table, runs, most in ((_DC_Y, 1, 2048), (_AC_Y, 16, 1024)):
+        codes = {symbol: (code, length) for symbol, code, length in _codes(table)}
+        token, bits = np.zeros((runs, 2 * most), np.uint64), np.zeros((runs, 2 * most), np.uint8)
+        v = np.arange(-most, most)
+        size = np.frexp(np.abs(v))[1]
+        for symbol, (code, length) in codes.items():
+            own, run = size == (symbol & 15), symbol >> 4
+            token[run, own] = (code << size | np.where(v < 0, v + (1 << size) - 1, v))[own]
+            bits[run, own] = (length + size)[own]
+        out += [token.ravel(), bits.ravel()]
+    return tuple(out)
 
 
 def encode_grey(frames: np.ndarray, *, quantiser: int = 8, tables: bool = False) -> list[bytes]:
     """Baseline grey JPEGs of (n, height, width) pixels, both multiples of 8; without Huffman tables unless asked for."""
     n, height, width = frames.shape
-    pixels = frames.reshape(n, height // 8, 8, width // 8, 8).transpose(0, 1, 3, 2, 4).astype(np.float32) - 128
-    blocks = _COS.T @ pixels.reshape(-1, 8, 8) @ _COS
-    z = np.rint(blocks.reshape(-1, 64)[:, ZIGZAG] / quantiser).astype(np.int64)
-    per = len(z) // max(n, 1)
-    dc = z[:, 0].reshape(n, per)
-    z[:, 0] = np.diff(dc, axis=1, prepend=0).ravel()
-    # Symbols as (place, code, bits): place orders them within the whole.
-    dc_code, ac_code = np.zeros((256, 2), np.int64), np.zeros((256, 2), np.int64)
-    for out, table in ((dc_code, _DC_Y), (ac_code, _AC_Y)):
-        for symbol, code, length in _codes(table):
-            out[symbol] = code, length
-    place, code, bits = [], [], []
-
-    def put(p: np.ndarray, c: np.ndarray, b: np.ndarray) -> None:
-        place.append(p)
-        code.append(c)
-        bits.append(b)
-
-    def put_value(p: np.ndarray, v: np.ndarray) -> None:
-        size = _size_of(v)
-        put(p, np.where(v < 0, v + (1 << size) - 1, v), size)
-
-    at = np.arange(len(z)) * 1024
-    put(at, *dc_code[_size_of(z[:, 0])].T)
-    put_value(at + 1, z[:, 0])
-    b, k = np.nonzero(z[:, 1:])
-    k += 1
-    before = np.where(np.append([-1], b[:-1]) == b, np.append([0], k[:-1]), 0)
-    zeros = k - before - 1
-    long, times = zeros // 16 > 0, zeros // 16
-    where = np.repeat(np.flatnonzero(long), times[long])
-    put(b[where] * 1024 + k[where] * 8, np.full(len(where), ac_code[0xF0, 0]), np.full(len(where), ac_code[0xF0, 1]))
-    v = z[b, k]
-    put(b * 1024 + k * 8 + 4, *ac_code[(zeros % 16) << 4 | _size_of(v)].T)
-    put_value(b * 1024 + k * 8 + 5, v)
-    short = np.flatnonzero(z[:, 63] == 0)
-    put(short * 1024 + 1023, np.full(len(short), ac_code[0, 0]), np.full(len(short), ac_code[0, 1]))
-    place, code, bits = map(np.concatenate, (place, code, bits))
-    order = np.argsort(place, kind="stable")
-    place, code, bits = place[order], code[order], bits[order]
-    frame = place // (1024 * per)
-    length = np.bincount(frame, bits, n).astype(np.int64)
+    if not n:
+        return []
+    pixels = frames.reshape(n, height // 8, 8, width // 8, 8).transpose(0, 1, 3, 4, 2).astype(np.float32) - 128
+    blocks = (pixels.reshape(-1, 8) @ _COS).reshape(-1, 8, 8).transpose(0, 2, 1)  # columns, then rows
+    blocks = (np.ascontiguousarray(blocks).reshape(-1, 8) @ _COS).reshape(-1, 64)
+    z = np.rint(blocks / quantiser).astype(np.int16)[:, ZIGZAG]
+    per = len(z) // n
+    dc = np.diff(z[:, 0].reshape(n, per), axis=1, prepend=0).ravel()
+    # A token is what stands for a coefficient: runs of 16 zeros before it, its code, its value, and the end of its block.
+    there = z != 0
+    there[:, 0] = True
+    at = np.flatnonzero(there)
+    first = np.cumsum(there.sum(1))
+    first = np.append(0, first)
+    zeros = np.diff(at, prepend=0) - 1
+    v = z.ravel()[at].astype(np.int64)
+    zeros[first[:-1]] = v[first[:-1]] = 0
+    dc_token, dc_bits, ac_token, ac_bits = _tokens()
+    key = (zeros & 15) << 11 | v + 1024
+    token, bits = ac_token[key], ac_bits[key]
+    token[first[:-1]], bits[first[:-1]] = dc_token[dc + 2048], dc_bits[dc + 2048]
+    long = np.flatnonzero(zeros > 15)
+    if len(long):
+        times = zeros[long] >> 4
+        token[long] |= np.array([0, _ZEROS, _ZEROS << 11 | _ZEROS, _ZEROS << 22 | _ZEROS << 11 | _ZEROS], np.uint64)[times] << bits[long]
+        bits[long] += (11 * times).astype(np.uint8)
+    short = first[1:][z[:, 63] == 0] - 1
+    token[short] = token[short] << np.uint64(4) | np.uint64(_END)
+    bits[short] += np.uint8(4)
+    # Tokens have 63 bits at most, so each lies in one or two words of 64.
+    ends = np.cumsum(bits, dtype=np.int64)
+    length = np.diff(ends[first[per::per] - 1], prepend=0)
     pad = -length % 8
-    starts = np.cumsum(length + pad) - (length + pad)
-    first = np.cumsum(bits) - bits + np.repeat(np.cumsum(pad) - pad, np.bincount(frame, minlength=n))
-    flat = np.ones(int((length + pad).sum()), np.uint8)  # frames are filled up with ones
-    within = np.arange(bits.sum()) - np.repeat(np.cumsum(bits) - bits, bits)
-    flat[np.repeat(first, bits) + within] = np.repeat(code, bits) >> (np.repeat(bits, bits) - 1 - within) & 1
-    packed = np.packbits(flat).tobytes()
+    stops = np.cumsum(length + pad)
+    begin = ends - bits + np.repeat(np.cumsum(pad) - pad, np.diff(first[::per]))
+    word, shift = begin >> 6, (begin & 63).astype(np.uint8)
+    token <<= 64 - bits
+    packed = np.zeros(int(stops[-1]) // 64 + 2, np.uint64)
+    head_of = np.flatnonzero(np.diff(word, prepend=-1))
+    packed[word[head_of]] = np.bitwise_or.reduceat(token >> shift, head_of)
+    over = np.flatnonzero(shift + bits > 64)
+    packed[word[over] + 1] |= token[over] << (64 - shift[over])
+    flat = packed.byteswap().view(np.uint8)
+    stops >>= 3
+    flat[stops - 1] |= ((1 << pad) - 1).astype(np.uint8)  # frames are filled up with ones
+    flat = flat.tobytes()
     head = b"\xff\xd8\xff\xdb\x00\x43\x00" + bytes([quantiser]) * 64 + struct.pack(">2sHBHHB3B", b"\xff\xc0", 11, 8, height, width, 1, 1, 0x11, 0)
     if tables:
         for kind, table in ((0, _DC_Y), (0x10, _AC_Y)):
             head += b"\xff\xc4" + struct.pack(">HB", 3 + 16 + len(table[1]), kind) + table[0] + table[1]
     head += b"\xff\xda\x00\x08\x01\x01\x00\x00\x3f\x00"
-    ends = np.append(starts[1:], len(flat)) // 8
-    return [head + packed[a:b].replace(b"\xff", b"\xff\x00") + b"\xff\xd9" for a, b in zip((starts // 8).tolist(), ends.tolist())]
+    return [head + flat[a:b].replace(b"\xff", b"\xff\x00") + b"\xff\xd9" for a, b in zip([0, *stops.tolist()], stops.tolist())]

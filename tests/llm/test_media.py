@@ -1,9 +1,10 @@
 import struct
+import tracemalloc
 
 import numpy as np
 import pytest
 
-from condensa.llm.media import clips, cuts, histograms, make_avi, parse_avi, render_pages
+from condensa.llm.media import _shots, clips, cuts, histograms, make_avi, parse_avi, render_pages
 from condensa.llm.mjpeg import STANDARD, ZIGZAG, decode_jpeg, encode_grey, parse_header, split_frame
 
 
@@ -119,6 +120,40 @@ def test_broken_frames_are_none(bad):
     assert decode_jpeg(bad) is None
 
 
+def test_work_of_an_encoder_is_by_coefficients():
+    """Codes are put together in words: what a frame of 16 x 16 needs doesn't grow to arrays with an element for each bit (33 KB a frame)."""
+    frames = (np.random.default_rng(5).integers(0, 17, (2000, 16, 16)) + 100).astype(np.uint8)
+    encode_grey(frames[:1])  # tables are kept
+    tracemalloc.start()
+    try:
+        encode_grey(frames)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak / len(frames) < 20_000
+
+
+def test_long_runs_of_zeros():
+    z = np.zeros((63, 64))
+    z[np.arange(63), np.arange(1, 64)] = 40
+    blocks = np.zeros((63, 64))
+    blocks[:, ZIGZAG] = z
+    cos = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(1 / 8) if u == 0 else 0.5) for u in range(8)] for x in range(8)])
+    frames = np.rint(cos @ blocks.reshape(-1, 8, 8) @ cos.T + 128).astype(np.uint8)
+    for jpeg in encode_grey(frames):
+        assert np.abs(decode_jpeg(jpeg).astype(int) - slow_decode(jpeg)).max() <= 1
+
+
+def test_a_frame_broken_at_its_end_is_told_itself():
+    """Not the one that is decoded after it."""
+    jpegs = encode_grey(pictures(6))
+    hurt = [*jpegs[:2], jpegs[2][:-12] + b"\xff\xd9", *jpegs[3:]]
+    assert decode_jpeg(hurt[2]) is None
+    want = histograms(jpegs)
+    want[2] = want[1]
+    assert (histograms(hurt) == want).all()
+
+
 def test_parse(tmp_path):
     jpegs = encode_grey(pictures())
     data = make_avi(jpegs, width=32, height=24, scale=1, rate=25)
@@ -147,6 +182,13 @@ def test_cuts_stand_out():
     assert cuts(histograms(encode_grey(frames[:7]))).tolist() == [0] and cuts(np.zeros((0, 32))).tolist() == []
 
 
+def test_films_side_by_side_are_cut_like_each_alone():
+    rng = np.random.default_rng(2)
+    films = [rng.dirichlet(np.full(32, 0.2), n)[np.sort(rng.integers(0, n, n))] for n in (1, 2, 3, 9, 40, 1)]
+    first = np.cumsum([0, *map(len, films[:-1])])
+    assert _shots(np.concatenate(films), first).tolist() == [a + x for a, f in zip(first, films) for x in cuts(f)]
+
+
 def test_clips_of_rows(spark):
     frames = np.concatenate([np.full((4, 16, 16), v) for v in (30, 200, 90)]).astype(np.uint8)
     jpegs = encode_grey(frames)
