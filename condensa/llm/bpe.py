@@ -4,8 +4,9 @@ Texts are cut into words by the vocabulary's pattern. The distinct words that a
 hasn't met become rows (word, byte position, token, end); a recursive query joins
 neighbours to the merge table, contracts each word's leftmost pair of least rank and goes
 on with the words that changed, until none does. Decoding joins token rows to the
-vocabulary and puts the bytes together by an ordered aggregation. The pass over the texts
-is narrow: nothing is shuffled, and a worker's tables are bounded.
+vocabulary in their order, and the column of pieces is the bytes of the texts one after
+another. The pass over the texts is narrow: nothing is shuffled, and a worker's tables
+are bounded.
 """
 
 from __future__ import annotations
@@ -25,43 +26,44 @@ from ._arrow import row_slices
 from ._shared import release, small_batches
 from ._tokenizer import PATTERN, default_path, ranks
 
-#: Words a worker remembers; beyond that it starts anew.
+#: Words a worker remembers; beyond that it forgets all but the half that it met most, and those it met once.
 MEMORY_WORDS = 250_000
-#: Rows that one recursive query may come to, a word of n bytes taking n(n + 1) / 2 at most; ids that one decoding query
-#: takes, and bytes of text handled at a time.
+#: Rows that one recursive query may come to, a word of n bytes taking n(n + 1) / 2 at most, those that stay twice; ids
+#: that one decoding query takes, and bytes of text handled at a time.
 QUERY_CELLS = 4_000_000
 DECODE_ROWS = 250_000
 SLICE_BYTES = 2_000_000
 #: Longer words (bytes) would take more rows than a query may have: they take the same contractions in the same order
-#: from a heap.
+#: from a heap. Positions have 16 bits in the query.
 LONG_WORD = 2_000
 
+#: A row knows its right neighbour and the rank of the pair they make, so a round looks up the two pairs that are new in a
+#: word, and no others. Rank, position and end of a pair are one number, the least of which is the leftmost of least rank.
 ENCODE = """
-WITH RECURSIVE bpe(round, w, p, t, e) AS (
-  SELECT 0, w, p, t, p + 1 FROM word_bytes
+WITH RECURSIVE bpe(w, p, t, e, after, r, done) AS (
+  SELECT w, p, t, e, after, rank, false FROM word_bytes LEFT JOIN merges ON pair = (t::BIGINT << 32 | after)
   UNION ALL
-  (WITH best AS (
-     SELECT a.w, min(rank::BIGINT << 32 | a.p) AS least, arg_min(b.e, rank::BIGINT << 32 | a.p) AS until
-     FROM bpe a JOIN bpe b ON b.w = a.w AND b.p = a.e JOIN merges ON pair = (a.t::BIGINT << 32 | b.t)
-     GROUP BY a.w)
-   SELECT round + 1, w, p,
-          CASE WHEN p = least & 4294967295 THEN (least >> 32)::INT ELSE t END,
-          CASE WHEN p = least & 4294967295 THEN until ELSE e END
-   FROM bpe JOIN best USING (w)
-   WHERE p <= least & 4294967295 OR p >= until)
+  SELECT w, p, t, e, after, CASE WHEN ask THEN rank ELSE r END, until IS NULL
+  FROM (
+    SELECT w, e, r, until, p = until OR e = least AS ask,
+           CASE WHEN p = until THEN least ELSE p END AS p,
+           CASE WHEN p = until THEN new ELSE t END AS t,
+           CASE WHEN e = least THEN new ELSE after END AS after
+    FROM bpe LEFT JOIN (
+      SELECT w, (best >> 32)::INT AS new, (best >> 16 & 65535)::USMALLINT AS least, (best & 65535)::USMALLINT AS until
+      FROM (SELECT w, min((r::BIGINT << 32) | (p::BIGINT << 16) | e) AS best FROM bpe WHERE r IS NOT NULL GROUP BY w) q) b USING (w)
+    WHERE NOT done AND (until IS NULL OR p <> least)) q
+  LEFT JOIN merges ON pair = CASE WHEN ask THEN t::BIGINT << 32 | after END
 )
-SELECT w, t FROM bpe JOIN (SELECT w, max(round) AS round FROM bpe GROUP BY w) USING (w, round) ORDER BY w, p
+SELECT w, t FROM bpe WHERE done ORDER BY w, p
 """
 
-DECODE = """
-SELECT doc, string_agg(piece, '' ORDER BY pos) AS bytes
-FROM token_rows JOIN pieces USING (id) GROUP BY doc ORDER BY doc
-"""
+DECODE = "SELECT piece FROM token_rows LEFT JOIN pieces USING (id) ORDER BY pos"
 
 
 @lru_cache(2)
 def _database(path: str):
-    """A DuckDB in memory with the merge table and the vocabulary, bytes as signs of the same number."""
+    """A DuckDB in memory with the merge table and the vocabulary."""
     import duckdb
 
     vocabulary = ranks(path)
@@ -75,7 +77,7 @@ def _database(path: str):
     con = duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
     tables = {
         "merges": pa.table({"pair": pa.array(pair, pa.int64()), "rank": pa.array(rank, pa.int32())}),
-        "pieces": pa.table({"id": pa.array(vocabulary.values(), pa.int32()), "piece": pa.array([t.decode("latin-1") for t in vocabulary])}),
+        "pieces": pa.table({"id": pa.array(vocabulary.values(), pa.int32()), "piece": pa.array(vocabulary, pa.binary())}),
     }
     for name, rows in tables.items():
         con.register("rows_in", rows)
@@ -127,6 +129,11 @@ class _Numbers(dict):
         return n
 
 
+def _ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """n[i] numbers from starts[i] on, one range after another."""
+    return np.arange(n.sum()) + np.repeat(starts - np.cumsum(n) + n, n)
+
+
 class Codec:
     """Encodes and decodes with one vocabulary, remembering words it has met."""
 
@@ -136,39 +143,52 @@ class Codec:
         pattern = regex.compile(PATTERN)
         self.path, self.find, self.iterate = path, pattern.findall, pattern.finditer
         self.known, self.ids, self.starts = _Numbers(), np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.met = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the words met more than once, MEMORY_WORDS / 2 of those met most; counting begins anew."""
+        most = np.argsort(-self.met, kind="stable")[: MEMORY_WORDS // 2]
+        keep = np.sort(most[self.met[most] > 1])
+        words, n = list(self.known), np.diff(self.starts)[keep]
+        self.known = _Numbers((words[k], i) for i, k in enumerate(keep))
+        self.ids, self.starts = self.ids[_ranges(self.starts[keep], n)], np.concatenate([[0], np.cumsum(n)])
+        self.met = np.zeros(len(keep), np.int64)
 
     def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of the words one after another, and how many each has."""
         vocabulary = ranks(self.path)
-        out: list = [None] * len(words)
-        asked: list[int] = []
-        for i, w in enumerate(words):
-            if (r := vocabulary.get(w)) is not None:
-                out[i] = (r,)
-            elif len(w) > LONG_WORD:
-                out[i] = _by_heap(w, vocabulary)
-            else:
-                asked.append(i)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        whole = np.fromiter((vocabulary.get(w, -1) for w in words), np.int64, len(words))
+        counts, parts = np.ones(len(words), np.int64), []
+        for i in np.flatnonzero((whole < 0) & (sizes > LONG_WORD)):
+            parts.append((np.array([i]), np.array(_by_heap(words[i], vocabulary), np.int32)))
+            counts[i] = len(parts[-1][1])
+        asked = np.flatnonzero((whole < 0) & (sizes <= LONG_WORD))
         single = np.array([vocabulary[bytes([b])] for b in range(256)], np.int32)
-        sizes = np.array([len(words[i]) for i in asked], np.int64)
-        lo = 0
-        while lo < len(asked):
-            hi = max(lo + 1, int(np.searchsorted(np.cumsum(sizes[lo:] * (sizes[lo:] + 1) // 2), QUERY_CELLS, "right")) + lo)
-            n = sizes[lo:hi]
-            first = np.cumsum(n) - n
+        cells = np.concatenate([[0], np.cumsum(sizes[asked] * (sizes[asked] + 1) // 2)])
+        for lo, hi in row_slices(cells, QUERY_CELLS):
+            own = asked[lo:hi]
+            n = sizes[own]
+            end = np.cumsum(n)
+            t = single[np.frombuffer(b"".join([words[i] for i in own]), np.uint8)]
+            p = _ranges(np.zeros(len(n), np.int64), n)
+            last = np.zeros(len(t), bool)
+            last[end - 1] = True
             rows = pa.table({
-                "w": pa.array(np.repeat(np.arange(lo, hi), n), pa.int32()),
-                "p": pa.array(np.arange(n.sum()) - np.repeat(first, n), pa.int32()),
-                "t": pa.array(single[np.frombuffer(b"".join(words[i] for i in asked[lo:hi]), np.uint8)]),
+                "w": pa.array(np.repeat(np.arange(len(own)), n), pa.int32()),
+                "p": pa.array(p, pa.uint16()),
+                "t": pa.array(t),
+                "e": pa.array(p + 1, pa.uint16()),
+                "after": pa.array(np.append(t[1:], 0), pa.int32(), mask=last),
             })
             got = _table(_database(self.path), ENCODE, "word_bytes", rows)
-            w, t = got.column("w").to_numpy(), got.column("t").to_numpy()
-            cut = np.searchsorted(w, np.arange(lo, hi + 1))
-            for k in range(lo, hi):
-                out[asked[k]] = t[cut[k - lo] : cut[k - lo + 1]]
-            lo = hi
-        counts = np.fromiter(map(len, out), np.int64, len(out))
-        return (np.concatenate(out) if out else np.zeros(0)).astype(np.int32), counts
+            counts[own] = np.bincount(got.column("w").to_numpy(), minlength=len(own))
+            parts.append((own, got.column("t").to_numpy()))
+        out = np.repeat(whole, counts).astype(np.int32)
+        starts = np.cumsum(counts) - counts
+        for own, t in parts:
+            out[_ranges(starts[own], counts[own])] = t
+        return out, counts
 
     def _numbered(self, text: str) -> np.ndarray:
         """The text's words by their numbers. The words of a long text aren't held all at once."""
@@ -181,7 +201,7 @@ class Codec:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts one after another, and how many each has."""
         if len(self.known) > MEMORY_WORDS:
-            self.known, self.ids, self.starts = _Numbers(), np.zeros(0, np.int32), np.zeros(1, np.int64)
+            self._forget()
         known, met = self.known, len(self.known)
         numbers = [self._numbered(t) for t in texts]
         pieces = np.fromiter(map(len, numbers), np.int64, len(numbers))
@@ -191,9 +211,11 @@ class Codec:
             self.ids = np.concatenate([self.ids, ids])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
         at = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
-        n = (self.starts[1:] - self.starts[:-1])[at]
-        first = np.cumsum(n) - n
-        tokens = self.ids[np.arange(n.sum()) + np.repeat(self.starts[at] - first, n)]
+        counted = np.bincount(at, minlength=len(known))
+        counted[:met] += self.met
+        self.met = counted
+        n = np.diff(self.starts)[at]
+        tokens = self.ids[_ranges(self.starts[at], n)]
         bounds = np.concatenate([[0], np.cumsum(pieces)])
         sums = np.concatenate([[0], np.cumsum(n)])[bounds]
         return tokens, np.diff(sums)
@@ -203,13 +225,19 @@ class Codec:
 
         A query takes DECODE_ROWS ids at most, wherever a text ends: the bytes of a longer one are put together here.
         """
-        doc, out = np.repeat(np.arange(len(counts)), counts), [[] for _ in counts]
+        out, ends = [[] for _ in counts], np.cumsum(counts)
         for a in range(0, len(tokens), DECODE_ROWS):
-            own = doc[a : a + DECODE_ROWS]
-            rows = pa.table({"doc": pa.array(own, pa.int32()), "pos": pa.array(np.arange(len(own)), pa.int32()), "id": pa.array(tokens[a : a + DECODE_ROWS], pa.int32())})
-            got = _table(_database(self.path), DECODE, "token_rows", rows)
-            for d, joined in zip(got.column("doc").to_pylist(), got.column("bytes").to_pylist()):
-                out[d].append(joined.encode("latin-1"))
+            own = tokens[a : a + DECODE_ROWS]
+            rows = pa.table({"pos": pa.array(np.arange(len(own)), pa.int32()), "id": pa.array(own, pa.int32())})
+            for got in _table(_database(self.path), DECODE, "token_rows", rows).column("piece").chunks:
+                _, offs, data = got.buffers()
+                offs = np.frombuffer(offs, np.int32, len(got) + 1, got.offset * 4)
+                d = int(np.searchsorted(ends, a, "right"))  # the text that the chunk begins in
+                to = int(np.searchsorted(ends, a + len(got), "left"))
+                cut = offs[np.minimum(ends[d:to + 1] - a, len(got))]
+                for k, (x, y) in enumerate(zip([offs[0], *cut], cut), d):
+                    out[k].append(data[x:y])
+                a += len(got)
         return [b"".join(x).decode("utf-8", "replace") for x in out]
 
 

@@ -40,6 +40,21 @@ def test_memory_starts_anew(monkeypatch):
             assert c.encode([t])[0].tolist() == enc.encode_ordinary(t)
 
 
+def test_words_met_often_stay_when_memory_is_full(monkeypatch):
+    """Of 40 new words a text and 20 that all texts have, the 20 are encoded once."""
+    monkeypatch.setattr("condensa.llm.bpe.MEMORY_WORDS", 90)
+    c, enc, asked = Codec(default_path()), encoding(default_path()), []
+    encode_words = c._encode_words
+    monkeypatch.setattr(c, "_encode_words", lambda words: asked.extend(words) or encode_words(words))
+    rng = random.Random(5)
+    often = [" " + "".join(rng.choices("aeinrst", k=12)) for _ in range(20)]
+    for _ in range(10):
+        text = "".join(often + [" " + "".join(rng.choices("aeinrst", k=12)) for _ in range(40)])
+        assert c.encode([text])[0].tolist() == enc.encode_ordinary(text)
+        assert len(c.known) <= 150
+    assert len(asked) == 10 * 40 + 20 and [asked.count(w.encode()) for w in often] == [1] * 20
+
+
 def test_rows_and_round_trip(spark):
     out = decode(encode(odd(spark))).collect()
     assert sorted(repr((r.doc_id, r.decoded)) for r in out) == sorted(repr((d, t)) for d, t, *_ in ODD)
