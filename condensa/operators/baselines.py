@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -93,75 +94,88 @@ CELLS = 4_000_000
 
 
 class Given:
-    """Sentences by vectors of unit length."""
+    """Sentences by vectors of unit length. kind and times: the vector of each sentence, and how many sentences have it."""
 
     def __init__(self, vectors: np.ndarray) -> None:
         self.vectors, self.n, self.width = vectors, len(vectors), max(len(vectors), 1)
+        self.kind, self.times = np.arange(self.n), np.ones(self.n)
 
     def likeness(self, a: int, b: int) -> np.ndarray:
         return (self.vectors[a:b] @ self.vectors.T).astype(np.float64)
 
+    alike = likeness
+
 
 class WordCounts:
-    """Sentences by counts of their words, scaled to unit length (no model is shipped); what isn't zero is kept."""
+    """Sentences by counts of their words, scaled to unit length (no model is shipped); what isn't zero is kept, once for sentences of the same words.
+
+    Words of many sentences are columns of a matrix, the others lists of the sentences that have them.
+    """
 
     def __init__(self, parts: list[str], find) -> None:
         number: dict[str, int] = {}
-        rows = [Counter(number.setdefault(w.lower(), len(number)) for w in find(s)) for s in parts]
-        self.n, self.words = len(parts), len(number)
-        self.sizes = np.array([len(r) for r in rows], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.columns = np.array([c for r in rows for c in r], np.int64)
-        self.values = np.array([x for r in rows for x in r.values()], np.float64)
-        length = np.sqrt(np.bincount(np.repeat(np.arange(self.n), self.sizes), self.values**2, self.n))
-        self.values /= np.repeat(np.maximum(length, 1e-9), self.sizes)
-        self.width = max(len(self.columns), self.words, 1)
+        place: dict[tuple[int, ...], int] = {}
+        self.kind = np.array([place.setdefault(tuple(number.setdefault(w.lower(), len(number)) for w in find(s)), len(place)) for s in parts], np.int64)
+        rows, kinds = [Counter(key) for key in place], len(place)
+        self.n, self.words, self.times = len(parts), len(number), np.bincount(self.kind, minlength=kinds).astype(np.float64)
+        row = np.repeat(np.arange(kinds), [len(r) for r in rows])
+        column = np.array([c for r in rows for c in r], np.int64)
+        value = np.array([x for r in rows for x in r.values()], np.float64)
+        value /= np.maximum(np.sqrt(np.bincount(row, value**2, kinds)), 1e-9)[row]
+        frequency = np.bincount(column, minlength=self.words)
+        often = np.argsort(-frequency, kind="stable")[: CELLS // max(kinds, 1)]
+        often = often[frequency[often] * 6 > kinds]
+        at = np.full(self.words, -1)
+        at[often] = np.arange(len(often))
+        there = at[column] >= 0
+        self.often = np.zeros((kinds, len(often)))
+        self.often[row[there], at[column[there]]] = value[there]
+        self.row, self.column, self.value = row[~there], column[~there], value[~there]
+        order = np.argsort(self.column, kind="stable")
+        self.listed = self.row[order], self.value[order]
+        self.frequency = np.bincount(self.column, minlength=self.words)
+        self.first = np.cumsum(self.frequency) - self.frequency
+        self.width = int(max(np.bincount(self.row, self.frequency[self.column], 1).max(), kinds, 1))
+
+    def alike(self, a: int, b: int) -> np.ndarray:
+        """Of the kinds from a to b to all kinds."""
+        kinds = len(self.times)
+        out = self.often[a:b] @ self.often.T
+        lo, hi = np.searchsorted(self.row, (a, b))
+        if lo < hi:
+            n = self.frequency[self.column[lo:hi]]
+            met = np.arange(n.sum()) + np.repeat(self.first[self.column[lo:hi]] - np.cumsum(n) + n, n)
+            at = np.repeat((self.row[lo:hi] - a) * kinds, n) + self.listed[0][met]
+            out += np.bincount(at, np.repeat(self.value[lo:hi], n) * self.listed[1][met], out.size).reshape(out.shape)
+        return out
 
     def likeness(self, a: int, b: int) -> np.ndarray:
-        own = np.zeros((b - a, self.words))
-        lo, hi = self.starts[a], self.starts[b] if b < self.n else len(self.columns)
-        own[np.repeat(np.arange(b - a), self.sizes[a:b]), self.columns[lo:hi]] = self.values[lo:hi]
-        out, there = np.zeros((b - a, self.n)), np.flatnonzero(self.sizes)
-        if len(there):
-            out[:, there] = np.add.reduceat(own[:, self.columns] * self.values, self.starts[there], axis=1)
-        return out
+        return np.concatenate([self.alike(k, k + 1) for k in self.kind[a:b]])[:, self.kind]
+
 
+def walk_centrality(sents: Given | WordCounts, threshold: float | None = None, *, cells: int = CELLS) -> np.ndarray:
+    """As centrality of the matrix of likeness, without holding more than `cells` of it or walking.
 
-def walk_centrality(sents: Given | WordCounts, threshold: float | None = None, *, cells: int = CELLS, most: int = 1_000) -> np.ndarray:
-    """As centrality of the matrix of likeness, without holding one of more than `cells`: its rows are then made anew for each
-    step of the walk, some at a time. A long document takes the square of its sentences in time, not in memory."""
+    The walk goes by shares of weights that are the same there and back, so where it comes to rest
+    a sentence's part is that of its row's weights, however slowly steps would come near: one pass
+    over the rows. A long document takes the square of its different sentences in time, not in memory.
+    """
     if threshold is not None and not 0 <= threshold < 1:
         raise ValueError("the threshold is at least 0 and less than 1")
-    n = sents.n
-    if n < 2:
-        return np.ones(n)
-    step = max(1, cells // max(sents.width, n))
-    slices = [(a, min(a + step, n)) for a in range(0, n, step)]
-
-    def likeness(a: int, b: int) -> np.ndarray:
-        s = sents.likeness(a, b)
-        return s if threshold is None else (np.round(s, 9) >= threshold).astype(np.float64)
-
-    soft = any(likeness(a, b).min() <= 0 for a, b in slices)
-
-    def shares(a: int, b: int) -> np.ndarray:
-        s = likeness(a, b)
-        if soft:
-            s = np.exp(s - s.max(1, keepdims=True))
-        return s / s.sum(1, keepdims=True)
-
-    if n * n <= cells:
-        held = np.concatenate([shares(a, b) for a, b in slices])
-        slices, shares = [(0, n)], lambda a, b: held
-    v = np.full(n, 1 / n)
-    for _ in range(most):
-        new = np.zeros(n)
-        for a, b in slices:
-            new += v[a:b] @ shares(a, b)
-        if np.allclose(new, v, rtol=1e-9, atol=1e-12):
-            return new
-        v = new
-    raise ArithmeticError("no convergence")
+    if sents.n < 2:
+        return np.ones(sents.n)
+    kinds = len(sents.times)
+    step, least, plain, soft = max(1, cells // max(sents.width, kinds)), np.inf, np.empty(kinds), np.empty(kinds)
+    for a in range(0, kinds, step):
+        b = min(a + step, kinds)
+        s = sents.alike(a, b)
+        if threshold is not None:
+            s = (np.round(s, 9) >= threshold).astype(np.float64)
+        least = min(least, s.min())
+        plain[a:b] = s @ sents.times
+        soft[a:b] = np.exp(s, out=s) @ sents.times
+    weight = (soft if least <= 0 else plain)[sents.kind]
+    return weight / weight.sum()
 
 
 def central_order(sents: Given | WordCounts, threshold: float | None = None) -> list[int]:
@@ -196,7 +210,8 @@ def lexrank(parts: Column, *, k: Column | int | None = None, max_length: int | N
         import regex
 
         find, out = regex.compile(r"[\p{L}\p{N}]+").findall, []
-        for s, n, own in zip(sents.to_pylist(), count.to_pylist(), given.to_pylist()):
+        slices = ((x.slice(a, 128).to_pylist() for x in (sents, count, given)) for a in range(0, len(sents), 128))  # not a batch's sentences at once
+        for s, n, own in chain.from_iterable(zip(*x) for x in slices):
             if s is None:
                 out.append(None)
                 continue
