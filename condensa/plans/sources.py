@@ -65,7 +65,7 @@ def scan_json_dir_split(spark, sf):
 @query("SELECT doc_id, md5(text) AS text, md5(source) AS source FROM documents")
 def scan_csv(spark, sf):
     path = new_dir(spark, "csv")
-    documents(spark, sf).select("doc_id", "text", "source").write.option("header", True).option("quote", '"').option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    R.write_csv(documents(spark, sf).select("doc_id", "text", "source"), path)
     return R.csv_pairs(spark, path, "doc_id long, text string, source string").select("doc_id", F.md5("text").alias("text"), F.md5("source").alias("source"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -59,11 +60,24 @@ def json_folder(spark: SparkSession, folder: str, schema: str | T.StructType, li
 
 
 def csv_pairs(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
-    """Comma-separated with a header; quoted fields hold line breaks and doubled quotes."""
+    """Comma-separated with a header; quoted fields hold line breaks and doubled quotes. A field without quotes and signs is null, '""' is the empty text."""
     reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+    # By default the mark of a null is the empty text, and NUL escapes a quote.
+    reader = reader.option("nullValue", uuid.uuid4().hex).option("charToEscapeQuoteEscaping", '"')
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """Files as csv_pairs reads them, fields in quotes but for nulls: Spark's own writer quotes these too, so that they are empty texts."""
+    if len(df.columns) < 2:
+        raise ValueError("a line of one null is no row to a reader: two columns at least")
+    quoted = lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", *[F.coalesce(quoted(F.col(c).cast("string")), F.lit("")) for c in df.columns])
+    head = F.concat_ws(",", *[quoted(F.lit(c)) for c in df.columns])
+    first = F.monotonically_increasing_id() % (1 << 33) == 0  # a task's first row, and a task writes a file
+    df.select(F.concat(F.when(first, F.concat(head, F.lit("\n"))).otherwise(F.lit("")), line).alias("value")).write.option("maxRecordsPerFile", 0).text(path)
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(pos, line): lines of text files, numbered from 0 through all of them in the order of their names.
 

@@ -22,3 +22,11 @@ def test_equal_sentences_are_held_once():
     words = B.WordCounts(["A b.", "c", "a B"] * 2_000, letters)
     assert len(words.times) == 2 and words.often.size + len(words.value) < 10
     assert len({round(v, 12) for v in B.walk_centrality(words)}) == 2
+
+
+def test_csv_keeps_nulls_empty_texts_and_nul(spark, tmp_path):
+    from condensa.sources import readers as R
+
+    rows = [(1, "", "a"), (2, None, ""), (None, 'a\0"', None), (4, '"', '\r\n"",'), (5, " x ", "\\")]
+    R.write_csv(spark.createDataFrame(rows, "i long, s string, t string").repartition(2), str(tmp_path / "csv"))
+    assert sorted(map(tuple, R.csv_pairs(spark, str(tmp_path / "csv"), "i long, s string, t string").collect()), key=str) == sorted(rows, key=str)
