@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections import Counter, defaultdict
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.grams import distinct, grams, numbered, ranked, room, text_slices
 from ..functions.pairs import _finder
-from ..functions.text import cut, index_tokens, sentences
+from ..functions.text import SENTENCE, WORD, cut, index_tokens, sentences
 from ..storage import written
 
 
@@ -170,20 +172,52 @@ def topic_summary(docs: DataFrame, topics: str, *, doc: str = "doc_id", text: st
 
     With max_chars, the limit for a topic is max_chars over the number of topics, plus 1, and
     the summary is cut after max_chars signs. Rows without a topic or a hit have no row. A
-    document is summarised in its row: nothing is shuffled.
+    document is summarised in its row: nothing is shuffled, and topics that are a function of
+    the text are found once.
     """
     if max_chars is not None and max_chars <= 0:
         raise ValueError("max_chars is positive")
-    n = F.size(topics)
-    most = F.floor(F.lit(max_chars) / F.when(n > 0, n)) + 1 if max_chars is not None else F.lit(limit)
+    kind = docs.schema[doc].dataType.simpleString()
 
-    def chosen(parts: Column) -> Column:
-        own = F.transform(parts, index_tokens)
-        each = lambda tokens: F.flatten(F.transform(F.transform(F.col(topics), index_tokens), lambda w: F.transform(_best_sentences(tokens, w, most), lambda x: x["sent_id"])))
-        return F.struct(parts.alias("parts"), _let(own, each).alias("at"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
 
-    rows = docs.where(n > 0).select(doc, _let(_sentences(text, docs.schema[text].dataType.typeName()), chosen).alias("__x"))
-    return rows.where(F.size("__x.at") > 0).select(doc, _digest(F.col("__x.parts"), F.col("__x.at"), max_chars, max_sentences).alias("summary"))
+        find, split = regex.compile(WORD).findall, regex.compile(SENTENCE).findall
+        for batch in batches:
+            at, out = [], []
+            for a in range(0, len(batch), 128):
+                rows = zip(*(batch.column(c).slice(a, 128).to_pylist() for c in ("text", "topics")))
+                for k, (t, asked) in enumerate(rows, a):
+                    if t is None or not asked or None in asked:
+                        continue
+                    parts = [y for x in split(t) if (y := x.strip("\n\t "))] if isinstance(t, str) else t
+                    most = limit if max_chars is None else max_chars // len(asked) + 1
+                    if chosen := _topic_sentences(parts, [find(x) for x in asked], most, find):
+                        at.append(k)
+                        out.append("\n".join(parts[i] for i in chosen[:max_sentences])[:max_chars])
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(at, pa.int64())), pa.array(out, pa.string())], [doc, "summary"])
+
+    rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), F.col(topics).alias("topics"))
+    return rows.mapInArrow(run, f"`{doc}` {kind}, summary string")
+
+
+def _topic_sentences(parts: list[str | None], topics: list[list[str]], most: int, find) -> list[int]:
+    """Numbers, in order, of the sentences that rank among the most for some topic's words, as by _best_sentences."""
+    asked = {w for words in topics for w in words}
+    there: dict[str, dict[int, int]] = {w: {} for w in asked}
+    for k, s in enumerate(parts):
+        own = find(s) if s is not None else []
+        for w in asked.intersection(own):
+            there[w][k] = own.count(w)
+    chosen: set[int] = set()
+    for words in topics:
+        score, first = Counter(), {}
+        for j, w in enumerate(words):
+            for k, c in there[w].items():
+                score[k] += c
+                first.setdefault(k, j)
+        chosen.update(heapq.nsmallest(most, score, key=lambda k: (-score[k], first[k], k)))
+    return sorted(chosen)
 
 
 Encoder = Callable[[list[str]], np.ndarray]
@@ -272,70 +306,106 @@ class Summarizer:
         return rows.where(F.size("__at") > 0).select(doc, _digest(F.col("__parts"), F.col("__at"), max_chars, max_sentences).alias("summary"))
 
 
-def _candidates(words: list[str], most: int) -> dict[tuple[str, ...], int]:
-    out: dict[tuple[str, ...], int] = defaultdict(int)
-    for n in range(1, most + 1):
-        for k in range(len(words) - n + 1):
-            out[tuple(words[k : k + n])] += 1
-    return out
+def keyphrase_scores(text: str, top: int, max_ngram: int, find=None, split=None) -> list[tuple[str, float]]:
+    """As keyphrases_of, for one text."""
+    return keyphrases_of([text], top, max_ngram)[0]
 
 
-def keyphrase_scores(text: str, top: int, max_ngram: int, find, split) -> list[tuple[str, float]]:
+def keyphrases_of(texts: list[str], top: int, max_ngram: int = 3) -> list[list[tuple[str, float]]]:
     """Statistical keyphrases (Campos et al., 2020): lower is better.
 
     A word's weight is of its casing, place, frequency, company and spread over sentences; a
     phrase's is the product of its words' by how often it comes. Words of fewer than three
-    letters begin and end no phrase.
+    letters begin and end no phrase. All texts are counted together; only what may be among
+    the best is scored one by one, so that its score has the rounding of plain floats.
     """
-    parts = [find(s) for s in split(text) if s.strip()]
-    tf, upper, places, left, right = Counter(), Counter(), defaultdict(set), defaultdict(Counter), defaultdict(Counter)
-    for k, words in enumerate(parts):
-        for i, w in enumerate(words):
-            t = w.lower()
-            tf[t] += 1
-            upper[t] += (w.isupper() and len(w) > 1) or (i > 0 and w[:1].isupper())
-            places[t].add(k)
-            if i:
-                left[t][words[i - 1].lower()] += 1
-                right[words[i - 1].lower()][t] += 1
-    valid = [c for t, c in tf.items() if len(t) > 2]
-    if not valid:
-        return []
-    mean = sum(valid) / len(valid)
-    std = math.sqrt(sum((c - mean) ** 2 for c in valid) / len(valid))
-    top_tf = max(tf.values())
-    weight = {}
-    for t, c in tf.items():
-        order = sorted(places[t])
-        middle = (order[(len(order) - 1) // 2] + order[len(order) // 2]) / 2
-        casing = upper[t] / (1 + math.log(c))
-        place = math.log(math.log(3 + middle))
-        frequency = c / (mean + std)
-        company = 1 + sum(len(x[t]) / max(x[t].total(), 1) for x in (left, right)) * c / top_tf
-        weight[t] = place * company / (casing + frequency / company + len(places[t]) / len(parts) / company)
-    phrases: Counter = Counter()
-    for words in parts:
-        for phrase, c in _candidates([w.lower() for w in words], max_ngram).items():
-            if len(phrase[0]) > 2 and len(phrase[-1]) > 2:
-                phrases[phrase] += c
-    scored = []
-    for phrase, c in phrases.items():
-        ws = [weight[t] for t in phrase]
-        scored.append((round(math.prod(ws) / (c * (1 + sum(ws))), 9), " ".join(phrase)))
-    return [(p, s) for s, p in sorted(scored)[:top]]
+    import regex
 
+    find = regex.compile(r"[\p{L}\p{N}]+|[.!?]+").findall
+    raw, doc, words = numbered([find(t) for t in texts])
+    # A run of full stops ends a sentence, but for one that begins the text; what follows the last is one unless blank.
+    stop = np.array([w[0] in ".!?" for w in words], bool)[raw]
+    ended, stops = np.cumsum(stop) - stop, np.bincount(doc, stop, len(texts)).astype(np.int64)
+    lead = np.array([t[:1] in (".", "!", "?") for t in texts], np.int64)
+    n_parts = stops - lead + [bool(t[max(t.rfind("."), t.rfind("!"), t.rfind("?")) + 1 :].strip()) for t in texts]
+    part = (ended - (np.cumsum(stops) - stops + lead)[doc])[~stop]
+    raw, doc = raw[~stop], doc[~stop]
+    low, _, terms = numbered([[w.lower() for w in words]])
+    upper, capital = np.array([w.isupper() and len(w) > 1 for w in words], bool)[raw], np.array([w[:1].isupper() for w in words], bool)[raw]
+    long, low = np.array([len(t) > 2 for t in terms], bool), low[raw]
+    if not len(low):
+        return [[] for _ in texts]
+
+    rank, first, tf = ranked(doc * len(terms) + low)  # a number for each word of each text, in the order of the texts
+    n, own, width = len(first), doc[first], int(part.max()) + 1
+    left = room(doc * width + part)
+    inner = np.empty(len(low), bool)
+    inner[0], inner[1:] = False, left[:-1] > 1
+    cased = np.bincount(rank, upper | (inner & capital), n).astype(np.int64)
+    places = distinct(rank * width + part)
+    spread = np.bincount(places // width, minlength=n)
+    start, places = np.cumsum(spread) - spread, places % width
+    middle = (places[start + (spread - 1) // 2] + places[start + spread // 2]) / 2
+    after = np.flatnonzero(inner)
+    pairs = distinct(rank[after] * n + rank[after - 1])
+    company = [(np.bincount(pairs // n, minlength=n), np.bincount(rank[after], minlength=n)), (np.bincount(pairs % n, minlength=n), np.bincount(rank[after - 1], minlength=n))]
+    bounds, valid = np.searchsorted(own, np.arange(len(texts) + 1)), long[low[first]]
+    usual, top_tf = np.ones(len(texts)), np.ones(len(texts), np.int64)
+    for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        counts = tf[a:b][valid[a:b]]
+        if len(counts):
+            mean = int(counts.sum()) / len(counts)
+            usual[k], top_tf[k] = mean + math.sqrt(sum(((counts - mean) ** 2).tolist()) / len(counts)), tf[a:b].max()
+
+    def weigh(log, cased, tf, middle, usual, top_tf, spread, n_parts, *company):
+        casing, place, frequency = cased / (1 + log(tf)), log(log(3 + middle)), tf / usual
+        near = 1 + (company[0] / company[1] + company[2] / company[3]) * tf / top_tf
+        return place * near / (casing + frequency / near + spread / n_parts / near)
+
+    features = [cased, tf, middle, usual[own], top_tf[own], spread, n_parts[own], company[0][0], np.maximum(company[0][1], 1), company[1][0], np.maximum(company[1][1], 1)]
+    weight = weigh(np.log, *features)
+    found = []
+    for size, at, count in grams(rank, left, max_ngram):
+        keep = long[low[at]] & long[low[at + size - 1]]
+        at, count = at[keep], count[keep]
+        ws = [weight[rank[at + k]] for k in range(size)]
+        found.append((at, count, math.prod(ws) / (count * (1 + sum(ws))), np.searchsorted(doc[at], np.arange(len(texts) + 1))))
+    likely: list[list[tuple[int, int, int]]] = []
+    for k in range(len(texts)):
+        scores = [score[b[k] : b[k + 1]] for _, _, score, b in found]
+        every = np.concatenate(scores)
+        most = (np.partition(every, top - 1)[top - 1] * (1 + 1e-9) + 2e-9) if len(every) > top else np.inf  # whatever may round to as little as the last that counts
+        likely.append([])
+        for size, (score, (at, count, _, b)) in enumerate(zip(scores, found), 1):
+            x = np.flatnonzero(score <= most) + b[k]
+            likely[-1] += [(i, size, c) for i, c in zip(at[x].tolist(), count[x].tolist())]
+    need = sorted({t for own in likely for i, size, _ in own for t in rank[i : i + size].tolist()})
+    exact = {t: weigh(math.log, *f) for t, *f in zip(need, *(f[need].tolist() for f in features))}
+    out = []
+    for own in likely:
+        scored = []
+        for i, size, c in own:
+            ws = [exact[t] for t in rank[i : i + size].tolist()]
+            scored.append((round(math.prod(ws) / (c * (1 + sum(ws))), 9), " ".join(terms[j] for j in low[i : i + size].tolist())))
+        out.append([(p, s) for s, p in sorted(scored)[:top]])
+    return out
 
-def keyphrases(text: Column | str, *, top: int = 5, max_ngram: int = 3) -> Column:
-    """array<struct(phrase, score)>, the best first. A narrow pass, a document at a time."""
 
-    @F.pandas_udf("array<struct<phrase:string,score:double>>")
-    def run(texts: pd.Series) -> pd.Series:
-        import regex
+def keyphrases(text: Column | str, *, top: int = 5, max_ngram: int = 3) -> Column:
+    """array<struct(phrase, score)>, the best first. A narrow pass over some texts at a time."""
 
-        find, split = regex.compile(r"[\p{L}\p{N}]+").findall, regex.compile(r"[^.!?]+[.!?]*").findall
-        return pd.Series([None if t is None else [{"phrase": p, "score": s} for p, s in keyphrase_scores(t, top, max_ngram, find, split)] for t in texts], dtype=object)
+    @F.arrow_udf("array<struct<phrase:string,score:double>>")
+    def run(texts: pa.Array) -> pa.Array:
+        found = []
+        for _, some in text_slices(texts):
+            own = iter(keyphrases_of([t for t in some if t is not None], top, max_ngram))
+            found += [None if t is None else next(own) for t in some]
+        rows = [x for own in found for x in own or ()]
+        flat = pa.StructArray.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([s for _, s in rows], pa.float64())], ["phrase", "score"])
+        sizes = np.cumsum([0, *(len(own or ()) for own in found)])
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat, mask=pa.array([own is None for own in found], pa.bool_()))
 
-    return run(text)
+    return run(F.col(text) if isinstance(text, str) else text)
 
 
 def position_weighted_keyphrases(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", top: int = 10, least: int = 2, cutoff: int = 400, max_ngram: int = 3, alpha: float = 2.3, sigma: float = 3.0) -> DataFrame:

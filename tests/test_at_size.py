@@ -30,3 +30,21 @@ def test_csv_keeps_nulls_empty_texts_and_nul(spark, tmp_path):
     rows = [(1, "", "a"), (2, None, ""), (None, 'a\0"', None), (4, '"', '\r\n"",'), (5, " x ", "\\")]
     R.write_csv(spark.createDataFrame(rows, "i long, s string, t string").repartition(2), str(tmp_path / "csv"))
     assert sorted(map(tuple, R.csv_pairs(spark, str(tmp_path / "csv"), "i long, s string, t string").collect()), key=str) == sorted(rows, key=str)
+
+
+def test_keyphrases_of_many_texts_are_those_of_each(spark):
+    """Texts are counted together, each document's words by themselves; a plan finds the topics of a digest once."""
+    import pyarrow as pa
+
+    from condensa.functions.grams import text_slices
+    from condensa.operators.retrieval import Summarizer, keyphrases_of
+
+    texts = ["Suffix arrays sort suffixes. NATO and Rome met", "", "...Rome! Old Rome. . . ", ". a b", "?Foo BAR baz. İstanbul İ ß. Foo", " \n", "Suffix arrays sort suffixes. NATO and Rome met"] * 40
+    together = keyphrases_of(texts, 5)
+    assert together == [keyphrases_of([t], 5)[0] for t in texts[:7]] * 40 and together[0] and not together[1]
+    for signs in (1, 100, 10**6):
+        parts = list(text_slices(pa.array([*texts, None]), signs))
+        assert [t for _, own in parts for t in own] == [*texts, None] and [a for a, _ in parts] == [sum(len(own) for _, own in parts[:k]) for k in range(len(parts))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plan = Summarizer().summarize(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
