@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .draws import means, swaps
+
 
 def draw(seed: int, resample: Column, pos: Column, below: Column) -> Column:
     """A number from 0 to below - 1."""
@@ -38,8 +40,12 @@ def _looked_up(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= LOOKUP_ROWS else rows
 
 
+def _right(system: Column, gold: Column) -> Column:
+    return F.when(system == gold, 1.0).otherwise(0.0)
+
+
 def accuracy(system: Column, gold: Column) -> Column:
-    return F.avg(F.when(system == gold, 1.0).otherwise(0.0))
+    return F.avg(_right(system, gold))
 
 
 def pearson(system: Column, gold: Column) -> Column:
@@ -50,8 +56,12 @@ Scorer = Callable[[Column, Column], Column]
 
 
 def bootstrap_scores(rows: DataFrame, score: Scorer, n_resamples: int, seed: int) -> DataFrame:
-    """(resample, score_a, score_b). Draws look up their rows where they are made, and only sums of each resample are shuffled."""
+    """(resample, score_a, score_b). Accuracy is a mean of what rows have, see draws.means. Other scorers are functions of columns: their
+    draws look up their rows where they are made, and only sums of each resample are shuffled."""
     spark = rows.sparkSession
+    if score is accuracy:
+        own = rows.select(F.lit("").alias("key"), "pos", _right(F.col("a"), F.col("gold")).alias("score_a"), _right(F.col("b"), F.col("gold")).alias("score_b"))
+        return means(own, ["score_a", "score_b"], n_resamples=n_resamples, seed=seed).drop("key")
     numbered = _numbered(rows)
     places = numbered.select("pos", "n").crossJoin(spark.range(n_resamples).select(F.col("id").alias("resample")))
     drawn = places.select("resample", draw(seed, F.col("resample"), F.col("pos"), F.col("n")).alias("pos"))
@@ -69,11 +79,15 @@ def paired_bootstrap(rows: DataFrame, score: Scorer = accuracy, *, n_resamples:
 def permutation(rows: DataFrame, score: Scorer = accuracy, *, n_resamples: int = 10_000, seed: int = 256) -> DataFrame:
     """One row (n_resamples, at_least, p): resamples where a and b, swapped by the toss of a coin at each place, differ as much as they do."""
     true = rows.agg(F.abs(score(F.col("a"), F.col("gold")) - score(F.col("b"), F.col("gold"))).alias("__true"))
-    every = _parted(rows).crossJoin(rows.sparkSession.range(n_resamples).select(F.col("id").alias("resample")))
-    swap = draw(seed, F.col("resample"), F.col("pos"), F.lit(2)) == 1
-    tossed = every.select("resample", "gold", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
-    gap = F.abs(score(F.col("a"), F.col("gold")) - score(F.col("b"), F.col("gold")))
-    found = tossed.groupBy("resample").agg(gap.alias("gap")).crossJoin(F.broadcast(true))
+    if score is accuracy:
+        own = rows.select("pos", _right(F.col("a"), F.col("gold")).alias("a"), _right(F.col("b"), F.col("gold")).alias("b"))
+        gaps = swaps(own, n_resamples=n_resamples, seed=seed).select(F.abs(F.col("a") / F.col("n") - F.col("b") / F.col("n")).alias("gap"))
+    else:
+        every = _parted(rows).crossJoin(rows.sparkSession.range(n_resamples).select(F.col("id").alias("resample")))
+        swap = draw(seed, F.col("resample"), F.col("pos"), F.lit(2)) == 1
+        tossed = every.select("resample", "gold", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
+        gaps = tossed.groupBy("resample").agg(F.abs(score(F.col("a"), F.col("gold")) - score(F.col("b"), F.col("gold"))).alias("gap"))
+    found = gaps.crossJoin(F.broadcast(true))
     return found.agg(F.count_if(F.round("gap", 9) >= F.round("__true", 9)).alias("at_least")).select(
         F.lit(n_resamples).cast("long").alias("n_resamples"), "at_least", F.round((F.col("at_least") + 1) / (n_resamples + 1), 6).alias("p")
     )
@@ -110,22 +124,19 @@ def confidence(values: DataFrame, column: str, *, n_resamples: int = 2_000, seed
 
     A resample's mean is of counts: how often each place is drawn, times its value.
     """
-    n = values.groupBy(by).agg(F.count("*").alias("n"))
-    places = _parted(values.select(by, "pos")).join(F.broadcast(n), by).crossJoin(values.sparkSession.range(n_resamples).select(F.col("id").alias("resample")))
-    drawn = places.select(by, "resample", draw(seed, F.col("resample"), F.col("pos"), F.col("n")).alias("pos"))
-    means = drawn.join(_looked_up(values), [by, "pos"]).groupBy(by, "resample").agg(F.avg(column).alias("m"))
-    q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q")
-    return means.groupBy(by).agg(q).select(by, *[F.round(F.col("q")[i], 6).alias(name) for i, name in enumerate(("low", "mid", "high"))])
+    own = means(values.select(F.col(by).alias("key"), "pos", column), [column], n_resamples=n_resamples, seed=seed)
+    return _interval(own.select(F.col("key").cast(values.schema[by].dataType).alias(by), F.col(column).alias("m")), by)
 
 
 def confidence_of(rows: DataFrame, columns: list[str], *, n_resamples: int = 2_000, seed: int = 256) -> DataFrame:
     """(metric, low, mid, high) as of confidence, for columns of the same rows (pos, *columns): each draw serves all of them."""
-    places = _numbered(rows.select("pos")).crossJoin(rows.sparkSession.range(n_resamples).select(F.col("id").alias("resample")))
-    drawn = places.select("resample", draw(seed, F.col("resample"), F.col("pos"), F.col("n")).alias("pos"))
-    means = drawn.join(_looked_up(rows), "pos").groupBy("resample").agg(*[F.avg(c).alias(c) for c in columns])
-    each = means.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("m")) for c in columns])))
+    own = means(rows.select(F.lit("").alias("key"), "pos", *columns), columns, n_resamples=n_resamples, seed=seed)
+    return _interval(own.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("m")) for c in columns]))), "metric")
+
+
+def _interval(means_: DataFrame, by: str) -> DataFrame:
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q")
-    return each.groupBy("metric").agg(q).select("metric", *[F.round(F.col("q")[i], 6).alias(name) for i, name in enumerate(("low", "mid", "high"))])
+    return means_.groupBy(by).agg(q).select(by, *[F.round(F.col("q")[i], 6).alias(name) for i, name in enumerate(("low", "mid", "high"))])
 
 
 def keyword_scores(rows: DataFrame, *, gold: str, predicted: str, k: int) -> DataFrame:

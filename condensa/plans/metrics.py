@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import pairs as P
@@ -115,8 +114,9 @@ _DRAW = "('0x' || substr(md5('{seed}:' || resample::VARCHAR || ':' || pos::VARCH
  m AS (SELECT d.metric, resample, avg(x) AS m FROM d JOIN v ON v.metric = d.metric AND v.pos = d.pos GROUP BY d.metric, resample)
  SELECT metric, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.5), 6) AS mid, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY metric""")
 def bootstrap_aggregate(spark, sf):
-    own = Window.partitionBy("role").orderBy("conv_id", "turn")
-    values = table(spark, sf, "conversations").select(F.concat(F.lit("len_"), "role").alias("metric"), (F.row_number().over(own) - 1).cast("long").alias("pos"), length_of("text").alias("x"))
+    rows = in_order(table(spark, sf, "conversations").where("role IS NOT NULL").select("role", "conv_id", "turn", length_of("text").alias("x")), "role", "conv_id", "turn", name="lengths")
+    first = rows.groupBy("role").agg(F.min("pos").alias("first"))
+    values = rows.join(F.broadcast(first), "role").select(F.concat(F.lit("len_"), "role").alias("metric"), (F.col("pos") - F.col("first")).alias("pos"), "x")
     return S.confidence(values, "x")
 
 

@@ -48,3 +48,51 @@ def test_keyphrases_of_many_texts_are_those_of_each(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     plan = Summarizer().summarize(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+
+
+def test_draws_of_many_positions_are_those_of_md5(spark, monkeypatch):
+    """Digests of blocks against hashlib, values in several files, counts of one file's rows at a time, nulls and infinity."""
+    from hashlib import md5
+
+    import numpy as np
+    import pytest
+
+    from condensa.operators import draws as D
+
+    pos = np.array([0, 7, 9, 10, 99, 12345, 99999, 10**9])
+    for prefix in ("", "2", "256:1:", "-7:9999:", "x" * 45, "x" * 60):
+        want = [int(md5(f"{prefix}{p}".encode()).hexdigest()[:8], 16) for p in pos]
+        assert D.Positions(pos).numbers(prefix).tolist() == want and D.Positions(pos).below(prefix, 7).tolist() == [x % 7 for x in want]
+    x = {"a": [1.5, None, 3.0, float("inf"), 2.0, 8.0, 1.0], "b": [4.0, 2.0], "c": [None]}
+    df = spark.createDataFrame([(k, i, v, 1.0) for k, own in x.items() for i, v in enumerate(own)], "key string, pos long, v double, w double")
+    want = {}
+    for k, own in x.items():
+        for r in range(9):
+            drawn = [own[int(md5(f"5:{r}:{p}".encode()).hexdigest()[:8], 16) % len(own)] for p in range(len(own))]
+            drawn = [v for v in drawn if v is not None]
+            want[k, r] = (pytest.approx(sum(drawn) / len(drawn)) if drawn else None, 1.0)
+    for segment, counts, block in ((1 << 18, 1 << 24, 1 << 14), (2, 4, 3)):
+        monkeypatch.setattr(D, "SEGMENT", segment), monkeypatch.setattr(D, "COUNTS", counts), monkeypatch.setattr(D, "BLOCK", block)
+        assert {(r.key, r.resample): (r.v, r.w) for r in D.means(df, ["v", "w"], n_resamples=9, seed=5).collect()} == want
+
+
+def test_coins_are_tossed_where_they_matter(spark, monkeypatch):
+    from hashlib import md5
+
+    from condensa.operators import draws as D
+
+    a, b = [1, 0, 1, 1, 0, 0, 1, 0, 1], [1, 1, 0, 1, 0, 1, 0, 0, 0]
+    coin = lambda r, p: int(md5(f"5:{r}:{p}".encode()).hexdigest()[:8], 16) % 2
+    want = {r: (9, *(sum(y[p] if coin(r, p) else x[p] for p in range(9)) for x, y in ((a, b), (b, a)))) for r in range(20)}
+    df = spark.createDataFrame([(p, float(x), float(y)) for p, (x, y) in enumerate(zip(a, b))], "pos long, a double, b double")
+    for segment in (1 << 18, 4):
+        monkeypatch.setattr(D, "SEGMENT", segment)
+        assert {r.resample: (r.n, r.a, r.b) for r in D.swaps(df, n_resamples=20, seed=5).collect()} == want
+
+
+def test_draws_are_not_shuffled(spark):
+    from condensa.operators import significance as S
+
+    rows = spark.createDataFrame([(i, i % 3, (i * 7) % 3, (i * 5) % 4 % 3) for i in range(40)], "pos long, gold int, a int, b int")
+    plan = S.bootstrap_scores(rows, S.accuracy, 50, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(resample" not in plan and "MapInArrow" in plan
