@@ -122,34 +122,64 @@ def dense_retrieve(vectors: DataFrame, query: list[float], *, key: str = "vec_id
 def dense_retrieve_all(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", limit: int = 3, tile: int = 4096) -> DataFrame:
     """(query_id, rank, key, score): every row's vector as a query, with the limit largest dot products over all rows, its own too, the best at rank 1; equal ones by key.
 
-    Rows are cut into tiles by a hash of the key, and each pair of tiles is one matrix product
-    in slices: work grows with the square of the rows, memory doesn't. Rows without a vector don't count.
+    Rows are written once, in files of about `tile` rows; a task meets some of a file's rows with every file in
+    turn and keeps what is among their best. Work, and what is read from the shared folder, grow with
+    the square of the rows; memory doesn't, and what is shuffled are the rows and their best. Rows without a vector don't count.
     """
+    from pyarrow import fs
+    from pyarrow import parquet as pq
+
     if limit <= 0:
         raise ValueError("a positive limit")
-    own = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
-    tiles = max(1, math.ceil(own.count() / tile))
-    rows = own.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(tiles)).cast("int").alias("t"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    queries = rows.select(F.lit(True).alias("asks"), "id", "v", F.col("t").alias("i"), every.alias("j"))
-    sides = queries.unionByName(rows.select(F.lit(False).alias("asks"), "id", "v", every.alias("i"), F.col("t").alias("j")))
-
-    def best(pair: pa.Table) -> pa.Table:
-        asks = pair.column("asks").to_numpy()
-        ids, v = pair.column("id"), pair.column("v").combine_chunks()
-        m = v.flatten().to_numpy().reshape(len(v), -1)
-        asked, found = np.flatnonzero(asks), np.flatnonzero(~asks)
-        q, d, out = m[asked], m[found].T, [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        for a in range(0, len(q) if len(found) else 0, 256):
-            s = q[a : a + 256] @ d
-            least = np.partition(s, -limit, 1)[:, -limit] if limit < s.shape[1] else s.min(1)
-            x, y = np.nonzero(s >= least[:, None] - 2e-6)  # whatever may round to as much as the last that counts
-            out.append((asked[a + x], found[y], s[x, y]))
-        x, y, score = (np.concatenate(c) for c in zip(*out))
-        return pa.table({"query_id": ids.take(pa.array(x)), "id": ids.take(pa.array(y)), "score": score})
+    spark = vectors.sparkSession
+    own = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"))
+    rows = written(own.repartition(max(1, math.ceil(own.count() / tile))), "vectors")
+    files = sorted(rows.inputFiles())
+    shares = min(math.ceil(4 * spark.sparkContext.defaultParallelism / max(len(files), 1)), math.ceil(tile / 256))
+    tasks = spark.range(0, len(files) * shares, 1, max(1, len(files) * shares))
+
+    def read(file: str) -> tuple[pa.Array, np.ndarray]:
+        store, path = fs.FileSystem.from_uri(file)
+        with store.open_input_file(path) as f:
+            table = pq.read_table(f, columns=["id", "v"])
+        v = table.column("v").combine_chunks()
+        return table.column("id").combine_chunks(), v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1 if len(v) else 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                asked, q = read(files[k // shares])
+                asked, q = asked.take(pa.array(np.arange(len(asked))[k % shares :: shares])), q[k % shares :: shares]
+                if not len(q):
+                    continue
+                ids, x, y, score, least, met = [asked.slice(0, 0)], np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.full(len(q), -np.inf), 0
+                for file in files:
+                    more, d = read(file)
+                    if not len(d):
+                        continue
+                    found = [(x, y, score)]
+                    for a in range(0, len(q), 256):
+                        s = q[a : a + 256] @ d.T
+                        low = least[a : a + 256]
+                        if np.isinf(low).any() and limit < s.shape[1]:  # nothing to go by yet
+                            low = np.maximum(low, np.partition(s, -limit, 1)[:, -limit] - 2e-6)
+                        i, j = np.nonzero(s >= low[:, None])
+                        found.append((a + i, met + j, s[i, j]))
+                    x, y, score = (np.concatenate(c) for c in zip(*found))
+                    order = np.lexsort((-score, x))
+                    x, y, score = x[order], y[order], score[order]
+                    last = np.searchsorted(x, np.arange(len(q))) + limit - 1
+                    full = last < np.searchsorted(x, np.arange(len(q)), "right")
+                    least[full] = score[last[full]] - 2e-6  # whatever may round to as much as the last that counts
+                    keep = score >= least[x]
+                    x, y, score = x[keep], y[keep], score[keep]
+                    at, y = np.unique(y, return_inverse=True)
+                    ids = [pa.concat_arrays([*ids, more]).take(pa.array(at))]
+                    met = len(at)
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(x)), ids[0].take(pa.array(y)), pa.array(score)], ["query_id", "id", "score"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    scored = sides.groupBy("i", "j").applyInArrow(best, f"query_id {kind}, id {kind}, score double").withColumn("score", F.round("score", 6))
+    scored = tasks.mapInArrow(run, f"query_id {kind}, id {kind}, score double").withColumn("score", F.round("score", 6))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "rank", F.col("id").alias(key), "score")
 

@@ -96,3 +96,18 @@ def test_draws_are_not_shuffled(spark):
     rows = spark.createDataFrame([(i, i % 3, (i * 7) % 3, (i * 5) % 4 % 3) for i in range(40)], "pos long, gold int, a int, b int")
     plan = S.bootstrap_scores(rows, S.accuracy, 50, 1)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(resample" not in plan and "MapInArrow" in plan
+
+
+def test_vectors_are_shuffled_once_whatever_the_tiles(spark):
+    """Every row's best of all tiles, with ties, and no copy of a vector for each tile in the plan."""
+    import numpy as np
+
+    from condensa.operators import retrieval as R
+
+    v = np.random.default_rng(1).integers(-1, 2, (90, 3)).astype(float)
+    df = spark.createDataFrame([(f"k{i:02}", x.tolist()) for i, x in enumerate(v)], "vec_id string, embedding array<float>")
+    out = R.dense_retrieve_all(df, tile=11, limit=5)
+    assert "Generate explode" not in out._jdf.queryExecution().executedPlan().toString()
+    s = v @ v.T
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in out.collect()}
+    assert got == {(f"k{i:02}", k + 1): (f"k{j:02}", s[i, j]) for i in range(90) for k, j in enumerate(np.lexsort((np.arange(90), -s[i]))[:5])}
