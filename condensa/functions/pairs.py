@@ -6,9 +6,11 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .grams import grams, numbered, ranked, room, text_slices
 from .text import length_of, strip
 
 #: What the JVM's \s holds, so that both sides cut alike.
@@ -137,17 +139,22 @@ def lcs_fraction(found: Column) -> Column:
     return found["lcs"] / F.greatest(found["n_summary"], F.lit(1))
 
 
-def _repetitions(text: pd.Series, n: pd.Series) -> pd.Series:
-    find = _finder()
-    out = []
-    for t, k in zip(text, n):
-        counts = gram_counts(find(t), int(k)) if t is not None else {}
-        out.append(None if t is None else [{"gram": " ".join(g), "again": c - 1} for g, c in sorted(counts.items()) if c > 1])
-    return pd.Series(out, dtype=object)
-
-
 def gram_repetitions(text: Column | str, n: int = 3) -> Column:
-    """n-grams that come again within a text, and how often."""
-    return F.pandas_udf(_repetitions, "array<struct<gram:string,again:long>>")(text, F.lit(n))
-
-
+    """n-grams that come again within a text, and how often. Only those become strings, of some texts at a time."""
+
+    @F.arrow_udf("array<struct<gram:string,again:long>>")
+    def run(texts: pa.Array) -> pa.Array:
+        find, parts, sizes = _finder(), [], [np.zeros(1, np.int64)]
+        for _, some in text_slices(texts):
+            ids, doc, words = numbered([find(t or "") for t in some])
+            rank, _, _ = ranked(doc * len(words) + ids)
+            *_, (_, at, count) = grams(rank, room(doc), n)
+            at, count = at[count > 1], count[count > 1]
+            found = sorted((d, tuple(words[w] for w in ids[i : i + n].tolist()), c - 1) for d, i, c in zip(doc[at].tolist(), at.tolist(), count.tolist()))
+            parts.append(pa.StructArray.from_arrays([pa.array([" ".join(g) for _, g, _ in found], pa.string()), pa.array([c for _, _, c in found], pa.int64())], ["gram", "again"]))
+            sizes.append(np.bincount(doc[at], minlength=len(some)))
+        kind = pa.struct([("gram", pa.string()), ("again", pa.int64())])
+        ends = pa.array(np.cumsum(np.concatenate(sizes)), pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.concat_arrays(parts) if parts else pa.array([], kind), mask=texts.is_null())
+
+    return run(F.col(text) if isinstance(text, str) else text)

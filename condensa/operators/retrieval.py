@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -446,22 +445,24 @@ def position_weighted_keyphrases(docs: DataFrame, *, doc: str = "doc_id", text:
     """
     kind = docs.schema[doc].dataType.simpleString()
 
-    def spread(batches):
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _finder()
         for batch in batches:
-            rows = []
-            for d, t in zip(batch["doc"], batch["text"]):
-                words = [w.lower() for w in find(t or "") if w[:1].isalnum()]
-                seen: dict[tuple[str, ...], list[int]] = {}
-                for n in range(1, max_ngram + 1):
-                    for k in range(len(words) - n + 1):
-                        g = tuple(words[k : k + n])
-                        if len(g[0]) > 2 and len(g[-1]) > 2:
-                            seen.setdefault(g, [k, 0])[1] += 1
-                rows += [(d, " ".join(g), len(g), k, c) for g, (k, c) in seen.items() if c >= least and k < cutoff]
-            yield pd.DataFrame(rows, columns=["doc", "phrase", "words", "first", "tf"])
-
-    found = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).mapInPandas(spread, f"doc {kind}, phrase string, words int, first int, tf long")
+            for row, some in text_slices(batch.column("text")):
+                ids, doc, words = numbered([find(t or "") for t in some])
+                keep = np.array([w[0].isalnum() for w in words], bool)[ids]
+                low, _, terms = numbered([[w.lower() for w in words]])
+                low, doc, long = low[ids[keep]], doc[keep], np.array([len(t) > 2 for t in terms], bool)
+                rank, start = ranked(doc * len(terms) + low)[0], np.searchsorted(doc, np.arange(len(some)))
+                for n, at, count in grams(rank, room(doc), max_ngram):
+                    first = at - start[doc[at]]
+                    keep = long[low[at]] & long[low[at + n - 1]] & (count >= least) & (first < cutoff)
+                    at, count, first = at[keep], count[keep], first[keep]
+                    phrases = [" ".join(terms[j] for j in low[i : i + n].tolist()) for i in at.tolist()]
+                    own = [batch.column("doc").take(pa.array(row + doc[at])), pa.array(phrases, pa.string()), pa.array(np.full(len(at), n), pa.int32()), pa.array(first, pa.int32()), pa.array(count, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(own, ["doc", "phrase", "words", "first", "tf"])
+
+    found = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).mapInArrow(spread, f"doc {kind}, phrase string, words int, first int, tf long")
     found = written(found, "phrases")  # a pass over the texts in Python, whose rows are used three times
     total = docs.agg(F.count("*").alias("__total"))
     df = found.groupBy("phrase").agg(F.count("*").alias("df"))

@@ -111,3 +111,27 @@ def test_vectors_are_shuffled_once_whatever_the_tiles(spark):
     s = v @ v.T
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in out.collect()}
     assert got == {(f"k{i:02}", k + 1): (f"k{j:02}", s[i, j]) for i in range(90) for k, j in enumerate(np.lexsort((np.arange(90), -s[i]))[:5])}
+
+
+def test_grams_of_many_texts_are_those_of_each(spark):
+    """Repetitions and positioned phrases, counted together and by hand; texts lie next to each other in a slice."""
+    from collections import Counter
+
+    from condensa.functions import pairs as P
+    from condensa.operators import retrieval as R
+
+    texts = ["the old wall. the old wall, the old wall", None, "", "wall the old", "Wall the OLD wall the old harbour _ wall", "a b a b a b a", "x"] * 30
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    find = regex.compile(r"[\p{L}\p{N}]+|[^ \t\n\x0b\f\r\p{L}\p{N}]").findall
+    for n in (1, 3, 5):
+        for r in df.select("doc_id", P.gram_repetitions("text", n).alias("g")).collect():
+            t = None if texts[r.doc_id] is None else find(texts[r.doc_id])
+            want = None if t is None else [(" ".join(g), c - 1) for g, c in sorted(Counter(zip(*(t[k:] for k in range(n)))).items()) if c > 1]
+            assert (None if r.g is None else [tuple(x) for x in r.g]) == want
+    phrases = {}
+    for r in R.position_weighted_keyphrases(df, least=1, cutoff=4, top=100).collect():
+        phrases.setdefault(r.doc_id, set()).add(r.phrase)
+    for i, t in enumerate(texts):
+        w = letters((t or "").lower())
+        want = {" ".join(w[k : k + n]) for n in (1, 2, 3) for k in range(len(w) - n + 1) if len(w[k]) > 2 and len(w[k + n - 1]) > 2 and k < 4}
+        assert phrases.get(i, set()) == want
